@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import fingerprints, mixing, ngram_jaccard, packing, quotations, secret_scan, toxicity
+from lumenfold.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_jaccard, packing, quotations, secret_scan, token_counts, toxicity
 from lumenfold.llm.tokenizers_path import default_path
 
 
@@ -34,10 +34,22 @@ def op5_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.linked(_table(spark, sf_dir, "conversations"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
@@ -47,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op5_chat_quotations": quotations.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_chat_quotations": quotations.SQL, "op7_line_dedup": line_dedup.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
