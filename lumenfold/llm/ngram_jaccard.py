@@ -217,8 +217,7 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
     p = p[np.argsort(p["token"], kind="stable")]
     at = np.flatnonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]]))
     low, high = np.minimum.reduceat(p["gid"], at), np.maximum.reduceat(p["gid"], at)
-    indexed = np.maximum.reduceat(p["index"], at)
-    p = p[np.repeat((low != high) & (indexed > 0), np.diff(np.append(at, len(p))))]
+    p = p[np.repeat(low != high, np.diff(np.append(at, len(p))))]
     return pa.table({"token": _signed(p["token"]), "rid": pa.array(p["rid"].copy()), "gid": pa.array(p["gid"].copy()), "n": pa.array(p["n"].astype(np.int64)), "indexed": pa.array(p["index"] > 0)})
 
 
@@ -262,6 +261,16 @@ def _opened(asked: DataFrame, members: DataFrame, docs: DataFrame, words: int, p
     return rows.repartition("target", "part").sortWithinPartitions("target", "part", "role").mapInArrow(_opener(words, percent), "a long, b long")
 
 
+def _enough(met: str, n: str, least: str, percent: int) -> str:
+    """Whether a set of ``n`` tokens may link with a smaller one of ``least`` or more, given ``met`` common prefix tokens.
+
+    Up to where the shorter-reaching of both prefixes ends, all common tokens are among those met; after it, at
+    most the rest of the larger set is common, and a link needs percent/(100 + percent) of both sizes.
+    """
+    rest = f"(greatest({n}, {least}) * {percent} + 99) div 100 - 1"
+    return f"({met} + {rest}) * {100 + percent} >= {percent} * ({n} + greatest({least}, ({n} * {percent} + 99) div 100))"
+
+
 def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``; the component is its smallest id."""
     spark = docs.sparkSession
@@ -285,8 +294,10 @@ def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_co
 
     same = members.join(sets.where("gid <> top").drop("top").withColumnRenamed("gid", "b"), ["s1", "s2"]).select(F.col("gid").alias("a"), "b")
     # First each group against the first group that shares one of its tokens: this joins what is similar.
-    first = entries.groupBy("token").agg(F.min(F.struct("gid", "rid")).alias("m"))
-    near = entries.join(first, "token").where("gid <> m.gid").groupBy("gid", F.col("m.gid").alias("other")).agg(F.min(F.struct("rid", "m")).alias("p"))
+    first = entries.groupBy("token").agg(F.min(F.struct("gid", "rid", "n")).alias("m"))
+    near = entries.join(first, "token").where("gid <> m.gid").groupBy("gid", F.col("m.gid").alias("other")).agg(F.min(F.struct("rid", "n", "m")).alias("p"), F.count(F.lit(1)).alias("met"))
+    near = near.withColumns({"big": F.greatest("p.n", "p.m.n"), "small": F.least("p.n", "p.m.n")})
+    near = near.where(f"small * 100 >= big * {percent}").where(_enough("met", "big", "small", percent))
     near = written(near.select("gid", "other", "p.rid", F.col("p.m.rid").alias("other_rid")))
     links = _opened(near.select(F.col("other_rid").alias("target"), "rid", F.col("gid").alias("own")), near.select(F.col("other_rid").alias("target"), F.col("other_rid").alias("rid"), F.col("other").alias("own")), docs, words, percent)
     links = written(links.union(same))
@@ -296,10 +307,11 @@ def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_co
     entries = entries.join(comp, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     entries = written(entries.join(mixed, "token", "left_semi"))
-    matrix = entries.where("indexed").groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.select("token", F.col("gid").alias("target"), F.col("component").alias("other"), "least", "most")
+    matrix = entries.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"))
+    matrix = matrix.select("token", F.col("gid").alias("target"), F.col("component").alias("other"), "least", "most", F.col("indexed").alias("sure"))
     met = entries.join(matrix, "token").where(f"component <> other and least <= n and most * 100 >= n * {percent}")
-    asked = written(met.select("target", "rid", F.col("gid").alias("own")).distinct())
+    met = met.groupBy("target", "rid", "gid", "n").agg(F.count(F.lit(1)).alias("met"), F.max("sure").alias("sure"), F.min("least").alias("least"))
+    asked = written(met.where("sure").where(_enough("met", "n", "least", percent)).select("target", "rid", F.col("gid").alias("own")))
     inside = members.select(F.col("gid").alias("target"), "rid", F.col("gid").alias("own"))
     inside = inside.join(asked.select("target").distinct(), "target", "left_semi")
     late = written(_opened(asked, inside, docs, words, percent))
