@@ -3,7 +3,7 @@
 A document's tokens (its ids, then the end id) are cut into whole sequences and a remainder. Remainders are counted
 by length, rounded up to ``GRAIN``; a linear program chooses patterns, multisets of lengths that fit a sequence, so
 that every length is covered by as few sequences as possible. Its columns are priced by a knapsack dynamic program over
-the capacity and enter a revised simplex until none improves it (or the bound is within ``GAP``). The patterns, rounded
+the capacity and enter a revised simplex until the sequences used are within ``GAP`` of the bound from the dual values. The patterns, rounded
 down, take most pieces; first-fit on the histogram packs what is left. All of this happens on at most
 ``capacity / GRAIN`` counts. Then pieces are ranked within their length, by parts of bounded size, and the k-th piece of a
 length takes the k-th slot for it. Offsets are running sums of true lengths, so sequences have no gaps.
@@ -19,6 +19,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ from lumenfold.llm.common import written
 CAPACITY = 1024
 GRAIN = 4
 GAP = 0.002
+SMOOTH = 0.5
 PART_PIECES = 1 << 16
 CACHE = 300_000
 
@@ -134,16 +136,40 @@ def cutting_stock(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, i
     need = demand[lengths - 1].astype(float)
     if not len(lengths):
         return []
-    fits = capacity // lengths
-    inverse, basic = np.diag(1.0 / fits), [np.eye(len(lengths), dtype=int)[i] * fits[i] for i in range(len(lengths))]
-    amount = need / fits
+    # The basis to start from: greedy patterns, longest first, each used until a length runs out. That length isn't in
+    # later patterns, so the columns are independent; lengths that run out together get a column of their own, unused.
+    left, basic, amount = need.copy(), [], []
+    while left.any():
+        column, room = np.zeros(len(lengths), int), capacity
+        for i in np.flatnonzero(left)[::-1]:
+            column[i], room = min(room // lengths[i], math.ceil(left[i])), room - min(room // lengths[i], math.ceil(left[i])) * lengths[i]
+        on = column > 0
+        times = (left[on] / column[on]).min()
+        gone = on & (left - times * column <= 1e-9 * need)
+        left = np.where(gone, 0, left - times * column)
+        first = np.flatnonzero(gone)
+        basic += [column] + [np.eye(len(lengths), dtype=int)[i] for i in first[1:]]
+        amount += [times] + [0.0] * (len(first) - 1)
+    amount = np.array(amount)
+    inverse = np.linalg.inv(np.array(basic, float).T)
+    centre, bound = lengths / capacity, float((need * lengths).sum() / capacity)
     for _ in range(20 * len(lengths) + 200):
         prices = inverse.sum(0)
+        if amount.sum() <= bound * (1 + GAP):
+            break
+        # Priced between the centre, the dual values of the best bound yet, and the current ones: these alone swing widely.
+        smooth = SMOOTH * centre + (1 - SMOOTH) * prices
         values = np.zeros(capacity)
-        values[lengths - 1] = prices
+        values[lengths - 1] = smooth
         worth, pattern = _priced(values, capacity)
-        if worth <= 1 + GAP:
-            break
+        if need @ smooth / max(worth, 1) > bound:
+            centre, bound = smooth / max(worth, 1), float(need @ smooth / max(worth, 1))
+        if prices @ pattern[lengths - 1] <= 1 + 1e-9:
+            values[lengths - 1] = prices
+            worth, pattern = _priced(values, capacity)
+            bound = max(bound, float(need @ prices / max(worth, 1)))
+            if worth <= 1 + 1e-9:
+                break
         column = pattern[lengths - 1]
         step = inverse @ column
         ok = step > 1e-9
