@@ -227,7 +227,7 @@ SQL = r"""
 WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
-reach AS (SELECT vec_id AS node, vec_id AS at FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.at = l.a)
+reach AS (SELECT vec_id AS node, vec_id AS hop FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.hop = l.a)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
-FROM embeddings e JOIN (SELECT node, min(at) AS component_id FROM reach GROUP BY node) r ON e.vec_id = r.node
+FROM embeddings e JOIN (SELECT node, min(hop) AS component_id FROM reach GROUP BY node) r ON e.vec_id = r.node
 """
