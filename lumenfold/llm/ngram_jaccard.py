@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import connected_components, mix, shingle_arrays, written
 
-HEAVY_BITS = 19
+HEAVY_BITS = 22
 GROUP_MEMBERS = 256
 QUERIES_A_TASK = 256
 BROADCAST_ROWS = 100_000
-COMMON = 32
-_POST_ROWS = 1 << 20
+COMMON = 16
+_POST_ROWS = 1 << 19
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -276,7 +276,7 @@ def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_co
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch = written(docs.mapInArrow(_sketcher(words, False), _SKETCH_DDL))
     total = sketch.agg(F.sum("n")).first()[0] or 0
 
