@@ -1,12 +1,14 @@
 """Operator 7, substring dedup: hashing of lines.
 
-A text's units are its lines of ``LEAST_WORDS`` words or more. They are normalised (A-Z lower-cased, white space collapsed) and
-digested to 128 bits; equal digests are grouped over all documents, the occurrence with the smallest document and start
-stays, and the others are removed. The spans that go are kept with their offsets in the original text, code points
-with the end exclusive, the line's break included.
+A text's units are its lines, cut at the ends of sentences as passages also stand within lines; units of ``LEAST_WORDS``
+words or more count. They are normalised (A-Z lower-cased, white space collapsed) and digested to 128 bits; equal digests are
+grouped over all documents, the occurrence with the smallest document and start stays, and the others repeat it. Repeats
+that follow each other, units that don't count aside, form a run, and runs of ``LEAST_RUN`` words or more are removed:
+an odd sentence that many texts share is no passage. The spans that go are kept with their offsets in the original
+text, code points with the end exclusive, the unit's break included.
 
 Cases: a null text is empty; a null id ranks last, of equal ids the smaller hash of the text; rows that are equal in id and text are
-one document and keep the same; shorter lines always stay; extra columns are ignored.
+one document and keep the same; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,55 +18,53 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import written
 
 LEAST_WORDS = 5
+LEAST_RUN = 25
+_BREAK = re.compile(r"\n|[.!?][ \t]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
-def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines that count."""
+def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the units that count."""
     start = 0
-    for line in text.split("\n"):
-        words = _WORDS.findall(line)
+    for end in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
+        words = _WORDS.findall(text, start, end)
         if len(words) >= least:
-            yield start, min(start + len(line) + 1, len(text)), blake2b(" ".join(words).translate(_FOLD).encode(), digest_size=16).digest()
-        start += len(line) + 1
+            yield start, end, len(words), blake2b(" ".join(words).translate(_FOLD).encode(), digest_size=16).digest()
+        start = end
 
 
 def _cutter(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rids, starts, ends, marks = [], [], [], [], []
-            for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-                for start, end, mark in units(text or "", least):
-                    ids.append(doc)
-                    rids.append(rid)
-                    starts.append(start)
-                    ends.append(end)
-                    marks.append(mark)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "rid", "start", "end", "mark"])
+            rows = [(doc, rid, seq, *u) for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True) for seq, u in enumerate(units(text or "", least))]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "rid", "seq", "start", "end", "words", "mark"])
 
     return run
 
 
-def removed_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(rid, spans) of documents that lose lines; spans: array of (start, end, keeper), by start."""
-    found = written(docs.select("doc_id", "rid", "text").mapInArrow(_cutter(least), "doc_id long, rid long, start long, end long, mark binary").distinct())
+def removed_spans(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN) -> DataFrame:
+    """(rid, spans) of documents that lose units; spans: array of (start, end, keeper), by start."""
+    found = written(docs.select("doc_id", "rid", "text").mapInArrow(_cutter(least), "doc_id long, rid long, seq int, start long, end long, words int, mark binary"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")
     first = found.groupBy("mark").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = found.join(first, "mark").where("not (rid = first.rid and start = first.start)")
-    return gone.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("first.doc_id").alias("keeper")))).alias("spans"))
+    gone = found.join(first, "mark").where("not (rid = first.rid and start = first.start)").select("rid", "seq", "start", "end", "words", F.col("first.doc_id").alias("keeper")).distinct()
+    island = gone.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy("rid").orderBy("seq")))
+    long = island.withColumn("total", F.sum("words").over(Window.partitionBy("rid", "run"))).where(F.col("total") >= run)
+    return long.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "keeper"))).alias("spans"))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with its ``text`` less repeated lines, and ``removed``, the spans that went (empty: none)."""
+def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN) -> DataFrame:
+    """``docs`` with its ``text`` less repeated passages, and ``removed``, the spans that went (empty: none)."""
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = removed_spans(docs, least).withColumnRenamed("rid", "r")
+    spans = removed_spans(docs, least, run).withColumnRenamed("rid", "r")
     out = docs.join(spans, F.col("rid") == F.col("r"), "left")
     state = "struct(array(cast('' as string)) as kept, cast(0 as bigint) as at)"
     part = "concat(a.kept, array(substr(text, cast(a.at + 1 as int), cast(s.start - a.at as int))))"
@@ -82,16 +82,18 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH lines AS (SELECT doc_id, place, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS start, n
-  FROM (SELECT doc_id, length(coalesce(text, '')) AS n, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents)),
-units AS (SELECT doc_id, place, start, least(start + length(line) + 1, n) AS stop,
-    translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS unit
-  FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5),
-gone AS (SELECT doc_id, place, start, stop FROM units QUALIFY row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1),
-parts AS (SELECT l.doc_id, l.place, l.line || CASE WHEN l.start + length(l.line) < l.n THEN chr(10) ELSE '' END AS piece, g.doc_id IS NOT NULL AS lost, g.start, g.stop
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place)
+WITH parts AS (SELECT doc_id, place, piece, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place) - length(piece))::BIGINT AS start
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?][ \t]+|\z)')) AS piece,
+    generate_subscripts(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?][ \t]+|\z)'), 1) AS place FROM documents)),
+units AS (SELECT *, start + length(piece) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS seq,
+    translate(trim(regexp_replace(piece, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS unit, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS words
+  FROM parts WHERE len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) >= 5),
+again AS (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1),
+runs AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM again),
+gone AS (SELECT doc_id, place, start, stop FROM runs QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= 25),
+kept AS (SELECT p.doc_id, p.place, p.piece, g.doc_id IS NOT NULL AS lost, g.start, g.stop FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place)
 SELECT doc_id, count(*) FILTER (lost) AS n_removed, coalesce(sum(stop - start), 0)::BIGINT AS removed_chars,
   coalesce(string_agg(start || ':' || stop, ',' ORDER BY start) FILTER (lost), '') AS removed,
   sha256(coalesce(string_agg(piece, '' ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
-FROM parts GROUP BY doc_id
+FROM kept GROUP BY doc_id
 """
