@@ -9,7 +9,8 @@ what they quote, turns order the conversation; quotes are taken out of the texts
 
 Cases: a null text has no lines; a null conversation is a conversation like others, a null turn comes first and is never an
 origin or a reply by quotation; quotes of unknown or later messages link to nothing but are still taken out; empty lines link to
-nothing; repeated rows are kept; extra columns are ignored.
+nothing; repeated rows are kept and linked alike; different texts of
+one turn are linked together; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def linked(messages: DataFrame) -> DataFrame:
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     parsed = m.withColumn("lines", _lines(F.col("text")))
     quoting = m.where(F.col("text").rlike(r"(?m)^[\x20\x09]*>")).select("conv_id").distinct().withColumnRenamed("conv_id", "q")
-    line = parsed.join(quoting, F.col("conv_id").eqNullSafe(F.col("q")), "left_semi").where("turn is not null").select("conv_id", "turn", F.explode("lines").alias("l"))
+    once = m.join(quoting, F.col("conv_id").eqNullSafe(F.col("q")), "left_semi").where("turn is not null").select("conv_id", "turn", "text").distinct()
+    line = once.select("conv_id", "turn", F.explode(_lines(F.col("text"))).alias("l"))
     line = line.select("conv_id", "turn", F.col("l.level").alias("level"), _normal(F.col("l.body")).alias("body")).where("body <> ''")
     line = line.groupBy("conv_id", "turn", "level", F.sha2("body", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
     origin = line.where("level = 0").groupBy(F.col("conv_id").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("origin"))
@@ -74,7 +76,8 @@ WITH parsed AS (SELECT conv_id, turn, role, row_number() OVER () AS row, coalesc
 line AS (SELECT conv_id, turn, row, place, len(regexp_replace(regexp_extract(l, '^(?:[\x20\x09]*>)+'), '[^>]', '', 'g')) AS level,
     regexp_replace(l, '^(?:[\x20\x09]*>)+', '') AS body
   FROM (SELECT conv_id, turn, row, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM parsed)),
-normal AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS body FROM line WHERE turn IS NOT NULL),
+first AS (SELECT min(row) AS row FROM parsed GROUP BY conv_id, turn, text),
+normal AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS body FROM line JOIN first USING (row) WHERE turn IS NOT NULL),
 origin AS (SELECT conv_id, body, min(turn) AS origin FROM normal WHERE level = 0 AND body <> '' GROUP BY ALL),
 found AS (SELECT n.conv_id, n.turn, origin, count(*) AS n, count(*) FILTER (level = 1) AS first
   FROM normal n JOIN origin o ON n.conv_id IS NOT DISTINCT FROM o.conv_id AND n.body = o.body WHERE n.level > 0 AND origin < n.turn GROUP BY ALL),

@@ -55,3 +55,20 @@ def test_chain_of_copies(spark):
     words = [f"c{i}" for i in range(400)]
     rows = [(100 + k, " ".join(words[6 * k : 6 * k + 100])) for k in range(50)]
     check(spark, rows)
+
+
+def test_many_queries_settle_by_components(spark, monkeypatch):
+    """The rounds that join components before all queries are opened change nothing."""
+    from lumenfold.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ngram_jaccard, "GROUP_MEMBERS", 2)
+    r = random.Random(9)
+    base = [[f"t{r.randrange(900)}" for _ in range(80)] for _ in range(6)]
+    rows = []
+    for i in range(150):
+        w = list(r.choice(base))
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
