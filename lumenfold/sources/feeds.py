@@ -94,7 +94,7 @@ def calendar_events(files: DataFrame, body: str = "value", zone: str = dates.ZON
     plain = F.regexp_replace(text(body), "\r?\n[ \t]", "")
     one = files.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"), F.lit(1))).alias("e"))
     field = lambda name: F.nullif(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1), F.lit(""))
-    clear = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"\\[nN]", "\n"), F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";")), F.lit("\\\\"), F.lit("\\"))
+    clear = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"\\[nN]", "\n"), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";")), F.lit("\\\\"), F.lit("\\"))
     raw = field("DTSTART")
     stamp = F.try_to_timestamp(F.concat(F.substring(raw, 1, 8), F.substring(raw, 10, 6)), F.lit("yyyyMMddHHmmss"))
     local = F.when(raw.endswith("Z"), F.from_utc_timestamp(stamp, zone)).otherwise(stamp)

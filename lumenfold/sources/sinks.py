@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenfold.functions import dates
 from lumenfold.functions.text import text
@@ -20,7 +21,7 @@ def feed(events: DataFrame, by: str = "profile") -> DataFrame:
 def escaped(c: str | Column) -> Column:
     """Text as an iCalendar value."""
     s = F.replace(text(c), F.lit("\\"), F.lit("\\\\"))
-    for a, b in ((";", "\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in ((";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
@@ -38,7 +39,7 @@ def fold_line(line: str, most: int = 75) -> str:
     return "\r\n".join([*out, now])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_line(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: fold_line(x) if x is not None else None)
 
