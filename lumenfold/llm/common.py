@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Links that one task of a round of components handles.
+TASK_LINKS = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -138,11 +140,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 now.select("v", "v").distinct()
             )
         mark = seen
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        parts = 1 + seen[0] // TASK_LINKS  # few links need few tasks, however many partitions shuffles have
+        now = now.coalesce(parts)
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", "m")).distinct())
+        now = written(small.coalesce(parts).union(least.select("u", "m")).coalesce(parts).distinct().coalesce(parts))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import connected_components, mix, shingle_arrays, written
 
-HEAVY_BITS = 22
+HEAVY_BITS = 24
 GROUP_MEMBERS = 256
 QUERIES_A_TASK = 256
 BROADCAST_ROWS = 100_000
@@ -261,6 +261,15 @@ def _opened(asked: DataFrame, members: DataFrame, docs: DataFrame, words: int, p
     return rows.repartition("target", "part").sortWithinPartitions("target", "part", "role").mapInArrow(_opener(words, percent), "a long, b long")
 
 
+def _apart(asked: DataFrame, joined: DataFrame) -> DataFrame:
+    """``asked`` with the ``component`` of each query's group, without queries on groups of the same component."""
+    own = joined.select(F.col("node").alias("own"), F.col("component").alias("a"))
+    target = joined.select(F.col("node").alias("target"), F.col("component").alias("b"))
+    both = asked.join(own, "own", "left").join(target, "target", "left")
+    both = both.withColumn("component", F.coalesce("a", "own")).where("component <> coalesce(b, target)")
+    return both.select("target", "rid", "own", "met", "component")
+
+
 def _enough(met: str, n: str, least: str, percent: int) -> str:
     """Whether a set of ``n`` tokens may link with a smaller one of ``least`` or more, given ``met`` common prefix tokens.
 
@@ -276,9 +285,9 @@ def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_co
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch = written(docs.mapInArrow(_sketcher(words, False), _SKETCH_DDL))
     total = sketch.agg(F.sum("n")).first()[0] or 0
+    buckets = 8 + (total >> 20)  # ranges of tokens, of about a million each
 
     counted = docs.select("text").mapInArrow(_counted(words, buckets), "bucket int, n long, blob binary, more binary")
     common = counted.groupBy("bucket").applyInArrow(_common_tokens, "token long, n long")
@@ -311,10 +320,18 @@ def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_co
     matrix = matrix.select("token", F.col("gid").alias("target"), F.col("component").alias("other"), "least", "most", F.col("indexed").alias("sure"))
     met = entries.join(matrix, "token").where(f"component <> other and least <= n and most * 100 >= n * {percent}")
     met = met.groupBy("target", "rid", "gid", "n").agg(F.count(F.lit(1)).alias("met"), F.max("sure").alias("sure"), F.min("least").alias("least"))
-    asked = written(met.where("sure").where(_enough("met", "n", "least", percent)).select("target", "rid", F.col("gid").alias("own")))
+    asked = written(met.where("sure").where(_enough("met", "n", "least", percent)).select("target", "rid", F.col("gid").alias("own"), "met"))
     inside = members.select(F.col("gid").alias("target"), "rid", F.col("gid").alias("own"))
-    inside = inside.join(asked.select("target").distinct(), "target", "left_semi")
-    late = written(_opened(asked, inside, docs, words, percent))
+    while asked.count() > BROADCAST_ROWS:
+        # Many queries: first the best one of each component, as long as that joins components, which settles others.
+        best = asked.groupBy(F.col("own") if "component" not in asked.columns else F.col("component")).agg(F.max_by(F.struct("target", "rid", "own"), F.struct("met", "target", "rid")).alias("b")).select("b.*")
+        found = written(_opened(best, inside.join(best.select("target").distinct(), "target", "left_semi"), docs, words, percent))
+        if not found.limit(1).count():
+            break
+        links = written(links.union(found))
+        joined = written(connected_components(links))
+        asked = written(_apart(asked.select("target", "rid", "own", "met"), joined))
+    late = written(_opened(asked.select("target", "rid", "own"), inside.join(asked.select("target").distinct(), "target", "left_semi"), docs, words, percent))
     if late.limit(1).count():
         joined = written(connected_components(links.union(late)))
 
