@@ -32,7 +32,9 @@ GROUP_MEMBERS = 256
 QUERIES_A_TASK = 256
 BROADCAST_ROWS = 100_000
 COMMON = 16
-_POST_ROWS = 1 << 19
+_POST_ROWS = 1 << 18
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -281,7 +283,20 @@ def _enough(met: str, n: str, least: str, percent: int) -> str:
 
 
 def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``; the component is its smallest id."""
+    """(doc_id, n_shingles, component_id), a row for each row of ``docs``; the component is its smallest id.
+
+    All work on texts is done when this returns, in Arrow batches of few rows, as workers hold a batch several times.
+    """
+    spark = docs.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        return _components(docs, percent, words, id_col, text_col)
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def _components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
