@@ -25,8 +25,8 @@ def best_offers(events: DataFrame, offers: DataFrame) -> DataFrame:
     """(key, offer, rank): the offer of an event's day that suits it best.
 
     events: key, day, venue, name; offers: offer, day, venue, name, ord. A shared venue word weighs 2, all words of the
-    offer's name among the event's 1; of equals the first offer stays. Candidates meet by day and a shared word of venue or
-    by day and the rarest... any word of the name, so days are not multiplied out.
+    offer's name among the event's 1; of equals the first offer stays. Candidates meet by day and a shared word of the venue, or
+    by day and the first word of the offer's name, which a full match must have; days are not multiplied out.
     """
     e = events.select("key", "day", _long_words(venue_key("venue"), 3).alias("v"), F.split(normalized("name"), " ").alias("n"))
     o = offers.select("offer", "ord", F.col("day").alias("d"), _long_words(venue_key("venue"), 3).alias("ov"), F.filter(F.split(normalized("name"), " "), lambda w: w != "").alias("on"))
