@@ -35,7 +35,7 @@ def op5_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counted(_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+    return token_counts.merged(_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
-"""Operator 6, token counts: count-only Viterbi over a unigram vocabulary.
+"""Operator 6, token counts, by the kind of model that a file holds.
 
-The tokenizer is a unigram model behind a metaspace pre-tokenizer: each space starts a new unit with the letter U+2581,
+``merged`` counts the pieces of a sentencepiece BPE file by its own merges; the query uses it, as the only sentencepiece
+file at hand is BPE: its scores are ranks of merges, no log-probabilities. ``counted`` is for unigram files: count-only Viterbi.
+
+The unigram tokenizer is a model behind a metaspace pre-tokenizer: each space starts a new unit with the letter U+2581,
 and so does the text. An Aho-Corasick automaton enumerates the vocabulary's matches in a unit by end; the dynamic
 program keeps for each position the best score and the number of pieces on its path, no path itself. Of equal scores
 the path whose last piece starts first stays, as in the tokenizer's forward pass with a strict comparison. A character that no
@@ -13,7 +16,7 @@ Cases: a null text is empty and has no tokens; repeated rows are counted alike;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +27,22 @@ UNKNOWN_PENALTY = 10.0
 CACHE = 500_000
 
 
+#: Of this worker process, which serves many tasks.
+_MODELS: dict = {}
+
+
+def model_of(path: str):
+    """The sentencepiece model of a file."""
+    if path not in _MODELS:
+        import sentencepiece
+
+        _MODELS[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _MODELS[path]
+
+
 def vocabulary(path: str) -> list[tuple[str, float]]:
     """(piece, score) by id of a sentencepiece file."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = model_of(path)
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
@@ -96,13 +110,26 @@ def counter_of(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def counted(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_chars, n_tokens), a row for each row of ``docs``."""
-
+def _counts(docs: DataFrame, counter: Callable[[], Callable[[str], int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path)
+        count = counter()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(map(counter.text, texts), pa.int64())], ["doc_id", "n_chars", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(map(count, texts), pa.int64())], ["doc_id", "n_chars", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long")
+
+
+def counted(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_chars, n_tokens), a row for each row of ``docs``, by a unigram file."""
+    return _counts(docs, lambda: counter_of(path).text)
+
+
+def merged(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_chars, n_tokens), a row for each row of ``docs``, by the merges of a BPE file."""
+
+    def counter() -> Callable[[str], int]:
+        encode = model_of(path).encode
+        return lambda text: len(encode(text))
+
+    return _counts(docs, counter)
