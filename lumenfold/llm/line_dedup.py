@@ -7,6 +7,10 @@ that follow each other, units that don't count aside, form a run, and runs of ``
 an odd sentence that many texts share is no passage. The spans that go are kept with their offsets in the original
 text, code points with the end exclusive, the unit's break included.
 
+The query works with ``whole``: units below ``LEAST_WORDS`` words are digested too; where they repeat they extend a run and go
+with it, else they neither count nor break it. Lines, paragraphs (up to a blank line) and texts of ``LEAST_RUN`` words or more are
+units of their own beside the sentences and go where their words as a whole were there before, wherever the breaks are.
+
 Cases: a null text is empty; a null id ranks last, of equal ids the smaller hash of the text; rows that are equal in id and text are
 one document and keep the same; extra columns are ignored.
 """
@@ -40,31 +44,75 @@ def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int,
         start = end
 
 
-def _cutter(least: int):
+def _mark(words: list[str]) -> bytes:
+    return blake2b(" ".join(words).translate(_FOLD).encode(), digest_size=16).digest()
+
+
+def numbered(text: str, least: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(seq, start, end, words, digest) of the units that count; seq: how many of them are before."""
+    for seq, u in enumerate(units(text, least)):
+        yield seq, *u
+
+
+def nested(text: str, least: int, run: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """As ``numbered``, with short units, and with seq -1 lines, paragraphs and the text, if of ``run`` words or more and more than their largest part."""
+    seq = start = line = paragraph = 0
+    of_line, of_paragraph, of_text = [], [], []
+    sentence = longest = block = 0  # words of the largest part of each
+    for end in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
+        words = _WORDS.findall(text, start, end)
+        if words:
+            yield seq, start, end, len(words), _mark(words)
+            seq += len(words) >= least
+            sentence = max(sentence, len(words))
+            of_line += words
+        if end == len(text) or text[end - 1] == "\n":
+            if len(of_line) >= run and len(of_line) > sentence:
+                yield -1, line, end, len(of_line), _mark(of_line)
+            longest = max(longest, len(of_line))
+            of_paragraph += of_line
+            if not of_line or end == len(text):
+                if len(of_paragraph) >= run and len(of_paragraph) > longest:
+                    yield -1, paragraph, end if of_line else line, len(of_paragraph), _mark(of_paragraph)
+                block = max(block, len(of_paragraph))
+                of_text += of_paragraph
+                paragraph, of_paragraph, longest = end, [], 0
+            line, of_line, sentence = end, [], 0
+        start = end
+    if len(of_text) >= run and len(of_text) > block:
+        yield -1, 0, len(text), len(of_text), _mark(of_text)
+
+
+def _cutter(least: int, least_run: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, rid, seq, *u) for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True) for seq, u in enumerate(units(text or "", least))]
+            rows = [(doc, rid, *u) for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True) for u in (nested(text or "", least, least_run) if whole else numbered(text or "", least))]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "rid", "seq", "start", "end", "words", "mark"])
 
     return run
 
 
-def removed_spans(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN) -> DataFrame:
+def removed_spans(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN, whole: bool = False) -> DataFrame:
     """(rid, spans) of documents that lose units; spans: array of (start, end, keeper), by start."""
-    found = written(docs.select("doc_id", "rid", "text").mapInArrow(_cutter(least), "doc_id long, rid long, seq int, start long, end long, words int, mark binary"))
+    found = written(docs.select("doc_id", "rid", "text").mapInArrow(_cutter(least, run, whole), "doc_id long, rid long, seq int, start long, end long, words int, mark binary"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")
     first = found.groupBy("mark").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     gone = found.join(first, "mark").where("not (rid = first.rid and start = first.start)").select("rid", "seq", "start", "end", "words", F.col("first.doc_id").alias("keeper")).distinct()
-    island = gone.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy("rid").orderBy("seq")))
-    long = island.withColumn("total", F.sum("words").over(Window.partitionBy("rid", "run"))).where(F.col("total") >= run)
+    before = Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counting = F.when((F.col("seq") >= 0) & (F.col("words") >= least), 1).otherwise(0)
+    island = gone.withColumn("run", F.when(F.col("seq") >= 0, F.col("seq") - F.coalesce(F.sum(counting).over(before), F.lit(0))))
+    long = island.withColumn("total", F.sum("words").over(Window.partitionBy("rid", "run"))).where((F.col("seq") < 0) | (F.col("total") >= run))
+    if whole:  # parts of what goes as a whole are not told again
+        outer = Window.partitionBy("rid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+        long = long.withColumn("past", F.max("end").over(outer)).where("past is null or past < end")
     return long.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "keeper"))).alias("spans"))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN, whole: bool = False) -> DataFrame:
     """``docs`` with its ``text`` less repeated passages, and ``removed``, the spans that went (empty: none)."""
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = removed_spans(docs, least, run).withColumnRenamed("rid", "r")
+    spans = removed_spans(docs, least, run, whole).withColumnRenamed("rid", "r")
     out = docs.join(spans, F.col("rid") == F.col("r"), "left")
     state = "struct(array(cast('' as string)) as kept, cast(0 as bigint) as at)"
     part = "concat(a.kept, array(substr(text, cast(a.at + 1 as int), cast(s.start - a.at as int))))"
@@ -73,9 +121,9 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS, run: int = LEAST_RUN
     return out.withColumn("text", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("text"))).withColumn("removed", F.coalesce("spans", none)).drop("spans", "r", "rid")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, n_removed, removed_chars, removed, kept_sha256) of each row."""
-    out = deduplicated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    out = deduplicated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), whole=whole)
     lengths = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), lengths.alias("removed_chars"), spans.alias("removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -39,7 +39,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+    return line_dedup.digest(_table(spark, sf_dir, "documents"), whole=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
