@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import connected_components, mix, shingle_arrays, written
@@ -282,8 +282,18 @@ def _enough(met: str, n: str, least: str, percent: int) -> str:
     return f"({met} + {rest}) * {100 + percent} >= {percent} * ({n} + greatest({least}, ({n} * {percent} + 99) div 100))"
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The key of a row by id and text; rows that are equal in both share it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``; the component is its smallest id.
+    """(doc_id, n_shingles, component_id), a row for each row of ``docs``; the component is its smallest id."""
+    return shingle_classes(docs, percent, words, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def shingle_classes(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``shingle_components``, with ``rid``, the row's key, and ``component``, which isn't null but for rows without words.
 
     All work on texts is done when this returns, in Arrow batches of few rows, as workers hold a batch several times.
     """
@@ -298,8 +308,7 @@ def shingle_components(docs: DataFrame, percent: int = 75, words: int = 5, id_co
 
 def _components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", row_key())
     sketch = written(docs.mapInArrow(_sketcher(words, False), _SKETCH_DDL))
     total = sketch.agg(F.sum("n")).first()[0] or 0
     buckets = 8 + (total >> 20)  # ranges of tokens, of about a million each
@@ -354,6 +363,6 @@ def _components(docs: DataFrame, percent: int, words: int, id_col: str, text_col
     of_set = sets.join(comp, "gid", "left").select("s1", "s2", F.coalesce("component", "gid").alias("component"))
     of_set = written(of_set.join(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), ["s1", "s2"]))
     smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = of_set.join(smallest, "component").select("s1", "s2", "component_id")
+    of_set = of_set.join(smallest, "component").select("s1", "s2", "component", "component_id")
     out = sketch.join(of_set, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "rid", F.when(F.col("n") > 0, F.col("component")).alias("component"))

@@ -19,11 +19,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id stays; rows that repeat its id stay with it."""
-    classes = ngram_jaccard.shingle_components(docs)
-    gone = classes.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    docs = docs.select(*COLUMNS)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """Of each class of similar documents one row stays: that of the smallest id that isn't null, then of the smallest key.
+
+    Rows are told apart by id and text, so null and repeated ids lose no other text; of rows equal in both the least one stays.
+    Rows without words are in no class and all stay.
+    """
+    classes = ngram_jaccard.shingle_classes(docs).where("component is not null")
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
+    counts = classes.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+    stays = counts.join(first.withColumn("stays", F.lit(True)), "rid", "left")
+    told = stays.where("stays is null or n > 1").select(F.col("rid").alias("r"), F.coalesce("stays", F.lit(False)).alias("repeats"))
+    docs = docs.select(*COLUMNS).withColumn("rid", ngram_jaccard.row_key())
+    docs = docs.join(told, F.col("rid") == F.col("r"), "left")
+    one = docs.where("repeats").groupBy("rid").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return docs.where("repeats is null").select(*COLUMNS).union(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
