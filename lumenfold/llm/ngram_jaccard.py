@@ -11,6 +11,9 @@ With threshold t = percent/100, sets x and y with |x| >= |y| and Jaccard >= t sh
 |y| - ceil(2t/(1+t)|y|) + 1 tokens of y: no link is lost. Tokens counted in more than total/2**HEAVY_BITS sets
 come last in that order; there can be at most 2**HEAVY_BITS of them, which bounds what is broadcast.
 
+Only components are computed: links are searched between components that aren't joined yet, so there is no count or list of
+all links, or of pairs of different sets, within one.
+
 Cases: a null text is empty; a document without words has an empty set, links with nothing and is its own
 component. Equal sets are linked. Repeated rows give repeated result rows. A null id is allowed and takes part
 in links; ids of components are the smallest that isn't null. Extra columns are ignored.
