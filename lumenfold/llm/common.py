@@ -39,7 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lumenfold_path = path
+    return back
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._lumenfold_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -141,10 +151,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         mark = seen
         parts = 1 + seen[0] // TASK_LINKS  # few links need few tasks, however many partitions shuffles have
-        now = now.coalesce(parts)
+        before, now = now, now.coalesce(parts)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.coalesce(parts).union(least.select("u", "m")).coalesce(parts).distinct().coalesce(parts))
+        discarded(before)

@@ -1,22 +1,24 @@
 """Operator 1, n-gram Jaccard join: a token-group matrix over shingle sets.
 
 Similar documents are put into groups (a min-hash brings them together, an exact check against the group's
-leader admits them). The matrix holds for each token the groups whose members have it among their index
-tokens. A set that meets a group there is a query on it: the number of its tokens in the group's union bounds
-its overlap with any member, and only groups whose bound reaches the threshold are opened and compared
-member by member, exactly.
+leader admits them). A token matters only where sets of different components have it; a set with too few such
+tokens links with nothing outside its component and is put aside, which is repeated as components grow. What
+remains is the matrix: tokens that the same sets have are one column with a weight, and each group stores the
+union of its members' columns. A set is a query on the groups that share one of its rarest columns where what
+both still have after that column allows a link; the weight of its columns in a group's union bounds its overlap
+with any member, and only groups whose bound reaches the threshold are opened and compared member by member, exactly.
 
-With threshold t = percent/100, sets x and y with |x| >= |y| and Jaccard >= t share at least t|x| and at least
-2t/(1+t)|y| tokens. So under one order of all tokens, the first |x| - ceil(t|x|) + 1 tokens of x meet the first
-|y| - ceil(2t/(1+t)|y|) + 1 tokens of y: no link is lost. Tokens counted in more than total/2**HEAVY_BITS sets
-come last in that order; there can be at most 2**HEAVY_BITS of them, which bounds what is broadcast.
+No link is lost: with threshold t = percent/100 two sets share at least t times the larger one's size, so each has at
+least so many tokens of other components; under one order of columns their first common one is among the first
+c - t n + 1 tokens of each, c being the number of a set's tokens that count; and all they share stands at or after it in both.
 
 Only components are computed: links are searched between components that aren't joined yet, so there is no count or list of
 all links, or of pairs of different sets, within one.
 
 Cases: a null text is empty; a document without words has an empty set, links with nothing and is its own
 component. Equal sets are linked. Repeated rows give repeated result rows. A null id is allowed and takes part
-in links; ids of components are the smallest that isn't null. Extra columns are ignored.
+in links; ids of components are the smallest that isn't null. Very long texts are sets like others. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,23 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import connected_components, mix, shingle_arrays, written
+from lumenfold.llm.common import connected_components, discarded, mix, shingle_arrays, written
 
-HEAVY_BITS = 24
 GROUP_MEMBERS = 256
 QUERIES_A_TASK = 256
-BROADCAST_ROWS = 100_000
-COMMON = 16
-_POST_ROWS = 1 << 18
+#: Tokens that a task gathers before it deals them out, and tokens of one range that meet in a task.
+PART_TOKENS = 1 << 20
+RANGE_TOKENS = 1 << 22
+#: Bits that tokens have beyond those that tell all of them apart by number.
+SPARE_BITS = 24
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+_COMPONENT = "coalesce(component, gid)"
 
 
 def _frame(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -95,48 +96,8 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u8").reshape(-1)
 
 
-_BLOB = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("blob", pa.binary()), ("more", pa.binary())])
-
-
-def _counted(words: int, buckets: int):
-    """How often each token (its top 40 bits) occurs in the task's texts, packed by range of tokens."""
-
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cuts = np.searchsorted(keys, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(buckets))
-        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-        return _frame(_BLOB, [[b for b, _, _ in rows], [hi - lo for _, lo, hi in rows], [_packed(np.diff(keys[lo:hi], prepend=np.uint64(0))) for _, lo, hi in rows], [_packed(counts[lo:hi]) for _, lo, hi in rows]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, many = [], 0
-        for batch in batches:
-            for t in shingle_arrays(batch.column("text"), words):
-                parts.append(t >> np.uint64(24))
-                many += len(t)
-                if many >= 2 * _POST_ROWS:
-                    yield flush(parts)
-                    parts, many = [], 0
-        if many:
-            yield flush(parts)
-
-    return run
-
-
-def _common_tokens(table: pa.Table) -> pa.Table:
-    keys = [np.cumsum(_unpacked(b, n), dtype=np.uint64) for b, n in zip(table["blob"].to_pylist(), table["n"].to_pylist(), strict=True)]
-    counts = [_unpacked(b, n) for b, n in zip(table["more"].to_pylist(), table["n"].to_pylist(), strict=True)]
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sums = np.add.reduceat(counts, at)
-    keep = sums > COMMON
-    return pa.table({"token": pa.array(keys[at][keep].astype(np.int64)), "n": pa.array(sums[keep].astype(np.int64))})
-
-
-_GROUPED = pa.schema([("kind", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("rid", pa.int64()), ("gid", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())])
-_GROUPED_DDL = "kind int, s1 long, s2 long, rid long, gid long, n long, bucket int, tokens binary, owners binary"
-_POSTING = np.dtype([("token", "<u8"), ("rid", "<i8"), ("gid", "<i8"), ("n", "<i4"), ("index", "<i4")])
+def _ascending(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(blob, n), dtype=np.uint64)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -146,32 +107,51 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _grouper(words: int, percent: int, buckets: int, heavy):
-    """Groups of a task's sets (rows sorted by min-hash): kind 0 rows name members, kind 1 rows hold matrix entries."""
-
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        p = np.concatenate(parts)
-        p = p[np.argsort(p["token"], kind="stable")]
-        cuts = np.searchsorted(p["token"] >> np.uint64(24), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(buckets))
-        rows = [(b, p[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-        owners = [b"".join(len(x).to_bytes(8, "little") + x for x in (_packed(r["rid"].astype(np.int64).view(np.uint64)), _packed((r["gid"] ^ r["rid"]).astype(np.int64).view(np.uint64)), _packed(2 * r["n"] + r["index"]))) for _, r in rows]
-        none = [None] * len(rows)
-        return _frame(_GROUPED, [[1] * len(rows), none, none, none, none, [len(r) for _, r in rows], [b for b, _ in rows], [_packed(np.diff(r["token"], prepend=np.uint64(0))) for _, r in rows], owners])
+#: kind 0: the members of a part (n of them; rid, gid, s1, s2 and size); kind 1: tokens to be compared with other
+#: parts', each with the owner's number from 1, or 0 where owners are told already; kind 2: tokens of several groups, with owners.
+_PIECE = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary())])
+_PIECE_DDL = "range int, part long, kind int, n long, tokens binary, owners binary"
+
+
+def _pieces(part: int, members: list[tuple], tokens: list[np.ndarray], bits: int, ranges: int) -> pa.RecordBatch:
+    facts = np.array(members, np.int64).reshape(-1, 5)
+    t = np.concatenate(tokens)
+    owner = np.repeat(np.arange(len(members)), facts[:, 4])
+    order = np.argsort(t, kind="stable")
+    t, owner = t[order], owner[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    group = facts[:, 1][owner]
+    several = np.minimum.reduceat(group, at) != np.maximum.reduceat(group, at)
+    known = np.repeat(several, np.diff(np.append(at, len(t))))
+    rows = [(part % ranges, 0, len(members), facts.T.tobytes(), None)]
+    if known.any():
+        rows.append((part % ranges, 2, int(known.sum()), _packed(np.diff(t[known], prepend=np.uint64(0))), _packed(owner[known])))
+    sent, whose = np.concatenate([t[~known], t[at][several]]), np.concatenate([owner[~known] + 1, np.zeros(int(several.sum()), np.int64)])
+    order = np.argsort(sent, kind="stable")
+    sent, whose = sent[order], whose[order]
+    cuts = np.searchsorted(sent, np.array([((1 << bits) * k) // ranges for k in range(ranges + 1)], np.uint64))
+    cuts[-1] = len(sent)
+    for r, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if hi > lo:
+            rows.append((r, 1, int(hi - lo), _packed(np.diff(sent[lo:hi], prepend=np.uint64(0))), _packed(whose[lo:hi])))
+    return _frame(_PIECE, [[r[0] for r in rows], [part] * len(rows), *([r[k] for r in rows] for k in range(1, 5))])
+
+
+def _grouper(words: int, percent: int, bits: int, ranges: int):
+    """Groups of a task's sets (rows sorted by min-hash) as rows of _PIECE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = heavy.value
-        parts, many = [], 0
-        key, leaders, seen = None, [], {}
+        part, members, tokens, many = TaskContext.get().partitionId() << 24, [], [], 0
+        key, leaders, seen = None, [], set()
         for batch in batches:
             ids = [batch.column(c).to_pylist() for c in ("rid", "s1", "s2", "mh")]
-            members = []
             for rid, s1, s2, mh, t in zip(*ids, shingle_arrays(batch.column("text"), words), strict=True):
                 if mh != key:
-                    key, leaders, seen = mh, [], {}
+                    key, leaders, seen = mh, [], set()
                 if (s1, s2) in seen:
                     continue
                 if len(seen) < 1 << 16:
-                    seen[s1, s2] = True
+                    seen.add((s1, s2))
                 for leader in leaders:
                     if leader[2] < GROUP_MEMBERS and _linked(leader[1], t, percent):
                         leader[2] += 1
@@ -180,109 +160,177 @@ def _grouper(words: int, percent: int, buckets: int, heavy):
                 else:
                     gid = rid
                     leaders = [[rid, t, 1], *leaders[:7]]
-                members.append((s1, s2, rid, gid, len(t)))
-                n = len(t)
-                last = np.zeros(n, bool)
-                if len(common):
-                    top = t >> np.uint64(24)
-                    last = common[np.minimum(np.searchsorted(common, top), len(common) - 1)] == top
-                first = np.concatenate([t[~last], t[last]])[: n - -(-percent * n // 100) + 1]
-                post = np.zeros(len(first), _POSTING)
-                post["token"], post["rid"], post["gid"], post["n"] = first, rid, gid, n
-                post["index"][: n - -(-2 * percent * n // (100 + percent)) + 1] = 1
-                parts.append(post)
-                many += len(post)
-                if many >= _POST_ROWS:
-                    yield flush(parts)
-                    parts, many = [], 0
-            none = [None] * len(members)
-            yield _frame(_GROUPED, [[0] * len(members), *([m[k] for m in members] for k in range(5)), none, none, none])
-        if many:
-            yield flush(parts)
+                members.append((rid, gid, s1, s2, len(t)))
+                tokens.append(t >> np.uint64(64 - bits))
+                many += len(t)
+                if many >= PART_TOKENS:
+                    yield _pieces(part, members, tokens, bits, ranges)
+                    part, members, tokens, many = part + 1, [], [], 0
+        if members:
+            yield _pieces(part, members, tokens, bits, ranges)
 
     return run
 
 
-def _shared_tokens(table: pa.Table) -> pa.Table:
-    """The matrix entries of a range of tokens, without tokens that only one group has."""
-    parts = []
-    for n, tokens, owners in zip(*(table[c].to_pylist() for c in ("n", "tokens", "owners")), strict=True):
-        p, at = np.zeros(n, _POSTING), 0
-        p["token"] = np.cumsum(_unpacked(tokens, n), dtype=np.uint64)
-        got = []
-        for _ in range(3):
-            size = int.from_bytes(owners[at : at + 8], "little")
-            got.append(_unpacked(owners[at + 8 : at + 8 + size], n))
-            at += 8 + size
-        p["rid"] = got[0].view(np.int64)
-        p["gid"] = p["rid"] ^ got[1].view(np.int64)
-        p["n"], p["index"] = got[2] >> np.uint64(1), got[2] & np.uint64(1)
-        parts.append(p)
-    p = np.concatenate(parts)
-    p = p[np.argsort(p["token"], kind="stable")]
-    at = np.flatnonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]]))
-    low, high = np.minimum.reduceat(p["gid"], at), np.maximum.reduceat(p["gid"], at)
-    p = p[np.repeat(low != high, np.diff(np.append(at, len(p))))]
-    return pa.table({"token": _signed(p["token"]), "rid": pa.array(p["rid"].copy()), "gid": pa.array(p["gid"].copy()), "n": pa.array(p["n"].astype(np.int64)), "indexed": pa.array(p["index"] > 0)})
+def _shared(rows: list[tuple]) -> Iterator[tuple]:
+    """Of a range's pieces (part, n, tokens, owners) those of tokens that several parts or groups have, as pieces of kind 2."""
+    t = np.concatenate([_ascending(r[2], r[1]) for r in rows])
+    owner = np.concatenate([_unpacked(r[3], r[1]).astype(np.int32) for r in rows])
+    part = np.repeat(np.arange(len(rows), dtype=np.int32), [r[1] for r in rows])
+    order = np.argsort(t, kind="stable")
+    t, owner, part = t[order], owner[order], part[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    shared = (np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)) | (np.minimum.reduceat(owner, at) == 0)
+    keep = np.repeat(shared, np.diff(np.append(at, len(t)))) & (owner > 0)
+    t, owner, part = t[keep], owner[keep], part[keep]
+    order = np.argsort(part, kind="stable")
+    t, owner, part = t[order], owner[order], part[order]
+    cuts = np.searchsorted(part, np.arange(len(rows) + 1))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if hi > lo:
+            yield rows[k][0], int(hi - lo), _packed(np.diff(t[lo:hi], prepend=np.uint64(0))), _packed(owner[lo:hi] - 1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _PIECE sorted by range; those of kind 0 and 2 pass, those of kind 1 become kind 2."""
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = list(_shared(rows))
+        if found:
+            yield _frame(_PIECE, [[0] * len(found), [r[0] for r in found], [2] * len(found), *([r[k] for r in found] for k in range(1, 4))])
+
+    now, rows = None, []
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        passing = np.flatnonzero(kinds != 1)
+        if len(passing):
+            yield batch.take(pa.array(passing))
+        part = batch.take(pa.array(np.flatnonzero(kinds == 1)))
+        for r, *piece in zip(*(part.column(c).to_pylist() for c in ("range", "part", "n", "tokens", "owners")), strict=True):
+            if r != now and rows:
+                yield from out(rows)
+                rows = []
+            now = r
+            rows.append(tuple(piece))
+    if rows:
+        yield from out(rows)
+
+
+_MEMBER = pa.schema([*((c, pa.int64()) for c in ("rid", "gid", "s1", "s2", "n")), ("tokens", pa.list_(pa.int64()))])
+_MEMBER_DDL = "rid long, gid long, s1 long, s2 long, n long, tokens array<long>"
+
+
+def _members(percent: int):
+    """Rows of _PIECE sorted by part and kind: each set, with its tokens that other groups have too if these are enough for a link."""
+
+    def out(facts: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        many = len(facts)
+        t = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in pieces)])
+        owner = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in pieces)])
+        enough = 100 * np.bincount(owner, minlength=many) >= percent * facts[:, 4]
+        keep = enough[owner]
+        t, owner = t[keep], owner[keep]
+        order = np.lexsort((t, owner))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=many))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(t[order].astype(np.int64)))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(facts[:, k])) for k in range(5)), lists], schema=_MEMBER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts, pieces = None, []
+        for batch in batches:
+            for kind, n, tokens, owners in zip(*(batch.column(c).to_pylist() for c in ("kind", "n", "tokens", "owners")), strict=True):
+                if kind == 0:
+                    if facts is not None:
+                        yield out(facts, pieces)
+                    facts, pieces = np.frombuffer(tokens, np.int64).reshape(5, n).T, []
+                else:
+                    pieces.append((_ascending(tokens, n), _unpacked(owners, n).astype(np.int64)))
+        if facts is not None:
+            yield out(facts, pieces)
+
+    return run
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _opener(words: int, percent: int):
+def _opener(percent: int):
     """Rows sorted by group part, members (role 0) first: yields (a, b), the groups of a query and a member that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, union = None, [], np.zeros(0, np.uint64)
+        key, members = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("target", "part", "role", "own")]
+            cols = [batch.column(c).to_pylist() for c in ("target", "part", "role", "own", "n")]
+            lists = batch.column("tokens")
             found = set()
-            for target, part, role, own, t in zip(*cols, shingle_arrays(batch.column("text"), words), strict=True):
+            for i, (target, part, role, own, n) in enumerate(zip(*cols, strict=True)):
+                t = lists[i].values.to_numpy()
                 if (target, part) != key:
-                    key, members, union = (target, part), [], None
+                    key, members = (target, part), []
                 if role == 0:
-                    members.append((own, t))
+                    members.append((own, n, t))
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([m for _, m in members])) if members else np.zeros(0, np.uint64)
-                bound = len(np.intersect1d(t, union, assume_unique=True))
-                if 100 * bound < percent * len(t):
-                    continue
-                found.update((own, o) for o, m in members if o != own and _linked(t, m, percent))
+                for other, size, m in members:
+                    least = -(-percent * (n + size) // (100 + percent))
+                    if (own, other) not in found and min(len(t), len(m)) >= least and len(np.intersect1d(t, m, assume_unique=True)) >= least:
+                        found.add((own, other))
             yield _frame(_LINK, [[a for a, _ in found], [b for _, b in found]])
 
     return run
 
 
-def _opened(asked: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between groups. asked: (target, rid, own), queries on targets. members: (target, rid, own)."""
-    asked = asked.distinct()
+def _needed(a: str, b: str, percent: int) -> str:
+    """The least overlap, times 100 + percent, of linked sets of these sizes."""
+    return f"{percent} * ({a} + {b})"
+
+
+def _sure(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of groups, found without pairing sets: each set with the one of the fewest other tokens that shares a token."""
+    e = sets.select("rid", "gid", "n", (F.col("n") - F.size("tokens")).alias("own"), F.explode("tokens").alias("token"))
+    first = e.groupBy("token").agg(F.min(F.struct("own", "n", "gid", "rid")).alias("m"))
+    met = e.join(first, "token").where("gid <> m.gid").groupBy("rid", "gid", "n", "m").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(f"met * {100 + percent} >= {_needed('n', 'm.n', percent)}").select(F.col("gid").alias("a"), F.col("m.gid").alias("b")).distinct()
+
+
+def _between(sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """``sets`` with their component, without tokens that one component alone has and without sets that have too few others."""
+    sets = sets.drop("component").join(joined.select(F.col("node").alias("gid"), "component"), "gid", "left").withColumn("component", F.expr(_COMPONENT))
+    e = sets.select("rid", "gid", "component", "n", F.explode("tokens").alias("token"))
+    several = e.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    left = e.join(several, "token").groupBy("rid", "gid", "component", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return written(left.where(f"100 * size(tokens) >= {percent} * n"))
+
+
+def _asked(sets: DataFrame, percent: int) -> DataFrame:
+    """(target, rid, own): the groups that each set has to be compared with, told by the matrix of columns and groups."""
+    e = sets.select("rid", "gid", "component", "n", F.size("tokens").alias("c"), F.explode("tokens").alias("token"))
+    have = [F.count(F.lit(1)).alias("freq"), F.expr("bit_xor(xxhash64(rid))").alias("x1"), F.expr("bit_xor(xxhash64(rid, 1))").alias("x2")]
+    columns = e.groupBy("token").agg(*have).groupBy("freq", "x1", "x2").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "freq", "weight")
+    cells = written(e.join(columns, "token"))
+    order = Window.partitionBy("rid").orderBy("freq", "token").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("rest", F.col("c") - F.sum("weight").over(order) + F.col("weight"))
+    ranked = written(ranked.where(f"rest >= (n * {percent} + 99) div 100").select("token", "rid", "gid", "component", "n", "rest"))
+    index = ranked.groupBy("token", F.col("gid").alias("target"), F.col("component").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest"))
+    fits = f"least <= n and most * 100 >= n * {percent} and least(rest, most_rest) * {100 + percent} >= {_needed('n', f'greatest(least, (n * {percent} + 99) div 100)', percent)}"
+    met = ranked.join(index, "token").where(f"component <> other and {fits}").groupBy("target", "rid", "gid").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    met = written(met)
+    union = cells.select(F.col("gid").alias("target"), "token", "weight").distinct()
+    bound = met.join(cells.select("rid", "token"), "rid").join(union, ["target", "token"]).groupBy("target", "rid", "gid", "n", "least").agg(F.sum("weight").alias("bound"))
+    asked = bound.where(f"bound * {100 + percent} >= {_needed('n', f'greatest(least, (n * {percent} + 99) div 100)', percent)}")
+    asked = written(asked.select("target", "rid", F.col("gid").alias("own")))
+    discarded(cells, ranked, met)
+    return asked
+
+
+def _opened(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups: each query against the members of its targets, in parts of ``QUERIES_A_TASK`` queries."""
     parts = asked.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / QUERIES_A_TASK).alias("parts"))
-    queries = asked.join(parts, "target").select("target", F.pmod(F.xxhash64("rid"), "parts").alias("part"), F.lit(1).alias("role"), "own", "rid")
-    opened = members.distinct().join(parts, "target").select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "own", "rid")
-    wanted = written(queries.union(opened))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.select("rid", "text").join(side, "rid").drop("rid")
-    return rows.repartition("target", "part").sortWithinPartitions("target", "part", "role").mapInArrow(_opener(words, percent), "a long, b long")
-
-
-def _apart(asked: DataFrame, joined: DataFrame) -> DataFrame:
-    """``asked`` with the ``component`` of each query's group, without queries on groups of the same component."""
-    own = joined.select(F.col("node").alias("own"), F.col("component").alias("a"))
-    target = joined.select(F.col("node").alias("target"), F.col("component").alias("b"))
-    both = asked.join(own, "own", "left").join(target, "target", "left")
-    both = both.withColumn("component", F.coalesce("a", "own")).where("component <> coalesce(b, target)")
-    return both.select("target", "rid", "own", "met", "component")
-
-
-def _enough(met: str, n: str, least: str, percent: int) -> str:
-    """Whether a set of ``n`` tokens may link with a smaller one of ``least`` or more, given ``met`` common prefix tokens.
-
-    Up to where the shorter-reaching of both prefixes ends, all common tokens are among those met; after it, at
-    most the rest of the larger set is common, and a link needs percent/(100 + percent) of both sizes.
-    """
-    rest = f"(greatest({n}, {least}) * {percent} + 99) div 100 - 1"
-    return f"({met} + {rest}) * {100 + percent} >= {percent} * ({n} + greatest({least}, ({n} * {percent} + 99) div 100))"
+    facts = sets.select("rid", "n", "tokens")
+    queries = asked.join(parts, "target").select("target", F.pmod(F.xxhash64("rid"), "parts").alias("part"), F.lit(1).alias("role"), "own", "rid").join(facts, "rid").drop("rid")
+    members = sets.select(F.col("gid").alias("target"), F.col("gid").alias("own"), "n", "tokens").join(parts, "target")
+    members = members.select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "own", "n", "tokens")
+    rows = queries.unionByName(members)
+    return rows.repartition("target", "part").sortWithinPartitions("target", "part", "role").mapInArrow(_opener(percent), "a long, b long")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -309,62 +357,42 @@ def shingle_classes(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
         spark.conf.set(_BATCH, before)
 
 
+def _grouped(docs: DataFrame, total: int, percent: int, words: int) -> DataFrame:
+    """Each set with its group, and with the tokens that other groups have too if these are enough for a link."""
+    bits = min(64, total.bit_length() + SPARE_BITS)
+    ranges = 8 + total // RANGE_TOKENS
+    texts = docs.mapInArrow(_sketcher(words, True), _SKETCH_DDL + ", text string").select("rid", "s1", "s2", "mh", "text")
+    pieces = texts.hint("rebalance", "mh").sortWithinPartitions("mh", "s1", "s2", "rid").mapInArrow(_grouper(words, percent, bits, ranges), _PIECE_DDL)
+    met = pieces.repartition("range").sortWithinPartitions("range", "part").mapInArrow(_meet, _PIECE_DDL)
+    return written(met.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_members(percent), _MEMBER_DDL))
+
+
 def _components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", row_key())
     sketch = written(docs.mapInArrow(_sketcher(words, False), _SKETCH_DDL))
     total = sketch.agg(F.sum("n")).first()[0] or 0
-    buckets = 8 + (total >> 20)  # ranges of tokens, of about a million each
-
-    counted = docs.select("text").mapInArrow(_counted(words, buckets), "bucket int, n long, blob binary, more binary")
-    common = counted.groupBy("bucket").applyInArrow(_common_tokens, "token long, n long")
-    limit = max(COMMON, total >> HEAVY_BITS)
-    heavy = np.sort(common.where(F.col("n") > limit).select("token").toPandas()["token"].to_numpy(np.uint64))
-    heavy = spark.sparkContext.broadcast(heavy)
-
-    texts = docs.mapInArrow(_sketcher(words, True), _SKETCH_DDL + ", text string")
-    grouped = written(texts.hint("rebalance", "mh").sortWithinPartitions("mh").mapInArrow(_grouper(words, percent, buckets, heavy), _GROUPED_DDL))
-    members = grouped.where("kind = 0").select("s1", "s2", "rid", "gid")
-    sets = members.groupBy("s1", "s2").agg(F.min("gid").alias("gid"), F.max("gid").alias("top"))
-    entries = written(grouped.where("kind = 1").select("bucket", "n", "tokens", "owners").groupBy("bucket").applyInArrow(_shared_tokens, "token long, rid long, gid long, n long, indexed boolean"))
-
-    same = members.join(sets.where("gid <> top").drop("top").withColumnRenamed("gid", "b"), ["s1", "s2"]).select(F.col("gid").alias("a"), "b")
-    # First each group against the first group that shares one of its tokens: this joins what is similar.
-    first = entries.groupBy("token").agg(F.min(F.struct("gid", "rid", "n")).alias("m"))
-    near = entries.join(first, "token").where("gid <> m.gid").groupBy("gid", F.col("m.gid").alias("other")).agg(F.min(F.struct("rid", "n", "m")).alias("p"), F.count(F.lit(1)).alias("met"))
-    near = near.withColumns({"big": F.greatest("p.n", "p.m.n"), "small": F.least("p.n", "p.m.n")})
-    near = near.where(f"small * 100 >= big * {percent}").where(_enough("met", "big", "small", percent))
-    near = written(near.select("gid", "other", "p.rid", F.col("p.m.rid").alias("other_rid")))
-    links = _opened(near.select(F.col("other_rid").alias("target"), "rid", F.col("gid").alias("own")), near.select(F.col("other_rid").alias("target"), F.col("other_rid").alias("rid"), F.col("other").alias("own")), docs, words, percent)
-    links = written(links.union(same))
+    members = _grouped(docs, total, percent, words)
+    groups = members.groupBy("s1", "s2").agg(F.min("gid").alias("gid"), F.max("gid").alias("top"))
+    links = members.select("s1", "s2", "gid").join(groups.where("gid <> top").select("s1", "s2", F.col("gid").alias("b")), ["s1", "s2"]).select(F.col("gid").alias("a"), "b")
+    one = members.where("size(tokens) > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", "gid", "n", "tokens")).alias("m")).select("m.*")
+    sets = written(one)
+    links = written(links.union(_sure(sets, percent)))
     joined = written(connected_components(links))
-    # Then every set against each group of another component that it shares a token with.
-    comp = joined.select(F.col("node").alias("gid"), "component")
-    entries = entries.join(comp, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    entries = written(entries.join(mixed, "token", "left_semi"))
-    matrix = entries.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"))
-    matrix = matrix.select("token", F.col("gid").alias("target"), F.col("component").alias("other"), "least", "most", F.col("indexed").alias("sure"))
-    met = entries.join(matrix, "token").where(f"component <> other and least <= n and most * 100 >= n * {percent}")
-    met = met.groupBy("target", "rid", "gid", "n").agg(F.count(F.lit(1)).alias("met"), F.max("sure").alias("sure"), F.min("least").alias("least"))
-    asked = written(met.where("sure").where(_enough("met", "n", "least", percent)).select("target", "rid", F.col("gid").alias("own"), "met"))
-    inside = members.select(F.col("gid").alias("target"), "rid", F.col("gid").alias("own"))
-    while asked.count() > BROADCAST_ROWS:
-        # Many queries: first the best one of each component, as long as that joins components, which settles others.
-        best = asked.groupBy(F.col("own") if "component" not in asked.columns else F.col("component")).agg(F.max_by(F.struct("target", "rid", "own"), F.struct("met", "target", "rid")).alias("b")).select("b.*")
-        found = written(_opened(best, inside.join(best.select("target").distinct(), "target", "left_semi"), docs, words, percent))
-        if not found.limit(1).count():
-            break
-        links = written(links.union(found))
+    for _ in range(2):
+        before, sets = sets, _between(sets, joined, percent)
+        discarded(before)
+        found = written(_sure(sets, percent))
+        links = links.union(found)
         joined = written(connected_components(links))
-        asked = written(_apart(asked.select("target", "rid", "own", "met"), joined))
-    late = written(_opened(asked.select("target", "rid", "own"), inside.join(asked.select("target").distinct(), "target", "left_semi"), docs, words, percent))
-    if late.limit(1).count():
-        joined = written(connected_components(links.union(late)))
+    before, sets = sets, _between(sets, joined, percent)
+    discarded(before)
+    links = links.union(_opened(_asked(sets, percent), sets, percent))
+    joined = written(connected_components(links))
 
     comp = joined.select(F.col("node").alias("gid"), "component")
-    of_set = sets.join(comp, "gid", "left").select("s1", "s2", F.coalesce("component", "gid").alias("component"))
+    of_set = groups.join(comp, "gid", "left").select("s1", "s2", F.expr(_COMPONENT).alias("component"))
     of_set = written(of_set.join(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), ["s1", "s2"]))
+    discarded(members, sets, joined)
     smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = of_set.join(smallest, "component").select("s1", "s2", "component", "component_id")
     out = sketch.join(of_set, ["s1", "s2"], "left")

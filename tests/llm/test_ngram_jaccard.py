@@ -58,11 +58,11 @@ def test_chain_of_copies(spark):
 
 
 def test_many_queries_settle_by_components(spark, monkeypatch):
-    """The rounds that join components before all queries are opened change nothing."""
+    """Small groups, parts, ranges of tokens and lots of queries change nothing."""
     from lumenfold.llm import ngram_jaccard
 
-    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 3)
-    monkeypatch.setattr(ngram_jaccard, "GROUP_MEMBERS", 2)
+    for name, value in (("GROUP_MEMBERS", 2), ("PART_TOKENS", 700), ("RANGE_TOKENS", 500), ("QUERIES_A_TASK", 3)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
     r = random.Random(9)
     base = [[f"t{r.randrange(900)}" for _ in range(80)] for _ in range(6)]
     rows = []
