@@ -1,6 +1,6 @@
 """Operator 4 [native], mixing sources to target weights: a splitting tree over source blocks.
 
-A source's documents fall into ``BLOCKS`` blocks by hash. Its target in words is served by whole passes over the
+A source's documents fall into 256 blocks by hash, and those of a block into 256 parts. Its target in words is served by whole passes over the
 source and, for the rest, by its blocks in a permuted order; the block in which the target is reached gives its
 first documents in permuted order, the last of them in part, so that the words taken equal the rounded target.
 Each block drawn (once for each pass) is a unit of quota. A tree splits the quotas among the output shards: at
@@ -99,15 +99,25 @@ def mixed(docs: DataFrame, levels: int | None = SHARD_LEVELS) -> DataFrame:
     plan = plan.join(shards.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
     plan = written(plan.withColumnRenamed("source", "s").withColumnRenamed("block", "b"))
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    cut = joined.where("rest > 0 and rest < words")
-    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.sum("size").over(order) + F.col("size"))))
+    cut = joined.where("rest > 0 and rest < words").withColumn("part", F.substring("key", 3, 2))
+    sums = cut.groupBy("source", "part").agg(F.sum("size").alias("s"))  # a source has one such block
+    parts = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select(F.col("source").alias("ps"), F.col("part").alias("pp"), (F.sum("s").over(parts) - F.col("s")).alias("before"))
+    cut = cut.join(sums, F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp"))).drop("ps", "pp")
+    order = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("rest") - F.col("before") - F.sum("size").over(order) + F.col("size")
+    cut = cut.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))).drop("part", "before")
     whole = joined.where("not (rest > 0 and rest < words)").withColumn("extra", F.when(F.col("rest") > 0, F.col("size")).otherwise(0).cast("long"))
     both = whole.unionByName(cut).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return both.select("doc_id", "size", "source_size", "target", "taken", F.slice(F.coalesce("shards", F.array().cast("array<bigint>")), F.lit(1), copies).alias("shards"), "key")
 
 
+def digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards), the shards of a document's passes joined by commas."""
+    return mixed(docs).drop("key").withColumn("shards", F.array_join(F.col("shards").cast("array<string>"), ","))
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, a row for each pass, a last partial one cut after its last word; by shard."""
     key = F.md5(F.concat_ws("|", _text("doc_id"), _text("source"), F.md5(_text("text"))))
@@ -153,6 +163,19 @@ plan AS (
 cut AS (
   SELECT r.*, p.source_size, p.target, p.passes, p.rest, p.words,
     sum(size) OVER (PARTITION BY r.source, r.block ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
-  FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source AND r.block = p.block)
-SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM cut
+  FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source AND r.block = p.block),
+units AS (SELECT source, block, pass, coalesce(source, '') || '|' || block || '|' || pass AS name FROM (
+  SELECT source, block, unnest(range(1, passes + CASE WHEN rest > 0 THEN 2 ELSE 1 END)) AS pass FROM plan WHERE passes > 0 OR rest > 0)),
+tree0 AS (SELECT *, 0 AS node FROM units),
+@TREE@
+quota AS (SELECT source, node AS shard, row_number() OVER (PARTITION BY source ORDER BY node) AS turn FROM tree@LEVELS@),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('deal|' || name), block, pass) AS turn FROM units),
+shards AS (SELECT d.source, d.block, list(q.shard ORDER BY d.pass) AS shards FROM dealt d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source AND d.turn = q.turn GROUP BY ALL),
+took AS (SELECT *, (passes * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM cut)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN array_to_string(s.shards[1:((taken + size - 1) // size)], ',') ELSE '' END AS shards
+FROM took t LEFT JOIN shards s ON t.source IS NOT DISTINCT FROM s.source AND t.block = s.block
 """
+#: A level of the tree: at each node a random half of the units goes left.
+_LEVEL = """tree{next} AS (SELECT source, block, pass, name, node * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY node ORDER BY md5('split{level}|' || name), source NULLS FIRST, block, pass)
+  <= count(*) OVER (PARTITION BY node) THEN 0 ELSE 1 END AS node FROM tree{level}),"""
+SQL = SQL.replace("@TREE@", "\n".join(_LEVEL.format(level=k, next=k + 1) for k in range(SHARD_LEVELS))).replace("@LEVELS@", str(SHARD_LEVELS))

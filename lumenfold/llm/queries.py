@@ -27,7 +27,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_table(spark, sf_dir, "documents")).drop("shards", "key")
+    return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
 def op5_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
