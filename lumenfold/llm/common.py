@@ -26,8 +26,10 @@ _WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -159,7 +159,19 @@ def _found(text: str, rule: Rule, expression: re.Pattern) -> list[tuple[int, int
     return [m.span() for m in expression.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
-def _scanner(rules: tuple[Rule, ...], keep: tuple[str, ...]):
+def _without(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...], mark: str) -> str:
+    """``text`` with each union of overlapping spans replaced by a mark that names the first one's kind."""
+    parts, at = [], 0
+    for start, place, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark.replace("{}", rules[place].kind)]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def _scanner(rules: tuple[Rule, ...], keep: tuple[str, ...], mark: str | None = None):
+    """Batches with ``spans`` after the columns ``keep``; with a ``mark`` instead with ``text`` rewritten by it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = [trigram_query(r.pattern) for r in rules]
         expressions = [re.compile(r.pattern) for r in rules]
@@ -179,6 +191,11 @@ def _scanner(rules: tuple[Rule, ...], keep: tuple[str, ...]):
                         spans[first + i] += [(a, place, b) for a, b in _found(texts[i], rule, expression)]
             for s in spans:
                 s.sort()
+            if mark is not None:
+                done = {i: _without(column[i].as_py(), s, rules, mark) for i, s in enumerate(spans) if s}
+                text = pa.array([done.get(i, t) for i, t in enumerate(batch.column("text").to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in keep], list(keep))
+                continue
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
             made = pa.array([[{"start": a, "kind": rules[k].kind, "end": b} for a, k, b in s] for s in spans], kinds)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], [*keep, "spans"])
@@ -187,7 +204,9 @@ def _scanner(rules: tuple[Rule, ...], keep: tuple[str, ...]):
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, kind, end) of its ``text``, by start, then in the order of the rules."""
+    """``docs`` with ``spans``: array of (start, kind, end) of its ``text``, by start, then in the order of the rules; in place of a
+    column of that name."""
+    docs = docs.drop("spans")
     keep = tuple(docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_scanner(rules, keep), f"{schema}, spans array<struct<start: bigint, kind: string, end: bigint>>")
@@ -195,11 +214,9 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]") -> DataFrame:
     """``docs`` with each union of overlapping spans in ``text`` replaced by a mark that names the first one's kind."""
-    found = secret_spans(docs, rules)
-    state = "struct(cast('' as string) as done, cast(0 as bigint) as at)"
-    kind = "concat('" + mark.replace("{}", "', s.kind, '") + "')"
-    cut = f"aggregate(spans, {state}, (a, s) -> if(s.start >= a.at, struct(concat(a.done, substr(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), {kind}) as done, s.end as at), struct(a.done as done, greatest(a.at, s.end) as at)), a -> concat(a.done, substr(text, cast(a.at + 1 as int))))"
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("text"))).drop("spans")
+    keep = tuple(docs.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(_scanner(rules, keep, mark), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -70,6 +70,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([k for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.binary())], ["doc_id", "toxic", "keys", "counts"])
 
 
+def gradients(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, some: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean cross entropy of texts (buckets, counts, label), and its gradients by softmax, bias and used vectors: (loss, out, bias, used, by used)."""
+    keys = np.concatenate([x for x, _, _ in some])
+    parts = np.concatenate([n / n.sum() for _, n, _ in some]).astype(vectors.dtype)
+    sizes = np.array([len(x) for x, _, _ in some])
+    y = np.array([y for _, _, y in some])
+    mean = np.add.reduceat(vectors[keys] * parts[:, None], np.cumsum(sizes) - sizes, axis=0)
+    z = mean @ out.T + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    loss = float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-30)).mean())
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    g_mean = p @ out
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    used, place = np.unique(keys, return_inverse=True)
+    g = np.stack([np.bincount(place, parts * g_mean[owner, d], len(used)) for d in range(vectors.shape[1])], 1).astype(vectors.dtype)
+    return loss, p.T @ mean, p.sum(0), used, g
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights of buckets and bias of the log-odds, from (buckets, counts, label) of each text, by Adagrad."""
     labels = np.array([y for _, _, y in rows])
@@ -87,24 +107,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> tuple[
             some = [rows[i] for i in order[k : k + BATCH] if len(rows[i][0])]
             if not some:
                 continue
-            keys = np.concatenate([x for x, _, _ in some])
-            parts = np.concatenate([n / n.sum() for _, n, _ in some]).astype(np.float32)
-            sizes = np.array([len(x) for x, _, _ in some])
-            y = np.array([y for _, _, y in some])
-            mean = np.add.reduceat(vectors[keys] * parts[:, None], np.cumsum(sizes) - sizes, axis=0)
-            z = mean @ out.T + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            g_out, g_bias, g_mean = p.T @ mean, p.sum(0), p @ out
+            _, g_out, g_bias, used, g = gradients(vectors, out, bias, some)
             seen_o += g_out**2
             seen_b += g_bias**2
             out -= RATE * g_out / np.sqrt(seen_o)
             bias -= RATE * g_bias / np.sqrt(seen_b)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            used, place = np.unique(keys, return_inverse=True)
-            g = np.stack([np.bincount(place, parts * g_mean[owner, d], len(used)) for d in range(DIM)], 1).astype(np.float32)
             seen_v[used] += (g**2).mean(1)
             vectors[used] -= RATE * g / np.sqrt(seen_v[used])[:, None]
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
@@ -123,7 +130,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return fit([(np.frombuffer(k, np.uint16), np.frombuffer(n, np.uint32), int(y)) for k, n, y in rows])
 
 
-def _scorer(model, keep: tuple[str, ...]):
+def _scorer(model, keep: tuple[str, ...], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
         for batch in batches:
@@ -132,21 +139,21 @@ def _scorer(model, keep: tuple[str, ...]):
                 many = np.bincount(owner, minlength=last - first)
                 z.append(bias + np.bincount(owner, weights[buckets], last - first) / np.maximum(many, 1))
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(z or [np.zeros(0)]), -50, 50)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, name])
 
     return run
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score`` of its ``text``, by a model trained on ``labels``."""
+def with_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, as ``name``, the score of its ``text``, by a model trained on ``labels``."""
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))  # BUCKETS weights
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scorer(model, keep), f"{schema}, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scorer(model, keep, name), f"{schema}, {name} double")
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5."""
-    return with_scores(docs, labels, tuple(docs.columns)).where("score < 0.5").drop("score")
+    """The rows of ``docs`` that score under 0.5, with all their columns, one named ``score`` too."""
+    return with_scores(docs, labels, tuple(docs.columns), "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
