@@ -26,10 +26,14 @@ def volatile(df: DataFrame) -> dict[str, Column]:
     return {f: lineup_signature(f) if f == "lineup" and df.schema[f].dataType.typeName() == "array" else text(f) for f in VOLATILE if f in df.columns}
 
 
-def diff_catalog(old: DataFrame, new: DataFrame, today: date, key: str = "key") -> DataFrame:
-    """``new`` with ``added``, ``changed_fields`` and ``updated_at`` against an older snapshot; rows that went aren't reported."""
+def diff_catalog(old: DataFrame, new: DataFrame, today: date, key: str = "key", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """``new`` with ``added``, ``changed_fields`` and ``updated_at`` against an older snapshot; rows that went aren't reported.
+
+    Where the older snapshot repeats a key, its last row by ``order`` counts, whole.
+    """
     fields = volatile(new)
-    before = old.groupBy(F.col(key).alias("_key")).agg(*[F.max(c).alias(f"_{f}") for f, c in volatile(old).items()])
+    row = F.struct(*[c.alias(f"_{f}") for f, c in volatile(old).items()])
+    before = old.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(*order)).alias("_last")).select("_key", "_last.*")
     both = new.join(before, F.col(key) == F.col("_key"), "left")
     moved = F.filter(F.array(*[F.when(c != F.col(f"_{f}"), F.lit(f)) for f, c in fields.items()]), lambda x: x.isNotNull())
     found = F.when(F.col("_key").isNotNull() & (F.size(moved) > 0), moved)

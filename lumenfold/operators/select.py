@@ -1,17 +1,14 @@
 """Choosing from a scored catalogue: calendars, diverse picks, day slates, pools and shelves.
 
-What can be ranked set-wise is a window or a top-k; what depends on what was chosen before runs in order, within one day
-or window of the catalogue, in a grouped function.
+Everything is a window or a top-k: caps, ends and guaranteed places are counts over an order, not a walk through it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,116 +89,59 @@ def top_in(events: DataFrame, n: int, by: list[str], *order: Column) -> DataFram
     return events.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 
-def pick_in_order(rows: list[dict], n: int, lane_cap: int, family_cap: int) -> list[dict]:
-    """Walk rows by rank (score and key descending): skips and repeated keys don't count, a programme counts once even where
-    a cap then stops it, and lanes and their families are capped."""
-    keys, programmes, lanes, families, out = set(), set(), Counter(), Counter(), []
-    for row in sorted(rows, key=lambda r: (r["rank_score"], r["key"]), reverse=True):
-        if len(out) >= n:
-            break
-        if row["key"] in keys:
-            continue
-        keys.add(row["key"])
-        if row.get("tier") == "skip":
-            continue
-        programme = row.get("series")
-        if programme is not None:
-            if programme in programmes:
-                continue
-            programmes.add(programme)
-        family = row["lane"].split(":")[0]
-        if lanes[row["lane"]] < lane_cap and families[family] < family_cap:
-            lanes[row["lane"]] += 1
-            families[family] += 1
-            out.append(row)
-    return out
-
-
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    return frame.astype(object).where(frame.notna(), None).to_dict("records")
-
-
 def top_picks(events: DataFrame, by: str, n: int = 6, lane_cap: int = 2, family_cap: int = 3) -> DataFrame:
     """(by, key, place): diverse picks of each group; events: by, key, rank_score, lane, tier, series.
 
-    Only rows that can be picked reach the ordered walk: the best of a programme, and within a lane so many that the
-    walk can't need more. A lane gives at most ``lane_cap`` picks, so its ``lane_cap`` best programmes are enough.
+    A key counts by its best row and not at all if that one is a skip; a programme counts by its best key, even where a cap then
+    stops it. A lane that is full stays full, and so does a family of lanes, so both caps are places: first within
+    the lane, then within the family of what its lanes let through.
     """
+    best = [F.desc("rank_score"), F.desc("key")]
     slim = events.where(f"{by} is not null").select(by, "key", "rank_score", "lane", "tier", "series")
-    once = top_in(slim, 1, [by, "key"], F.desc("rank_score"), F.desc("key")).where("coalesce(tier, '') <> 'skip'")
-    unit = F.coalesce(F.concat(F.lit("s:"), F.col("series")), F.concat(F.lit("k:"), F.col("key")))
-    once = top_in(once.withColumn("_unit", unit), 1, [by, "_unit"], F.desc("rank_score"), F.desc("key")).drop("_unit")
-    enough = top_in(once, lane_cap, [by, "lane"], F.desc("rank_score"), F.desc("key"))
-    kind = events.schema[by].dataType.simpleString()
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        picked = pick_in_order(_rows(frame), n, lane_cap, family_cap)
-        return pd.DataFrame({by: [r[by] for r in picked], "key": [r["key"] for r in picked], "place": range(1, len(picked) + 1)})
-
-    return enough.groupBy(by).applyInPandas(walk, f"{by} {kind}, key string, place long")
-
-
-def fill_slate(rows: list[dict], size: int, gap: float | None, guarantee: tuple[str, ...], caps: dict[str, int] | None = None, least: int = 2) -> list[dict]:
-    """One day's slate: by merit up to ``size``, ending at a drop of more than ``gap`` in score plus adjustment, then
-    each guaranteed lane that is missing gets its best row of score ``least`` or more, appended or in place of the weakest
-    pick of a lane that has several."""
-    caps = caps or {}
-    merit = lambda r: (r["rank_score"], r["key"])
-    plain = lambda r: (r["score"] or 0) + (r["adjust"] or 0)
-    ranked = sorted(rows, key=merit, reverse=True)
-    picks: list[dict] = []
-    lanes: Counter = Counter()
-    last = None
-    for row in ranked:
-        if len(picks) >= size or (gap is not None and last is not None and last - plain(row) > gap):
-            break
-        if row["lane"] in caps and lanes[row["lane"]] >= caps[row["lane"]]:
-            continue
-        picks.append(row)
-        lanes[row["lane"]] += 1
-        last = plain(row)
-    used = {r["key"] for r in picks}
-    for lane in guarantee:
-        if lanes[lane] > 0:
-            continue
-        best = next((r for r in ranked if r["lane"] == lane and r["key"] not in used and (r["score"] or 0) >= least), None)
-        if best is None:
-            continue
-        if len(picks) >= size:
-            spare = [r for r in picks if lanes[r["lane"]] > 1]
-            if not spare:
-                continue
-            out = min(spare, key=merit)
-            picks.remove(out)
-            used.discard(out["key"])
-            lanes[out["lane"]] -= 1
-        picks.append(best)
-        used.add(best["key"])
-        lanes[lane] += 1
-    return sorted(picks, key=merit, reverse=True)
+    rows = top_in(slim, 1, [by, "key"], *best).where("coalesce(tier, '') <> 'skip'")
+    rows = rows.withColumns({"_unit": F.coalesce(F.concat(F.lit("s:"), F.nullif("series", F.lit(""))), F.concat(F.lit("k:"), F.col("key"))), "_family": F.split("lane", ":")[0]})
+    for most, within in ((1, "_unit"), (lane_cap, "lane"), (family_cap, "_family")):
+        rows = top_in(rows, most, [by, within], *best)
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*best)).cast("long"))
+    return placed.where(F.col("place") <= n).select(by, "key", "place")
 
 
 def slates(events: DataFrame, weekday: int, weekend: int, gap: float | None = 3, guarantee: tuple[str, ...] = (), mute: tuple[str, ...] = (), caps: dict[str, int] | None = None, least: int = 2) -> DataFrame:
     """(day, key, place): the slate of each day; Friday and Saturday have their own size; events: day, key, score, adjust, rank_score, lane.
 
-    Without ``caps`` merit fill takes every row that it looks at, so each lane's ``size`` best rows are all it can reach.
+    By merit (rank score, then key) rows of lanes below their cap fill the day up to its size, or up to the row whose score with its
+    adjustment lies more than ``gap`` under that of the row taken before it. Then guaranteed lanes without a row enter, in their order, with
+    their best row of score ``least`` or more: into free places, then into those of the weakest rows that aren't the best of their lane.
+    All of it is places and running counts over one order of a day's rows.
     """
-    size = max(weekday, weekend)
-    slim = events.where("day is not null").select("day", "key", "score", "adjust", "rank_score", "lane")
+    best, worst = [F.desc("rank_score"), F.desc("key")], [F.asc("rank_score"), F.asc("key")]
+    slim = events.where("day is not null").select("day", "key", "score", "adjust", "rank_score", "lane").withColumn("strong", F.coalesce("score", F.lit(0)) >= least)
     if mute:
         slim = slim.where(~F.col("lane").isin(*mute))
-    best = slim if caps else top_in(slim, size, ["day", "lane"], F.desc("rank_score"), F.desc("key"))
-    # A guaranteed lane's best row may lie deeper, where better ranked ones score under the least.
-    if guarantee and not caps:
-        spare = top_in(slim.where(F.col("lane").isin(*guarantee) & (F.col("score") >= least)), size + 1, ["day", "lane"], F.desc("rank_score"), F.desc("key"))
-        best = best.union(spare).distinct()
-
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        day = frame["day"].iloc[0]
-        picked = fill_slate(_rows(frame), weekend if day.weekday() in (4, 5) else weekday, gap, guarantee, caps, least)
-        return pd.DataFrame({"day": [day] * len(picked), "key": [r["key"] for r in picked], "place": range(1, len(picked) + 1)})
-
-    return best.groupBy("day").applyInPandas(fill, "day date, key string, place long")
+    # Without caps a slate's rows are among so many of a lane's strong and of its other rows, which is settled before the shuffle.
+    rows = slim if caps else top_in(slim, max(weekday, weekend), ["day", "lane", "strong"], *best)
+    of_day, of_lane = Window.partitionBy("day").orderBy(*best), Window.partitionBy("day", "lane").orderBy(*best)
+    earlier = of_day.rowsBetween(Window.unboundedPreceding, -1)
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("lane")) if caps else F.lit(None).cast("int")
+    rows = rows.withColumns({"size": F.when(F.weekday("day").isin(4, 5), weekend).otherwise(weekday), "plain": F.coalesce("score", F.lit(0)) + F.coalesce("adjust", F.lit(0)), "open": F.row_number().over(of_lane) <= F.coalesce(cap, F.lit(1 << 30))})
+    drop = F.last(F.when(F.col("open"), F.col("plain")), True).over(earlier) - F.col("plain")
+    full = F.coalesce(F.count_if("open").over(earlier), F.lit(0)) >= F.col("size")
+    rows = rows.withColumn("ends", full | (F.coalesce(drop > gap, F.lit(False)) if gap is not None else F.lit(False)))
+    rows = rows.withColumn("taken", F.col("open") & ~F.max("ends").over(of_day.rowsBetween(Window.unboundedPreceding, 0)))
+    if guarantee:
+        turn = F.array_position(F.array(*map(F.lit, guarantee)), F.col("lane"))
+        first = F.row_number().over(Window.partitionBy("day", "lane", "strong").orderBy(*best)) == 1
+        absent = ~F.max("taken").over(Window.partitionBy("day", "lane"))
+        rows = rows.withColumn("spare", F.col("strong") & first & absent & (turn > 0)).where("taken or spare")
+        day = Window.partitionBy("day")
+        rows = rows.withColumn("movable", F.col("taken") & (F.row_number().over(Window.partitionBy("day", "lane", "taken").orderBy(*best)) > 1))
+        rows = rows.withColumn("room", F.col("size") - F.count_if("taken").over(day))
+        rows = rows.withColumn("entering", F.least(F.count_if("spare").over(day), F.col("room") + F.count_if("movable").over(day)))
+        enters = F.row_number().over(Window.partitionBy("day", "spare").orderBy(turn)) <= F.col("entering")
+        leaves = F.row_number().over(Window.partitionBy("day", "movable").orderBy(*worst)) <= F.col("entering") - F.col("room")
+        rows = rows.withColumn("taken", F.when(F.col("spare"), enters).otherwise(~(F.col("movable") & leaves)))
+    picked = rows.where("taken")
+    return picked.select("day", "key", F.row_number().over(of_day).cast("long").alias("place"))
 
 
 def judge_pool(events: DataFrame, top_k: int, floor: int, skip_lanes: tuple[str, ...]) -> DataFrame:

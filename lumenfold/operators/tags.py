@@ -45,6 +45,7 @@ STAGE_BY_SOURCE = {
     "performance art": "performance-art", "magic & illusion": "magic", "circus & specialty acts": "circus", "variety": "variety", "puppetry": "puppetry",
     "multimedia": "performance-art",
 }
+# Words of settings, of watch parties, stages and live music, of cinemas, comedy, markets, workshops and clubs.
 SETTINGS = (
     ("rooftop", r"\brooftop\b"), ("warehouse", r"\bwarehouse\b"), ("outdoor", r"\b(outdoor|open[\s-]?air|backyard|patio|garden|courtyard)\b"), ("pool", r"\b(pool|poolside)\b"),
     ("listening-bar", r"\b(listening bar|listening room|all[\s-]?vinyl)\b"), ("gallery", r"\b(gallery|museum)\b"),
@@ -55,10 +56,10 @@ _CLUB_TITLE = r"^\s*dj\b|\bdj (set|night)\b|\b(with|w/)\s+dj\b|\b(dance|disco|ho
 _STAGE_WORD, _STAGE_TITLE = r"\(touring\)|\b(ballet|circus|stage show|the musical)\b", r"\bballet|\b(broadway|nutcracker|the musical|opera)\b"
 _LIVE_TITLE = r"\b(banda|corridos?|cumbia|sonidero|mariachi|music festival)\b"
 _LIVE_DETAIL = r"\bbands?\b|\bin concert\b|\blive (music|show|performance)\b|\bheadlin\w+\b|\b(on|world|north american) tour\b"
-#: Words of our own for signals whose exact lists differ by city; extend them by the gazetteers below.
-_CINEMA, _COMEDY = r"\b(screening|double feature|film screening|cinema)\b", r"\b(comedy|comedian|stand[\s-]?up|improv|open mic comedy)\b"
-_MARKET, _WORKSHOP = r"\b(flea market|farmers market|night market|swap meet|bazaar)\b", r"\b(workshop|masterclass|class)\b"
-_DJ, _AFTERS = r"\b(dj set|djs|all night long|b2b)\b", r"\bafters\b|\bafter[\s-]?hours\b|\bafter[\s-]?part(y|ies)\b"
+_CINEMA = r"\b(screening|matin[eé]e|double feature|q&a|q & a|35mm|70mm|16mm|film series|cinema)\b"
+_COMEDY, _MARKET = r"\b(comedy|stand[\s-]?up|standup|improv|open mic)\b", r"\b(market|flea|bazaar|farmers|swap meet|vintage fair)\b"
+_WORKSHOP, _AFTERS = r"\b(workshop|class|seminar)\b", r"\bafter[\s-]?hours?\b|\bafters\b"
+_DJ = r"\b(dj set|b2b|warehouse|rave|afters|after[\s-]?hours|after[\s-]?part(?:y|ies)|day party)\b"
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,11 @@ def _bill(df: DataFrame) -> Column:
     return F.lower(F.coalesce(F.array_join("lineup", " "), F.lit(""))) if "lineup" in df.columns else F.lit("")
 
 
+def once(c: Column) -> Column:
+    """``c``, which the optimizer neither repeats where it is used nor carries below in filters, as its condition isn't deterministic."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def _some(options: list[tuple[Column, str]]) -> Column:
     """The names whose condition holds, in order, each once."""
     if not options:
@@ -202,11 +208,10 @@ def region_of(place: Column, g: Gazetteer) -> Column:
 def tagged(events: DataFrame, g: Gazetteer = Gazetteer()) -> DataFrame:  # noqa: B008
     """``events`` with type, genre (as ``genres``), setting, scale, vibe, region, near_home and afters_billed."""
     place = F.trim(_low(events, "neighborhood"))
-    out = events.withColumn("type", type_of(events, g))
-    out = out.withColumns({"genres": genres_of(events, F.col("type"), g), "setting": settings_of(events, g)})
+    out = events.withColumns({"type": once(type_of(events, g)), "setting": once(settings_of(events, g))})
     hay = F.concat_ws(" ", _low(events, "title"), _low(events, "organizers"), _low(events, "detail"), _low(events, "venue"), _bill(events))
     return out.withColumns({
-        "scale": scale_of(_low(events, "venue"), F.col("setting"), g), "vibe": vibes_of(events, F.col("type")), "region": region_of(place, g),
+        "scale": scale_of(_low(events, "venue"), F.col("setting"), g), "genres": genres_of(events, F.col("type"), g), "vibe": once(vibes_of(events, F.col("type"))), "region": region_of(place, g),
         "near_home": place.isin(*[p.lower() for p in g.near_home]) if g.near_home else F.lit(False), "afters_billed": hay.rlike(_AFTERS),
     })
 

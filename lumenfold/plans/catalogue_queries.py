@@ -104,9 +104,10 @@ LANES = f"""{TAGGED}, laned AS (SELECT *, CASE WHEN type = 'club' THEN CASE WHEN
   WHEN type = 'live-music' AND scale IN ('arena', 'hall') THEN 'live-music:big' ELSE type END AS lane FROM tagged)"""
 
 
-def laned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tagged(spark, sf_dir).withColumn("price", F.lit(None).cast("string"))
-    return t.withColumn("lane", score.lane(t))
+def laned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Tagged listings, or ``rows`` that are listings, with their lane."""
+    t = (tagged(spark, sf_dir) if rows is None else tags.tagged(rows, GAZETTEER)).withColumn("price", F.lit(None).cast("string"))
+    return t.withColumn("lane", tags.once(score.lane(t)))
 
 
 @query(f"WITH {LANES} SELECT lane, count(*) AS n, min(id) AS first FROM laned GROUP BY lane")
@@ -237,13 +238,13 @@ def catalog_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.version(listing(spark, sf_dir), F.col("venue"), F.col("day"), F.col("title"))
 
 
-@query(f"""WITH {LISTING}, old AS (SELECT id, floor(amount)::BIGINT::VARCHAR AS price, start, line AS status FROM listing WHERE ord % 10 <> 0),
+@query(f"""WITH {LISTING}, old AS (SELECT id, floor(amount)::BIGINT::VARCHAR AS price, start, line AS status FROM listing WHERE ord % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_seen DESC, amount DESC, line DESC) = 1),
 new AS (SELECT id, CASE WHEN part % 7 = 0 THEN 'x' ELSE floor(amount)::BIGINT::VARCHAR END AS price, CASE WHEN supp % 5 = 0 THEN '00:00' ELSE start END AS start, line AS status FROM listing)
-SELECT n.id, o.id IS NULL AS added, CASE WHEN o.id IS NOT NULL THEN nullif(concat_ws(',', CASE WHEN n.price <> o.price THEN 'price' END, CASE WHEN n.start <> o.start THEN 'start' END), '') END AS changed FROM new n LEFT JOIN old o USING (id)""")
+SELECT n.id, o.id IS NULL AS added, CASE WHEN o.id IS NOT NULL THEN nullif(concat_ws(',', CASE WHEN n.price <> o.price THEN 'price' END, CASE WHEN n.start <> o.start THEN 'start' END, CASE WHEN n.status <> o.status THEN 'status' END), '') END AS changed FROM new n LEFT JOIN old o USING (id)""")
 def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = listing(spark, sf_dir).select("id", F.floor("amount").cast("string").alias("price"), "start", F.col("line").alias("status"), "ord", "part", "supp")
+    base = listing(spark, sf_dir).select("id", F.floor("amount").cast("string").alias("price"), "start", F.col("line").alias("status"), "ord", "part", "supp", "last_seen", "amount")
     new = base.withColumns({"price": F.when(F.col("part") % 7 == 0, "x").otherwise(F.col("price")), "start": F.when(F.col("supp") % 5 == 0, "00:00").otherwise(F.col("start"))})
-    diff = maintain.diff_catalog(base.where("ord % 10 <> 0"), new, TODAY, "id")
+    diff = maintain.diff_catalog(base.where("ord % 10 <> 0"), new, TODAY, "id", ("last_seen", "amount", "status"))
     return diff.select("id", "added", F.array_join("changed_fields", ",").alias("changed"))
 
 
@@ -385,16 +386,31 @@ def front_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.shelves(rows, TODAY).select("section", "shelf", F.col("key").alias("id"), "place")
 
 
-@query()
+def _lane_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored and judged listings with their lane, in one pass over them."""
+    return laned(spark, sf_dir, ranked(spark, sf_dir)).withColumns({"key": F.col("id").cast("string"), "series": F.lit(None).cast("string")})
+
+
+_TAGS = LANES.removeprefix(LISTING).replace("FROM listing)", "FROM ranked)")
+_LANE_RANKED = f"{SCORED}, {VERDICTS}{_TAGS}, r AS (SELECT day, id::VARCHAR AS key, lane, score, adjust, tier, rank_score FROM laned)"
+
+
+@query(f"""WITH {_LANE_RANKED}, a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY day, key ORDER BY rank_score DESC) = 1), b AS (SELECT *, string_split(lane, ':')[1] AS family FROM a WHERE coalesce(tier, '') <> 'skip'),
+c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY day, lane ORDER BY rank_score DESC, key DESC) <= 2), d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY day, family ORDER BY rank_score DESC, key DESC) <= 3)
+SELECT day, key, row_number() OVER (PARTITION BY day ORDER BY rank_score DESC, key DESC) AS place FROM d QUALIFY place <= 6""")
 def top_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = laned(spark, sf_dir).join(ranked(spark, sf_dir).select("id", "rank_score", "tier"), "id").withColumns({"key": F.col("id").cast("string"), "series": F.lit(None).cast("string")})
-    return select.top_picks(rows, "day")
+    return select.top_picks(_lane_ranked(spark, sf_dir), "day")
 
 
-@query()
+@query(f"""WITH {_LANE_RANKED}, o AS (SELECT *, CASE WHEN isodow(day) IN (5, 6) THEN 8 ELSE 6 END AS size, coalesce(score, 0) + coalesce(adjust, 0) AS plain, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY day ORDER BY rank_score DESC, key DESC)),
+e AS (SELECT *, lag(plain) OVER (PARTITION BY day ORDER BY place) - plain > 3 AS falls FROM o), m AS (SELECT *, place <= size AND NOT coalesce(bool_or(falls) OVER (PARTITION BY day ORDER BY place), false) AS taken FROM e),
+t AS (SELECT *, row_number() OVER (PARTITION BY day, lane ORDER BY place) AS turn FROM m WHERE taken), days AS (SELECT day, any_value(size) - count(*) AS room, count(*) FILTER (turn > 1) AS movable FROM t GROUP BY day),
+g AS (SELECT day, key, rank_score, row_number() OVER (PARTITION BY day ORDER BY list_position(['club:day', 'film', 'live-music'], lane)) AS place FROM (SELECT * FROM m WHERE lane IN ('club:day', 'film', 'live-music') AND score >= 2 AND (day, lane) NOT IN (SELECT (day, lane) FROM t) QUALIFY row_number() OVER (PARTITION BY day, lane ORDER BY m.place) = 1)),
+n AS (SELECT d.*, least((SELECT count(*) FROM g WHERE g.day = d.day), room + movable) AS entering FROM days d),
+k AS (SELECT g.day, g.key, g.rank_score FROM g JOIN n USING (day) WHERE place <= entering UNION ALL SELECT day, key, rank_score FROM (SELECT t.*, entering - room AS gone, row_number() OVER (PARTITION BY day, turn > 1 ORDER BY place DESC) AS back FROM t JOIN n USING (day)) WHERE turn = 1 OR back > gone)
+SELECT day, key, row_number() OVER (PARTITION BY day ORDER BY rank_score DESC, key DESC) AS place FROM k""")
 def slate_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = laned(spark, sf_dir).join(ranked(spark, sf_dir).select("id", "score", "adjust", "rank_score"), "id").withColumn("key", F.col("id").cast("string"))
-    return select.slates(rows, 6, 8, 3, ("club:day", "film", "live-music"))
+    return select.slates(_lane_ranked(spark, sf_dir), 6, 8, 3, ("club:day", "film", "live-music"))
 
 
 @query()

@@ -21,43 +21,96 @@ DDL = "day date, key string, score int, adjust int, rank_score int, lane string,
 NAMES = [f.split()[0] for f in DDL.split(", ")]
 
 
-def test_top_picks_equal_a_full_walk(spark):
+def merit(row):
+    return row["rank_score"], row["key"]
+
+
+def may_be_picked(row, picked, gone):
+    """Whether a row can still be taken beside ``picked``, ``gone`` being the better rows that were passed or taken."""
+    if any(g["key"] == row["key"] for g in gone) or row["tier"] == "skip":
+        return False
+    if row["series"] and any(g["series"] == row["series"] and g["tier"] != "skip" and not any(h["key"] == g["key"] and merit(h) > merit(g) for h in gone) for g in gone):
+        return False
+    lanes = [p["lane"] for p in picked]
+    return lanes.count(row["lane"]) < 2 and [x.split(":")[0] for x in lanes].count(row["lane"].split(":")[0]) < 3
+
+
+def slowly_picked(rows, n):
+    picked, gone = [], []
+    while rows and len(picked) < n:
+        best = max(rows, key=merit)
+        if may_be_picked(best, picked, gone):
+            picked.append(best)
+        gone.append(best)
+        rows = [r for r in rows if r is not best]
+    return [p["key"] for p in picked]
+
+
+def slowly_filled(rows, size, gap, guarantee, caps=None, least=2):
+    """A slate built by looking for one row after the other."""
+    caps, plain = caps or {}, lambda r: (r["score"] or 0) + (r["adjust"] or 0)
+    slate, left = [], sorted(rows, key=merit)
+    while left and len(slate) < size:
+        row = left.pop()
+        if slate and gap is not None and plain(slate[-1]) - plain(row) > gap:
+            break
+        if sum(s["lane"] == row["lane"] for s in slate) < caps.get(row["lane"], len(rows)):
+            slate.append(row)
+    for lane in guarantee:
+        able = [r for r in rows if r["lane"] == lane and (r["score"] or 0) >= least]
+        if able and lane not in {s["lane"] for s in slate}:
+            movable = [s for s in slate if sum(t["lane"] == s["lane"] for t in slate) > 1]
+            if len(slate) == size and movable:
+                slate.remove(min(movable, key=merit))
+            if len(slate) < size:
+                slate.append(max(able, key=merit))
+    return [r["key"] for r in sorted(slate, key=merit, reverse=True)]
+
+
+def by_day(rows):
+    return {day: [dict(zip(NAMES, x, strict=True)) for x in rows if x[0] == day] for day in {x[0] for x in rows}}
+
+
+def in_order(frame):
+    out = {}
+    for r in sorted(frame.collect()):
+        out.setdefault(r.day, []).append(r.key)
+    return out
+
+
+def test_top_picks_equal_a_slow_search(spark):
     for seed in (1, 2):
         rows = rows_of(seed)
-        got = sorted(map(tuple, select.top_picks(spark.createDataFrame(rows, DDL).repartition(5), "day").collect()))
-        want = []
-        for day in {x[0] for x in rows}:
-            picks = select.pick_in_order([dict(zip(NAMES, x, strict=True)) for x in rows if x[0] == day], 6, 2, 3)
-            want += [(day, p["key"], i + 1) for i, p in enumerate(picks)]
-        assert got == sorted(want)
+        if seed == 2:  # keys that repeat, better or worse, and skipped
+            rows += [(x[0], x[1], x[2], x[3], x[4] + 1, "film", "skip" if i % 2 else None, x[7]) for i, x in enumerate(rows[:80])]
+        got = in_order(select.top_picks(spark.createDataFrame(rows, DDL).repartition(5), "day").orderBy("day", "place").select("day", "place", "key"))
+        assert got == {day: slowly_picked(mine, 6) for day, mine in by_day(rows).items()}
 
 
-def test_slates_equal_a_full_fill(spark):
+def test_slates_equal_a_slow_search(spark):
     guarantee = ("club:afters", "film", "art", "stage")
-    for seed, caps in ((1, None), (2, None), (3, {"film": 1, "club:day": 2})):
+    for seed, caps in ((1, None), (2, None), (3, {"film": 1, "club:day": 2}), (4, {"film": 0, "art": 1})):
         rows = rows_of(seed)
-        got = sorted(map(tuple, select.slates(spark.createDataFrame(rows, DDL).repartition(3), 5, 7, 3, guarantee, ("club:mainstream",), caps).collect()))
-        want = []
-        for day in {x[0] for x in rows}:
-            mine = [dict(zip(NAMES, x, strict=True)) for x in rows if x[0] == day and x[5] != "club:mainstream"]
-            picks = select.fill_slate(mine, 7 if day.weekday() in (4, 5) else 5, 3, guarantee, caps)
-            want += [(day, p["key"], i + 1) for i, p in enumerate(picks)]
-        assert got == sorted(want)
-
-
-def test_slate_rules():
-    row = lambda key, s, lane, rank=None: {"key": key, "score": s, "adjust": None, "rank_score": rank if rank is not None else s, "lane": lane}
-    fill = lambda rows, size, **k: [r["key"] for r in select.fill_slate(rows, size, 3, **{"guarantee": ()} | k)]
-    assert fill([row("a", 9, "x"), row("b", 5, "x")], 5) == ["a"]  # a drop of more than 3 ends the run
-    assert fill([row("a", 9, "x"), row("b", 8, "x"), row("c", 3, "film")], 2, guarantee=("film",)) == ["a", "c"]  # in place of the weakest
-    assert fill([row("a", 9, "x"), row("c", 1, "film")], 3, guarantee=("film",)) == ["a"]  # too weak to be guaranteed
-    assert fill([row("a", 4, "x"), row("b", 4, "x")], 2) == ["b", "a"]  # the larger key leads
-
-
-def test_blocked_programme_is_consumed():
-    row = lambda key, rank, lane, series=None: {"key": key, "rank_score": rank, "lane": lane, "series": series, "tier": None}
-    rows = [row("a", 9, "x"), row("b", 8, "x"), row("c", 7, "x", "p"), row("d", 6, "y", "p"), row("e", 5, "y")]
-    assert [r["key"] for r in select.pick_in_order(rows, 6, 2, 3)] == ["a", "b", "e"]
+        got = in_order(select.slates(spark.createDataFrame(rows, DDL).repartition(3), 5, 7, 3, guarantee, ("club:mainstream",), caps).select("day", "place", "key"))
+        mine = {day: [r for r in rs if r["lane"] != "club:mainstream"] for day, rs in by_day(rows).items()}
+        assert got == {day: slowly_filled(rs, 7 if day.weekday() in (4, 5) else 5, 3, guarantee, caps) for day, rs in mine.items()}
+
+
+def test_slate_rules(spark):
+    def fill(rows, size, guarantee=()):
+        rows = [(DAY, key, s, None, s, lane, None, None) for key, s, lane in rows]
+        return in_order(select.slates(spark.createDataFrame(rows, DDL), size, size, 3, guarantee).select("day", "place", "key"))[DAY]
+
+    assert fill([("a", 9, "x"), ("b", 5, "x")], 5) == ["a"]  # a drop of more than 3 ends the run
+    assert fill([("a", 9, "x"), ("b", 8, "x"), ("c", 3, "film")], 2, ("film",)) == ["a", "c"]  # in place of the weakest
+    assert fill([("a", 9, "x"), ("c", 1, "film")], 3, ("film",)) == ["a"]  # too weak to be guaranteed
+    assert fill([("a", 4, "x"), ("b", 4, "x")], 2) == ["b", "a"]  # the larger key leads
+
+
+def test_blocked_programme_is_consumed(spark):
+    rows = [("a", 9, "x", None), ("b", 8, "x", None), ("c", 7, "x", "p"), ("d", 6, "y", "p"), ("e", 5, "y", None)]
+    df = spark.createDataFrame([(DAY, k, s, None, s, lane, None, series) for k, s, lane, series in rows], DDL)
+    assert in_order(select.top_picks(df, "day").select("day", "place", "key"))[DAY] == ["a", "b", "e"]
 
 
 def test_settings_are_clamped():
