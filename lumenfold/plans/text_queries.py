@@ -55,13 +55,13 @@ def film_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), film_core(F.concat("p_name", edition)).alias("core"))
 
 
-@query(r"""WITH names AS (SELECT item_id, lower(regexp_extract(text, '^(\S+ \S+)', 1)) AS name FROM benchmark), words AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
-grams AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS gram FROM words, range(1, 20000) t(i) WHERE i < len(w)), keys AS (SELECT item_id, array_to_string(list_filter(string_split(regexp_replace(lower(strip_accents(name)), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS gram FROM names)
+@query(r"""WITH words AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS gram FROM words, range(1, 20000) t(i) WHERE i < len(w)), items AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+keys AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS gram FROM items, range(1, 20000) t(i) WHERE i < len(w))
 SELECT item_id, count(*) AS n FROM keys JOIN grams USING (gram) GROUP BY item_id""")
 def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold the first two words of a benchmark item, by a join on runs of two words."""
-    names = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("name"))
-    keys = affinity.token_grams(names, "item_id", F.col("name"), 2).where("gram like '% %'")
+    """How often documents hold a pair of words of a benchmark item, by a join on runs of two words."""
+    keys = affinity.token_grams(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 2).where("gram like '% %'")
     grams = affinity.token_grams(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 2).where("gram like '% %'")
     return grams.join(keys, "gram").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
