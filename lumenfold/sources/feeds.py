@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,14 @@ from lumenfold.operators.dedupe import first_of
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log of JSON lines with ``ord``, their place; blank, ``#`` and malformed lines are passed over.
+    """A log of JSON lines with ``_file`` and ``ord``, their order in it; blank, ``#`` and malformed lines are passed over.
 
-    The place is the file's name and the offset within it, as log files are appended to and never rewritten.
+    Files are read by blocks. A line's place is the offset of its block and its number there, which is smaller than the
+    block's bytes, so places grow along a file, as log files are appended to and never rewritten.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\n")).alias("ord", "_line"))
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("_line"))
+    starts = read.groupBy("_file", "_block").agg(F.min("_id").alias("_first"))
+    lines = read.join(starts, ["_file", "_block"]).withColumn("ord", F.col("_block") + F.col("_id") - F.col("_first")).select("_file", "ord", "_line")
     kept = lines.withColumn("_line", F.trim("_line")).where("_line <> '' and not startswith(_line, '#')")
     parsed = kept.withColumn("_r", F.from_json("_line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.where("_r is not null and _r._bad is null").select("_file", "ord", "_r.*").drop("_bad")
@@ -54,6 +58,40 @@ def resale_links(id: str, url: str, outlets: str) -> Column:
     return F.when(text(id).startswith("Z"), F.concat(own, main)).otherwise(main)
 
 
+def listening(payload: DataFrame) -> DataFrame:
+    """(profile, source, name, rank, genres, ord) signals of landed pulls: profile, top (by window, lists of name and genres), followed, recent.
+
+    Ranks count from 0 within a list; ``ord`` runs through a profile's signals, lists first.
+    """
+    windows = (("long_term", "top_long"), ("medium_term", "top_medium"), ("short_term", "top_short"))
+    parts = [payload.select("profile", F.lit(k).alias("_k"), F.lit(source).alias("source"), F.posexplode(F.try_element_at("top", F.lit(window))).alias("rank", "_a")) for k, (window, source) in enumerate(windows)]
+    parts.append(payload.select("profile", F.lit(3).alias("_k"), F.lit("followed").alias("source"), F.posexplode("followed").alias("rank", "_a")))
+    plays = payload.select("profile", F.posexplode("recent").alias("rank", "_p")).select("profile", "rank", F.posexplode("_p.track.artists").alias("_i", "_x"))
+    none = F.array().cast("array<string>")
+    rows = [p.select("profile", "source", F.col("_a.name").alias("name"), "rank", F.coalesce("_a.genres", none).alias("genres"), (F.col("_k") * 1_000_000 + F.col("rank") * 1000).alias("ord")) for p in parts]
+    rows.append(plays.select("profile", F.lit("recent").alias("source"), F.col("_x.name").alias("name"), "rank", none.alias("genres"), (4_000_000 + F.col("rank") * 1000 + F.col("_i")).alias("ord")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.where(F.coalesce("name", F.lit("")) != "")
+
+
+def market_offers(found: DataFrame, metro: str) -> DataFrame:
+    """(offer, ord, day, venue, name, price, prefee, url) of a marketplace's search items (event, venue) in a metropolis, for
+    ``matching.best_offers``: prices in cents with all fees become amounts; without one there is no offer."""
+    e, price = F.col("event"), F.col("event.min_price")
+    rows = found.where(F.lower(text("venue.metro")) == metro).where(F.coalesce(price["total"], F.lit(0)) > 0)
+    return rows.select(
+        F.xxhash64(e["seo_url"], e["name"], e["datetime_local"]).alias("offer"), "ord", F.substring(e["datetime_local"], 1, 10).try_cast("date").alias("day"), F.col("venue.name").alias("venue"), e["name"].alias("name"),
+        F.bround(price["total"] / 100, 2).alias("price"), F.when(F.coalesce(price["prefee"], F.lit(0)) > 0, F.bround(price["prefee"] / 100, 2)).alias("prefee"), e["seo_url"].alias("url"),
+    )
+
+
+def cheapest_listing(found: DataFrame) -> DataFrame:
+    """(key, price, url) the lowest price before fees among a search's events (key, lowest_price, url, ord), of equals the first."""
+    return first_of(found.where(F.coalesce("lowest_price", F.lit(0)) > 0), ["key"], F.asc("lowest_price"), F.asc("ord")).select("key", F.col("lowest_price").cast("double").alias("price"), "url")
+
+
 def late_listing(raw: DataFrame) -> DataFrame:
     """Listing records (title, date, startTime, endTime, venue, artists, pick) with the late-start flag: from 22 or before 6."""
     hour = F.regexp_extract(text("startTime"), r"T(\d{2}):", 1).try_cast("int")
@@ -90,14 +128,16 @@ def epoch_items(raw: DataFrame, zone: str = dates.ZONE) -> DataFrame:
 
 
 def calendar_events(files: DataFrame, body: str = "value", zone: str = dates.ZONE) -> DataFrame:
-    """(summary, location, url, description, day, start) of iCalendar texts: unfolded, by VEVENT; UTC moves to ``zone``."""
+    """(summary, location, url, description, day, start) of iCalendar texts: unfolded, by VEVENT; UTC and times of a known TZID move to ``zone``."""
     plain = F.regexp_replace(text(body), "\r?\n[ \t]", "")
     one = files.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"), F.lit(1))).alias("e"))
     field = lambda name: F.nullif(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1), F.lit(""))
     clear = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"\\[nN]", "\n"), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";")), F.lit("\\\\"), F.lit("\\"))
     raw = field("DTSTART")
     stamp = F.try_to_timestamp(F.concat(F.substring(raw, 1, 8), F.substring(raw, 10, 6)), F.lit("yyyyMMddHHmmss"))
-    local = F.when(raw.endswith("Z"), F.from_utc_timestamp(stamp, zone)).otherwise(stamp)
+    told = F.regexp_extract("e", r"(?m)^DTSTART;(?:[^:\r\n]*;)?TZID=\"?([^;:\"\r\n]+)", 1)
+    known = F.when(told.isin(*sorted(available_timezones())), told).otherwise(zone)
+    local = F.when(raw.endswith("Z"), F.from_utc_timestamp(stamp, zone)).otherwise(F.from_utc_timestamp(F.to_utc_timestamp(stamp, known), zone))
     day = F.coalesce(F.to_date(local), F.to_date(F.try_to_timestamp(F.substring(raw, 1, 8), F.lit("yyyyMMdd"))))
     return one.select(clear(field("SUMMARY")).alias("summary"), clear(field("LOCATION")).alias("location"), field("URL").alias("url"), clear(field("DESCRIPTION")).alias("description"), day.alias("day"), F.date_format(local, "HH:mm").alias("start"))
 
