@@ -12,13 +12,23 @@ from typing import Any
 
 # The default weights, terms and thresholds that scores depend on.
 CATEGORY_WEIGHTS = {
-    "electronic": 3, "party": 3, "live_music": 3, "music": 2, "jazz": 2, "film": 2, "dance": 2, "theater": 2,
-    "beer_food": 2, "comedy": 1, "art": 1, "pop": 1, "general": 1,
+    "electronic": 3, "party": 3, "film": 3, "music": 2, "live_music": 2, "theater": 2, "beer_food": 2,
+    "comedy": 1, "art": 1, "pop": 1, "general": 1,
 }
 GROOVE_TERMS = (
     "vinyl", "all night", "open to close", "open-to-close", "groove", "disco", "soulful", "deep house", "balearic", "rooftop",
     "sunset", "golden hour", "open-air", "open air", "daytime", "day party", "poolside", "pool party",
 )
+NEAR_HOME = (
+    "silver lake", "silverlake", "echo park", "los feliz", "east hollywood", "atwater village", "atwater", "frogtown", "elysian valley",
+    "highland park", "eagle rock", "glassell park", "cypress park", "lincoln heights", "chinatown", "virgil village", "westlake",
+    "historic filipinotown", "downtown", "dtla", "arts district",
+)
+LABEL_TERMS = (
+    "fabric", "defected", "innervisions", "keinemusik", "hot creations", "rush hour", "running back", "anjuna", "afterlife", "dirtybird",
+    "hot since", "solid grooves",
+)
+FAR_TERMS = ("anaheim", "santa ana", "irvine", "san diego", "temecula", "ventura", "riverside", "long beach", "costa mesa", "huntington beach")
 PENALTY_TERMS = (
     "bottle service", "bottle-service", "vip table", "table service", "top 40", "top-40", "open format", "open-format", "hip hop",
     "hip-hop", "hardstyle", "gabber", "dubstep", "riddim", "brostep", "tribute", "cover band", "watch party", "world cup", "fifa",
@@ -48,12 +58,12 @@ class Taste:
     directors: tuple[str, ...] = ()
     formats: tuple[str, ...] = ()
     genres_loved: tuple[str, ...] = ()
-    near_home: tuple[str, ...] = ()
+    near_home: tuple[str, ...] = NEAR_HOME
     groove: tuple[str, ...] = GROOVE_TERMS
-    labels: tuple[str, ...] = ()
+    labels: tuple[str, ...] = LABEL_TERMS
     penalty: tuple[str, ...] = PENALTY_TERMS
     penalty_vibes: tuple[str, ...] = ()
-    far: tuple[str, ...] = ()
+    far: tuple[str, ...] = FAR_TERMS
     thresholds: tuple[tuple[int, int], ...] = RATING_THRESHOLDS
     card_cap: int = 4
     artist_cap: int = 4

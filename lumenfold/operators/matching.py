@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.config import RADAR_WEIGHTS
 from lumenfold.functions.text import has_any, normalized, venue_key
 from lumenfold.operators.dedupe import first_of
+from lumenfold.operators.score import global_rank
 
 # Words that make a festival or a city-wide occasion.
 FESTIVAL_TERMS = ("festival", "fest ", "fest)", "two-day", "three-day", "2-day", "3-day", "weekender", "block party")
@@ -79,3 +80,36 @@ def concordance(judged: DataFrame) -> DataFrame:
     pairs = F.col("a_n") * F.col("b_n")
     worth = F.when(F.col("a_score") > F.col("b_score"), 1.0).when(F.col("a_score") == F.col("b_score"), 0.5).otherwise(0.0)
     return met.agg(F.sum(pairs).alias("pairs"), F.sum(pairs * worth).alias("concordant"))
+
+
+def displacement(judged: DataFrame) -> DataFrame:
+    """(n, mean_pct, p90_pct, max_pct): how far rows move, in percent of all, from the order by score to that by ``rank_score``; judged: key, score, rank_score.
+
+    Places come from counts by score and key prefix, so the rows don't meet in one task; under five rows there is no result.
+    """
+    rows = judged.where("score is not null").select("key", "score", "rank_score")
+    placed = global_rank(global_rank(rows, "score", "key", "was"), "rank_score", "key", "now")
+    n = placed.agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    moves = placed.crossJoin(F.broadcast(n)).select("n", (F.abs(F.col("was") - F.col("now")) / F.col("n") * 100).alias("move"))  # one row beside
+    counts = moves.groupBy("n", "move").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("n").orderBy("move").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_upto", upto)
+    tenth = F.min(F.when(F.col("_upto") > F.floor(F.col("n") * 0.9), F.col("move")))
+    return counts.groupBy("n").agg(F.bround(F.sum(F.col("move") * F.col("c")) / F.first("n"), 1).alias("mean_pct"), F.bround(tenth, 1).alias("p90_pct"), F.bround(F.max("move"), 1).alias("max_pct"))
+
+
+def disagreements(judged: DataFrame) -> DataFrame:
+    """Verdicts that the score wouldn't have given (key, tier, adjust, score), with ``kinds`` and ``score_pct``, the share of lower scores.
+
+    Scores are counted first, so the shares come from a row a score.
+    """
+    rows = judged.where("score is not null")
+    counts = rows.groupBy(F.col("score").alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    below = F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    shares = counts.select("_s", (below / F.sum("_c").over(Window.partitionBy()) * 100).alias("_p"))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("tier").isin("must-see", "great") & (F.col("_p") <= 40), "promoted_low_score"), F.when((F.col("tier") == "skip") & (F.col("_p") >= 75), "demoted_high_score"),
+        F.when(F.abs(F.coalesce("adjust", F.lit(0))) >= 3, "big_adjust"),
+    ))
+    found = rows.join(shares, F.col("score") == F.col("_s")).withColumns({"kinds": kinds, "score_pct": F.bround("_p", 0).cast("long")})
+    return found.where(F.size("kinds") > 0).drop("_s", "_p")

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import artist_key, text
+from lumenfold.functions.text import artist_key, folded, profile_hash, text
 from lumenfold.operators.affinity import token_grams
 
 
@@ -18,22 +18,38 @@ def affinity_hint(found: DataFrame, genres: DataFrame, key: str, artists: int =
     return a.join(g, key, "full_outer")
 
 
+def folded_words(c: str | Column) -> Column:
+    """The words of a folded text, letters and numbers only."""
+    return F.filter(F.split(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
 def artist_notes(events: DataFrame, notes: DataFrame, key: str, ambiguous: tuple[str, ...] = (), least: int = 5, most: int = 4) -> DataFrame:
     """(key, notes): cached notes (name, note) of billed artists: entries of the bill, and on music rows long unambiguous names in the title.
 
-    Both are equi-joins: entries by key, titles by their runs of words.
+    Both are equi-joins: entries by key, titles by their runs of words, in which longer names than ``most`` words meet by their first
+    ones and are then looked for whole.
     """
     n = notes.select(artist_key("name").alias("artist"), "name", "note")
     billed = events.select(key, F.explode("lineup").alias("entry")).select(key, artist_key("entry").alias("artist"))
     music = events.where(F.lower(text("category")).isin("music", "live_music", "jazz", "electronic", "party"))
-    titled = token_grams(music, key, F.col("title"), most).withColumnRenamed("gram", "artist")
-    titled = titled.where(F.char_length("artist") >= least)
+    named = n.where(F.char_length("artist") >= least).select("artist", folded_words("artist").alias("_w")).distinct()
+    named = named.select("artist", F.array_join("_w", " ").alias("_all"), F.array_join(F.slice("_w", 1, most), " ").alias("gram"))
+    words = music.select(key, F.concat(F.lit(" "), F.array_join(folded_words(text("title")), " "), F.lit(" ")).alias("_title"))
+    titled = token_grams(music, key, F.col("title"), most).join(named, "gram").join(words, key)
+    titled = titled.where(F.col("_title").contains(F.concat(F.lit(" "), F.col("_all"), F.lit(" ")))).select(key, "artist")
     if ambiguous:
         titled = titled.where(~F.col("artist").isin(*ambiguous))
     met = billed.unionByName(titled).distinct().join(n, "artist")
     return met.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("name", "note"))).alias("notes"))
 
 
+def store_hash(asked: DataFrame, profiles: DataFrame, salt: str) -> DataFrame:
+    """(hash, store) of feed hashes: the owner's store is the default one, null; others keep their hash; profiles: username, owner."""
+    owners = profiles.where("owner and username <> ''").select(profile_hash("username", salt).alias("_owner")).distinct()
+    both = asked.select("hash").join(owners, F.lower(F.trim("hash")) == F.col("_owner"), "left")
+    return both.select("hash", F.when(F.col("_owner").isNull(), F.col("hash")).alias("store"))
+
+
 def scene_facts(events: DataFrame, cache: DataFrame) -> DataFrame:
     """Events with what research found, opinions left out; cache: (key, card, notes, blurb, ...)."""
     return events.join(cache.select("key", "card", "notes"), "key", "left")

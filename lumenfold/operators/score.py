@@ -54,7 +54,7 @@ def venue_loved(venue: str, loved: tuple[str, ...]) -> Column:
 
 def scored(events: DataFrame, taste: Taste) -> DataFrame:
     """``events`` with ``score``, ``rating`` and ``reasons``. Looked-up columns that are there take part: ``artist_points``,
-    ``genre_points``, ``card`` (draw, rarity, lineup_depth), ``vibe``, ``type``."""
+    ``genre_points``, ``card`` (draw, rarity, lineup_depth, vibes), ``vibe``, ``type``."""
     has = set(events.columns)
     hay, title = F.col("_hay"), "title"
     category = F.lower(F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("general")))
@@ -98,17 +98,22 @@ def scored(events: DataFrame, taste: Taste) -> DataFrame:
     add(F.lit(-5), F.lit("-5 venue you've banned"), has_any(F.lower(text("venue")), tuple(v.lower() for v in taste.venues_banned)))
     for term in taste.penalty:
         add(F.lit(-2), F.lit(f"-2 {term}"), hay.contains(term))
-    if taste.penalty_vibes and "vibe" in has:
+    card = {f.name for f in events.schema["card"].dataType.fields} if "card" in has else set()
+    vibes = [F.coalesce(c, F.array().cast("array<string>")) for c in ([F.col("vibe")] if "vibe" in has else []) + ([F.col("card.vibes")] if "vibes" in card else [])]
+    if vibes:
+        said = F.transform(F.concat(*vibes), F.lower)
         for v in taste.penalty_vibes:
-            add(F.lit(-6), F.lit(f"-6 vibe you've opted out of ({v})"), F.array_contains("vibe", v))
+            add(F.lit(-6), F.lit(f"-6 vibe you've opted out of ({v.lower()})"), F.array_contains(said, v.lower()))
     far = has_any(hay, taste.far) | has_any(hood, taste.far)
     festival = hay.contains("festival") | (F.coalesce("festival", F.lit(False)) if "festival" in has else F.lit(False))
     add(F.lit(0), F.lit("far-flung penalty waived (festival)"), far & festival)
-    add(F.lit(-2), F.lit("-2 far away"), far & ~festival)
+    add(F.lit(-2), F.lit("-2 far from LA"), far & ~festival)
     if "card" in has and taste.card_cap > 0:
         number = lambda f: F.coalesce(F.col(f"card.{f}"), F.lit(0))
-        points = F.least(F.lit(taste.card_cap), F.greatest(number("draw"), F.lit(0)) + F.greatest(number("rarity"), F.lit(0)) + F.when(number("lineup_depth") >= 2, 1).otherwise(0))
-        add(points, F.concat(signed(points), F.lit(" event card")), points > 0)
+        parts = [(F.greatest(number("draw"), F.lit(0)), "draw"), (F.greatest(number("rarity"), F.lit(0)), "rare booking"), (F.when(number("lineup_depth") >= 2, 1).otherwise(0), "stacked bill")]
+        points = F.least(F.lit(taste.card_cap), _sum([n for n, _ in parts]))
+        told = F.array_join(F.array_compact(F.array(*[F.when(n > 0, F.concat(signed(n), F.lit(f" {what}"))) for n, what in parts])), ", ")
+        add(points, F.concat(signed(points), F.lit(" event card ("), told, F.lit(")")), points > 0)
     out = events.withColumn("_hay", haystack(events))
     out = out.withColumns({"score": _sum([p for p, _ in terms]).cast("int"), "reasons": F.filter(F.array(*[r for _, r in terms]), lambda x: x.isNotNull())})
     return out.withColumn("rating", rating(F.col("score"), taste)).drop("_hay")

@@ -51,7 +51,9 @@ def resolve_people(asked: DataFrame, profiles: DataFrame, salt: str) -> DataFram
     """
     p = profiles.select(F.lower(F.trim("username")).alias("id"), "name", F.coalesce("owner", F.lit(False)).alias("owner"))
     a = asked.select("person", F.lower(F.trim("person")).alias("u"), person_key("person").alias("k")).distinct()
-    by_user = a.join(p, (a["u"] == p["id"]) | (p["owner"] & a["u"].isin(*OWNER_ALIASES))).select("person", "id", "name", "owner", F.lit(0).alias("way"))
+    alias = a.where(F.col("u").isin(*OWNER_ALIASES)).withColumn("_owner", F.lit(True))
+    by_user = a.join(p, a["u"] == p["id"]).select("person", "id", "name", "owner", F.lit(0).alias("way"))
+    by_user = by_user.unionByName(alias.join(p, F.col("_owner") == F.col("owner")).select("person", "id", "name", "owner", F.lit(0).alias("way")))
     by_name = a.join(p, a["k"] == person_key(p["name"])).select("person", "id", "name", "owner", F.lit(1).alias("way"))
     best = first_of(by_user.unionByName(by_name), ["person"], F.asc("way"), F.desc("owner"), F.asc("id"))
     return best.select("person", "id", "name", F.when(~F.col("owner"), profile_hash("id", salt)).alias("hash"))
