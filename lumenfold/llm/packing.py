@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -183,6 +184,8 @@ def cutting_stock(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, i
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
         basic[out] = column
+    else:
+        warnings.warn(f"column generation stopped {amount.sum() / bound - 1:.2%} over its bound; the plan is whole, but not the least", stacklevel=2)
     left = demand[lengths - 1].astype(np.int64)
     plan: list[tuple[np.ndarray, int]] = []
 
