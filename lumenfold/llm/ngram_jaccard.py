@@ -2,8 +2,8 @@
 
 Similar documents are put into groups (a min-hash brings them together, an exact check against the group's
 leader admits them). A token matters only where sets of different components have it; a set with too few such
-tokens links with nothing outside its component and is put aside, which is repeated as components grow. What
-remains is the matrix: tokens that the same sets have are one column with a weight, and each group stores the
+tokens links with nothing outside its component and is put aside, first by groups, then by the components that sure
+links make of them. What remains is the matrix: tokens that the same sets have are one column with a weight, and each group stores the
 union of its members' columns. A set is a query on the groups that share one of its rarest columns where what
 both still have after that column allows a link; the weight of its columns in a group's union bounds its overlap
 with any member, and only groups whose bound reaches the threshold are opened and compared member by member, exactly.
@@ -286,19 +286,22 @@ def _needed(a: str, b: str, percent: int) -> str:
 
 def _sure(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of groups, found without pairing sets: each set with the one of the fewest other tokens that shares a token."""
-    e = sets.select("rid", "gid", "n", (F.col("n") - F.size("tokens")).alias("own"), F.explode("tokens").alias("token"))
-    first = e.groupBy("token").agg(F.min(F.struct("own", "n", "gid", "rid")).alias("m"))
-    met = e.join(first, "token").where("gid <> m.gid").groupBy("rid", "gid", "n", "m").agg(F.count(F.lit(1)).alias("met"))
-    return met.where(f"met * {100 + percent} >= {_needed('n', 'm.n', percent)}").select(F.col("gid").alias("a"), F.col("m.gid").alias("b")).distinct()
+    first = sets.select("rid", (F.col("n") - F.size("tokens")).alias("own"), F.explode("tokens").alias("token"))
+    first = first.groupBy("token").agg(F.min(F.struct("own", "rid")).alias("m")).select("token", F.col("m.rid").alias("first"))
+    met = sets.select("rid", F.explode("tokens").alias("token")).join(first, "token").where("rid <> first").groupBy("rid", "first").agg(F.count(F.lit(1)).alias("met"))
+    facts = sets.select("rid", "gid", "n")
+    met = met.join(facts, "rid").join(facts.select(*[F.col(c).alias(f"first_{c}") for c in facts.columns]), F.col("first") == F.col("first_rid"))
+    met = met.where(f"gid <> first_gid and met * {100 + percent} >= {_needed('n', 'first_n', percent)}")
+    return met.select(F.col("gid").alias("a"), F.col("first_gid").alias("b")).distinct()
 
 
 def _between(sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """``sets`` with their component, without tokens that one component alone has and without sets that have too few others."""
     sets = sets.drop("component").join(joined.select(F.col("node").alias("gid"), "component"), "gid", "left").withColumn("component", F.expr(_COMPONENT))
-    e = sets.select("rid", "gid", "component", "n", F.explode("tokens").alias("token"))
-    several = e.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    left = e.join(several, "token").groupBy("rid", "gid", "component", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    return written(left.where(f"100 * size(tokens) >= {percent} * n"))
+    several = sets.select("component", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = sets.select("rid", F.explode("tokens").alias("token")).join(several.where("low <> high").select("token"), "token").groupBy("rid").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    facts = sets.select("rid", "gid", "component", "n")
+    return written(left.join(facts, "rid").where(f"100 * size(tokens) >= {percent} * n").select("rid", "gid", "component", "n", "tokens"))
 
 
 def _asked(sets: DataFrame, percent: int) -> DataFrame:
@@ -378,12 +381,6 @@ def _components(docs: DataFrame, percent: int, words: int, id_col: str, text_col
     sets = written(one)
     links = written(links.union(_sure(sets, percent)))
     joined = written(connected_components(links))
-    for _ in range(2):
-        before, sets = sets, _between(sets, joined, percent)
-        discarded(before)
-        found = written(_sure(sets, percent))
-        links = links.union(found)
-        joined = written(connected_components(links))
     before, sets = sets, _between(sets, joined, percent)
     discarded(before)
     links = links.union(_opened(_asked(sets, percent), sets, percent))
