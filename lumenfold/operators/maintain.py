@@ -42,14 +42,14 @@ def diff_catalog(old: DataFrame, new: DataFrame, today: date, key: str = "key",
 
 
 def version(rows: DataFrame, *parts: Column) -> DataFrame:
-    """(version, n): twelve digits that depend on all rows and not on their order.
+    """(version, n): twelve digits that depend on all rows, repeats too, and not on their order.
 
-    Each row is hashed, and rows of a prefix of the hash are joined in order; these digests, a fixed number, make the last one.
+    Each row is hashed, and the hashes are added up by four parts, so nothing is sorted or gathered; the sums make the version.
     """
     hashed = rows.select(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256).alias("h"))
-    joined = F.array_join(F.array_sort(F.collect_list("h")), "\n")
-    buckets = hashed.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(joined, 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return buckets.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256), 1, 12).alias("version"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)]
+    total = hashed.agg(F.count(F.lit(1)).alias("n"), *sums)
+    return total.select(F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")]), 256), 1, 12).alias("version"), "n")
 
 
 def needing(rows: DataFrame, store: DataFrame, key: str, stale: Column | None = None) -> DataFrame:

@@ -232,8 +232,9 @@ def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.stale_sources(fresh, -30, 20).select("source", "days", "n")
 
 
-@query(f"""WITH {LISTING}, h AS (SELECT sha256(venue || '|' || day || '|' || title) AS h FROM listing), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY ALL)
-SELECT substr(sha256(string_agg(d, chr(10) ORDER BY b)), 1, 12) AS version, sum(n)::BIGINT AS n FROM b""")
+@query(f"""WITH {LISTING}, h AS (SELECT sha256(venue || '|' || day || '|' || title) AS h FROM listing),
+s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT) AS s0, sum(('0x' || substr(h, 16, 15))::BIGINT) AS s1, sum(('0x' || substr(h, 31, 15))::BIGINT) AS s2, sum(('0x' || substr(h, 46, 15))::BIGINT) AS s3 FROM h)
+SELECT substr(sha256(concat_ws('|', n, s0, s1, s2, s3)), 1, 12) AS version, n FROM s""")
 def catalog_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.version(listing(spark, sf_dir), F.col("venue"), F.col("day"), F.col("title"))
 
@@ -428,8 +429,11 @@ def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct()
-    other = names.select("brand", F.col("name").alias("other"))
-    return dedupe.ratios(names.join(other, "brand").where("name < other"), "name", "other", 0.8)
+    names = names.withColumn("id", F.xxhash64("brand", "name"))
+    met = dedupe.similar_pairs(names.withColumnRenamed("name", "s"), 0.8, "brand")
+    a, b = (names.select("brand", F.col("id").alias(k), F.col("name").alias(f"name_{k}")) for k in "ab")
+    both = met.join(a, "a").join(b.drop("brand"), "b").select("brand", F.least("name_a", "name_b").alias("name"), F.greatest("name_a", "name_b").alias("other"))
+    return dedupe.ratios(both, "name", "other", 0.8)
 
 
 @query(f"WITH {LISTING}, r AS (SELECT cust, max(day) AS day, count(DISTINCT day) AS n FROM listing GROUP BY cust) SELECT cust, day, n, lag(day) OVER (ORDER BY cust) IS NULL AS head FROM r")
