@@ -387,23 +387,23 @@ def front_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.shelves(rows, TODAY).select("section", "shelf", F.col("key").alias("id"), "place")
 
 
-def _lane_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lane_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored and judged listings with their lane, in one pass over them."""
     return laned(spark, sf_dir, ranked(spark, sf_dir)).withColumns({"key": F.col("id").cast("string"), "series": F.lit(None).cast("string")})
 
 
 _TAGS = LANES.removeprefix(LISTING).replace("FROM listing)", "FROM ranked)")
-_LANE_RANKED = f"{SCORED}, {VERDICTS}{_TAGS}, r AS (SELECT day, id::VARCHAR AS key, lane, score, adjust, tier, rank_score FROM laned)"
+LANE_RANKED = f"{SCORED}, {VERDICTS}{_TAGS}, r AS (SELECT day, id::VARCHAR AS key, title, lane, score, adjust, tier, rank_score FROM laned)"
 
 
-@query(f"""WITH {_LANE_RANKED}, a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY day, key ORDER BY rank_score DESC) = 1), b AS (SELECT *, string_split(lane, ':')[1] AS family FROM a WHERE coalesce(tier, '') <> 'skip'),
+@query(f"""WITH {LANE_RANKED}, a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY day, key ORDER BY rank_score DESC) = 1), b AS (SELECT *, string_split(lane, ':')[1] AS family FROM a WHERE coalesce(tier, '') <> 'skip'),
 c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY day, lane ORDER BY rank_score DESC, key DESC) <= 2), d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY day, family ORDER BY rank_score DESC, key DESC) <= 3)
 SELECT day, key, row_number() OVER (PARTITION BY day ORDER BY rank_score DESC, key DESC) AS place FROM d QUALIFY place <= 6""")
 def top_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.top_picks(_lane_ranked(spark, sf_dir), "day")
+    return select.top_picks(lane_ranked(spark, sf_dir), "day")
 
 
-@query(f"""WITH {_LANE_RANKED}, o AS (SELECT *, CASE WHEN isodow(day) IN (5, 6) THEN 8 ELSE 6 END AS size, coalesce(score, 0) + coalesce(adjust, 0) AS plain, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY day ORDER BY rank_score DESC, key DESC)),
+@query(f"""WITH {LANE_RANKED}, o AS (SELECT *, CASE WHEN isodow(day) IN (5, 6) THEN 8 ELSE 6 END AS size, coalesce(score, 0) + coalesce(adjust, 0) AS plain, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY day ORDER BY rank_score DESC, key DESC)),
 e AS (SELECT *, lag(plain) OVER (PARTITION BY day ORDER BY place) - plain > 3 AS falls FROM o), m AS (SELECT *, place <= size AND NOT coalesce(bool_or(falls) OVER (PARTITION BY day ORDER BY place), false) AS taken FROM e),
 t AS (SELECT *, row_number() OVER (PARTITION BY day, lane ORDER BY place) AS turn FROM m WHERE taken), days AS (SELECT day, any_value(size) - count(*) AS room, count(*) FILTER (turn > 1) AS movable FROM t GROUP BY day),
 g AS (SELECT day, key, rank_score, row_number() OVER (PARTITION BY day ORDER BY list_position(['club:day', 'film', 'live-music'], lane)) AS place FROM (SELECT * FROM m WHERE lane IN ('club:day', 'film', 'live-music') AND score >= 2 AND (day, lane) NOT IN (SELECT (day, lane) FROM t) QUALIFY row_number() OVER (PARTITION BY day, lane ORDER BY m.place) = 1)),
@@ -411,7 +411,7 @@ n AS (SELECT d.*, least((SELECT count(*) FROM g WHERE g.day = d.day), room + mov
 k AS (SELECT g.day, g.key, g.rank_score FROM g JOIN n USING (day) WHERE place <= entering UNION ALL SELECT day, key, rank_score FROM (SELECT t.*, entering - room AS gone, row_number() OVER (PARTITION BY day, turn > 1 ORDER BY place DESC) AS back FROM t JOIN n USING (day)) WHERE turn = 1 OR back > gone)
 SELECT day, key, row_number() OVER (PARTITION BY day ORDER BY rank_score DESC, key DESC) AS place FROM k""")
 def slate_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.slates(_lane_ranked(spark, sf_dir), 6, 8, 3, ("club:day", "film", "live-music"))
+    return select.slates(lane_ranked(spark, sf_dir), 6, 8, 3, ("club:day", "film", "live-music"))
 
 
 @query()
