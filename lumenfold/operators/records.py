@@ -63,6 +63,16 @@ def judging_records(events: DataFrame, hints: DataFrame, taste_brief: str) -> Da
     return joined.select("key", F.to_json(F.struct(*names, F.lit(taste_brief).alias("taste"))).alias("record"))
 
 
+def pool_document(records: DataFrame, summary: DataFrame, today: date, window_days: int, per_lane: int, floor: int, brief: str = "") -> DataFrame:
+    """(document) one JSON text with what was asked and every record (key, record) of a pool, which ``top_k`` bounds; summary: artists, genres, a row at most."""
+    listed = records.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "record"))), lambda x: x["record"]).alias("events"), F.count(F.lit(1)).alias("count"))
+    music = summary.agg(F.first(F.struct("artists", "genres")).alias("profile_affinity"))
+    both = listed.crossJoin(F.broadcast(music))  # one row each
+    facts = [F.lit(str(today)).alias("today"), F.lit(window_days).alias("window_days"), F.lit(per_lane).alias("per_lane"), F.lit(floor).alias("floor"), F.nullif(F.lit(brief), F.lit("")).alias("taste_profile")]
+    head = F.to_json(F.struct(*facts, "count", "profile_affinity"))
+    return both.select(F.concat(F.substr(head, F.lit(1), F.char_length(head) - 1), F.lit(',"events":['), F.array_join("events", ","), F.lit("]}")).alias("document"))
+
+
 def teaser(md: str | Column) -> Column:
     """struct(text, day) of a document's comment slot; null where it is missing or empty."""
     m = text(md)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import text
 from lumenfold.operators.components import saved
+from lumenfold.operators.normalize import split_junk
 
 MOST_EVENTS = 500
 
@@ -152,6 +153,24 @@ def judge_pool(events: DataFrame, top_k: int, floor: int, skip_lanes: tuple[str,
     return head.unionByName(events.where(side & (F.col("score") >= floor)))
 
 
+def editor_pool(events: DataFrame, today: date, floor: int = 4, skip_lanes: tuple[str, ...] = ("market", "workshop"), per_lane: int = 0, top_k: int | None = None) -> DataFrame:
+    """What is worth a judgement, of events (key, day, title, venue, lineup, lane, score): neither past nor advertising; undated rows pass.
+
+    All rows of slate lanes, or the best ``top_k`` of them, or the best ``per_lane`` of each day and lane; and what scores ``floor`` or
+    more, of the other lanes only where ``top_k`` bounds the slate's. Each key once.
+    """
+    kept = split_junk(events.where(F.col("day").isNull() | (F.col("day") >= F.lit(today))))[0]
+    side, high = F.col("lane").isin(*skip_lanes), F.coalesce("score", F.lit(0)) >= floor
+    best = [F.desc(F.coalesce("score", F.lit(0))), F.asc("day"), F.asc("key")]
+    if per_lane > 0:
+        picked = top_in(kept.where(~side), per_lane, ["day", "lane"], *best).unionByName(kept.where(high))
+    elif top_k is None:
+        picked = kept.where(~side | high)
+    else:
+        picked = top(kept.where(~side), top_k, *best).unionByName(kept.where(side & high))
+    return top_in(picked, 1, ["key"], *best)
+
+
 def batches(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """``rows`` with ``batch`` 1..k, even cuts in order: row r of n falls into the batch whose bounds i*n//k hold it.
 

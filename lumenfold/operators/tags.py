@@ -40,6 +40,8 @@ LIVE_BY_SOURCE = {
     "folk": "folk", "jazz": "jazz", "classical": "classical", "blues": "blues", "reggae": "reggae", "dance/electronic": "electronic", "world": "world",
     "folk/acoustic/americana": "folk", "edm": "electronic",
 }
+#: Genres that tags name in another way than a rule's name.
+OTHER_GENRES = ("rep/arthouse", "electronic", "world", "theater", "family", "dance", "performance-art", "magic", "circus", "variety", "puppetry")
 STAGE_BY_SOURCE = {
     "theatre": "theater", "miscellaneous theatre": "theater", "children's theatre": "family", "dance": "dance", "classical": "classical", "opera": "opera",
     "performance art": "performance-art", "magic & illusion": "magic", "circus & specialty acts": "circus", "variety": "variety", "puppetry": "puppetry",
@@ -78,6 +80,10 @@ class Gazetteer:
     near_home: tuple[str, ...] = ()
 
 
+#: Every genre that a tag can name.
+GENRES = tuple(dict.fromkeys([*(n for n, _ in (*ELECTRONIC, *LIVE, *STAGE, *COMEDY)), *OTHER_GENRES]))
+
+
 def _low(df: DataFrame, name: str) -> Column:
     return F.lower(text(name)) if name in df.columns else F.lit("")
 

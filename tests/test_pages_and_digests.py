@@ -1,9 +1,11 @@
 """The front page, digest sections, verdict studies and loaders, each against a loop or worked cases."""
 
+import json
 import random
 from datetime import date, timedelta
 
-from lumenfold.operators import affinity, digest, front_page, matching, records, search
+from lumenfold.config import Taste
+from lumenfold.operators import affinity, digest, front_page, matching, records, search, select
 from lumenfold.functions.text import profile_hash
 from lumenfold.sources import feeds
 
@@ -130,3 +132,28 @@ def test_notes_of_long_names(spark):
     events = spark.createDataFrame([(1, "A night with The Very Long Name Of A Band live", [], "music"), (2, "The Very Long Name Of Another", ["Bo"], "music"), (3, "Short act", [], "market")], "id int, title string, lineup array<string>, category string")
     notes = spark.createDataFrame([("The Very Long Name Of A Band", "n1"), ("bo", "n2"), ("Short act", "n3")], "name string, note string")
     assert {r.id: [x.note for x in r.notes] for r in records.artist_notes(events, notes, "id").collect()} == {1: ["n1"], 2: ["n2"]}
+
+
+def test_genres_of_events(spark):
+    events = [(1, "Warehouse of Blues popup", ["deep-house"]), (2, "A french house night, balearic!", ["techno"]), (3, "Deep  house all night", None), (4, "house and pop", []), (5, "Hard techno", ["hard-techno"])]
+    genres = [("p", "Deep House", 0.9, 1), ("p", "house", 1.0, 0), ("p", "french house", 0.6, 2), ("p", "balearic", 0.5, 3), ("p", "pop", 0.4, 4), ("q", "techno", 1.0, 0)]
+    hits = affinity.genre_hits(spark.createDataFrame(events, "id int, text string, tags array<string>"), spark.createDataFrame(genres, "profile string, genre string, weight double, ord int"), "id", Taste())
+    assert sorted((r.id, r.profile, r.genre) for r in hits.collect()) == [(1, "p", "Deep House"), (1, "p", "house"), (2, "p", "balearic"), (2, "p", "french house"), (2, "q", "techno"), (3, "p", "Deep House"), (3, "p", "house")]
+    assert {(r.id, r.profile): (r.points, r.genre) for r in affinity.genre_points(hits, "id", Taste()).collect()} == {(1, "p"): (1, "house"), (2, "p"): (1, "french house"), (2, "q"): (1, "techno"), (3, "p"): (1, "house")}
+
+
+def test_pool_of_the_judge(spark):
+    ddl = "key string, day date, title string, venue string, lineup array<string>, lane string, score int"
+    rows = [("a", day(0), "Fine night", "V", [], "film", 9), ("b", day(0), "Other", "V", [], "film", 5), ("c", day(0), "Third", "V", [], "film", 1), ("d", day(-1), "Past", "V", [], "film", 9), ("e", None, "Undated", "V", [], "art", 2)]
+    rows += [("f", day(1), "Stall", "V", [], "market", 4), ("g", day(1), "Small stall", "V", [], "market", 3), ("h", day(1), "VIP upgrade", "V", [], "art", 9), ("i", day(1), "Call 1-800-555-1234 now", "V", [], "art", 9), ("b", day(0), "Other", "V", [], "film", 4)]
+    df = spark.createDataFrame(rows, ddl)
+    keys = lambda **k: sorted(r.key for r in select.editor_pool(df, TODAY, **k).collect())
+    assert keys() == ["a", "b", "c", "e", "f"] and keys(top_k=1) == ["a", "f"] and keys(per_lane=1) == ["a", "b", "e", "f"] and keys(per_lane=1, floor=99) == ["a", "e"]
+    artists = spark.createDataFrame([("p", "ann", "Ann", 3.0, "core"), ("p", "bo", "Bo", 5.0, "core"), ("p", "cy", "Cy", 1.0, "light")], "profile string, artist string, name string, weight double, tier string")
+    genres = spark.createDataFrame([("p", "dub", 0.5, 1), ("p", "house", 1.0, 0)], "profile string, genre string, weight double, ord int")
+    told = affinity.summary(artists, genres, 2, 1)
+    assert [([(x.name, x.tier) for x in r.artists], r.genres) for r in told.collect()] == [([("Bo", "core"), ("Ann", "core")], ["house"])]
+    made = spark.createDataFrame([("b", '{"key": "b"}'), ("a", '{"key": "a"}')], "key string, record string")
+    doc = json.loads(records.pool_document(made, told, TODAY, 28, 0, 4, "likes dub").first().document)
+    assert [x["key"] for x in doc["events"]] == ["a", "b"] and doc["count"] == 2 and doc["today"] == "2026-06-17" and doc["taste_profile"] == "likes dub" and doc["profile_affinity"]["genres"] == ["house"]
+    assert json.loads(records.pool_document(made.limit(0), told.limit(0), TODAY, 28, 0, 4).first().document)["events"] == []
