@@ -8,7 +8,8 @@ shingles are compared exactly. All is built from SQL functions; higher-order fun
 
 Cases: a null text is empty; an empty text has the empty sketch and the empty string as fingerprint, is fully like
 another empty one and not at all like a text with words. Documents follow each other by descending id, null last;
-rows with one id by hash of the text; a single row is its own successor. Extra columns are ignored.
+rows with one id by hash of the text; a single row is its own successor. Texts of any length are read whole; an empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

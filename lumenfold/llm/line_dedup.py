@@ -12,7 +12,8 @@ with it, else they neither count nor break it. Lines, paragraphs (up to a blank
 units of their own beside the sentences and go where their words as a whole were there before, wherever the breaks are.
 
 Cases: a null text is empty; a null id ranks last, of equal ids the smaller hash of the text; rows that are equal in id and text are
-one document and keep the same; extra columns are ignored.
+one document and keep the same; texts of any length are cut whole; an empty table gives an empty result; extra columns stay in
+``deduplicated``, but for one named ``removed``, and are ignored elsewhere.
 """
 
 from __future__ import annotations

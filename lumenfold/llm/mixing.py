@@ -13,7 +13,7 @@ the source's size; the excess goes to the others by weight, which has the closed
 by size over weight, those below the level are full.
 
 Cases: a null text has size 0; null is a source like others; sources of size 0 have target 0; repeated rows are
-documents of their own; an empty table gives an empty result; extra columns are ignored.
+documents of their own; a text of any length is one document; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ looked up in a bounded cache; unknown ones are merged by the same vocabulary's r
 what the plain expression covers go to the tokenizer whole, so ids are always the tokenizer's.
 
 Cases: a null text is empty and has the end id alone; repeated rows are documents of their own; extra columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result; a text of any length is cut into as many pieces as it needs.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ says, and only those candidates are verified with the expression. A rule without
 Matches are leftmost and do not overlap within a rule; a match that is too short is dropped after it was made.
 Spans are in code points, the end exclusive, over whole texts.
 
-Cases: a null text is empty and has no spans; repeated rows are scanned alike; extra columns are ignored.
+Cases: a null text is empty and has no spans; repeated rows are scanned alike; a text longer than a block is a block of its own;
+an empty table gives an empty result; extra columns are ignored, but that one named ``spans`` gives way.
 """
 
 from __future__ import annotations

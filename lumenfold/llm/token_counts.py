@@ -11,7 +11,8 @@ piece of its own covers can be unknown, at the least score of the vocabulary les
 their UTF-8 bytes where the vocabulary has byte pieces, else a run of them as one. Units repeat, so their counts
 are kept in a bounded cache.
 
-Cases: a null text is empty and has no tokens; repeated rows are counted alike; extra columns are ignored.
+Cases: a null text is empty and has no tokens; repeated rows and null ids are counted alike; texts of any length are counted
+whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
