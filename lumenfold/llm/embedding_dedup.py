@@ -4,8 +4,9 @@ Unit vectors of cosine c or more lie within squared distance 2 - 2c. They are ro
 transform, whose fixed order of additions gives the same bits in every task) and split into blocks of ``BLOCK``
 dimensions; by pigeonhole a near pair is within the proportional share of that budget in at least one block. Each block
 is range-joined: a grid over its first two coordinates, as wide as the block's radius, brings together what can be within
-it, and the whole block's distance selects candidates. The union of the blocks' candidates is verified with
-the cosine in double precision, each pair in the first block that selects it.
+it. There vectors are split at the median of their widest coordinate into leaves of ``LEAF``, and only leaves whose boxes are
+within the radius over all of the block's coordinates are compared, by the whole block's distance. The union of the blocks'
+candidates is verified with the cosine in double precision, each pair in the first block that selects it.
 
 Equal vectors are joined beforehand and counted. A task yields for each vector the number it links with and links
 to a local root, so its output is linear however many pairs a hot group has. Grid cells are split into units of
@@ -31,6 +32,9 @@ from lumenfold.llm.common import connected_components, mix, written
 BLOCK = 8
 UNIT = 8192
 SLACK = 1e-9
+LEAF = 256
+#: More than what distances of a block's coordinates, at most 1 each, can be off by in single precision.
+ROUGH = 1e-5
 _FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
 
 
@@ -60,10 +64,27 @@ def _budget(cosine: float, wide: int) -> float:
 
 
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
-    return np.stack([np.frombuffer(v, "<f8") for v in column.to_pylist()]).reshape(-1, size)
-
-
-def _cells(cosine: float):
+    """Vectors out of their bytes, in double precision whatever they came in."""
+    return np.stack([np.frombuffer(v, "<f8" if len(v) == 8 * size else "<f4") for v in column.to_pylist()]).reshape(-1, size).astype("<f8")
+
+
+def leaves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows of ``x``, where the leaves start in it (and the last ends), and their boxes' least and most."""
+    order, cuts, todo = np.arange(len(x)), [], [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= LEAF:
+            cuts.append(lo)
+            continue
+        part = x[order[lo:hi]]
+        mid = (hi - lo) // 2
+        order[lo:hi] = order[lo:hi][np.argpartition(part[:, np.argmax(part.max(0) - part.min(0))], mid)]
+        todo += [(lo, lo + mid), (lo + mid, hi)]
+    cuts = np.array(sorted(cuts))
+    return order, np.append(cuts, len(x)), np.minimum.reduceat(x[order], cuts), np.maximum.reduceat(x[order], cuts)
+
+
+def _cells(cosine: float, kind: str):
     """For each vector and block its home cell: (size, block, x, y, rid, many, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +95,7 @@ def _cells(cosine: float):
                 part = batch.take(pa.array(at))
                 raw = np.array(part.column("embedding").to_pylist(), float).reshape(-1, size)
                 x = rotated(raw)
-                blobs = [v.tobytes() for v in raw.astype("<f8")]
+                blobs = [v.tobytes() for v in raw.astype(kind)]
                 side = math.sqrt(_budget(cosine, x.shape[1]))
                 for b in range(x.shape[1] // BLOCK):
                     c = np.floor(x[:, b * BLOCK : b * BLOCK + 2] / side).astype(np.int32)
@@ -90,13 +111,13 @@ class _Unit:
     def __init__(self, size: int, block: int, cosine: float):
         self.size, self.block, self.cosine = size, block, cosine
         self.raw, self.rid, self.many = np.zeros((0, size)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.x = None
+        self.x = self.tree = None
         self.links: dict[int, int] = {}
         self.edges: set[tuple[int, int]] = set()
 
     def add(self, raw: np.ndarray, rid: np.ndarray, many: np.ndarray) -> None:
         self.raw, self.rid, self.many = np.concatenate([self.raw, raw]), np.concatenate([self.rid, rid]), np.concatenate([self.many, many])
-        self.x = None
+        self.x = self.tree = None
 
     def meet(self, raw: np.ndarray, rid: np.ndarray, many: np.ndarray, itself: bool = False) -> None:
         if not len(self.rid) or not len(rid):
@@ -107,16 +128,29 @@ class _Unit:
         x, norm = (self.x, self.norm) if itself else (rotated(raw), np.sqrt((raw * raw).sum(1)))
         budget = _budget(self.cosine, x.shape[1])
         at = slice(self.block * BLOCK, (self.block + 1) * BLOCK)
-        a, b = self.x[:, at], x[:, at]
-        bb = (b * b).sum(1)
-        for lo in range(0, len(a), 512):
-            aa = a[lo : lo + 512]
-            near = (aa * aa).sum(1)[:, None] + bb - 2 * (aa @ b.T) <= budget + SLACK
-            i, k = np.nonzero(near)
-            i += lo
+        if self.tree is None:
+            self.tree = leaves(self.x[:, at])
+        order, cuts, least, most = self.tree
+        other, ends, low, high = self.tree if itself else leaves(x[:, at])
+        a, b = self.x[order, at], x[other, at]
+        # |a - b|^2 <= budget where a.b - |b|^2 / 2 >= (|a|^2 - budget) / 2; the second term is a column more.
+        enough = (((a * a).sum(1) - budget - ROUGH) / 2).astype("<f4")
+        b = np.concatenate([b, -(b * b).sum(1, keepdims=True) / 2], 1).astype("<f4")
+        a = np.concatenate([a, np.ones((len(a), 1))], 1).astype("<f4")
+        for leaf, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            gap = np.maximum(0, np.maximum(least[leaf] - high, low - most[leaf]))
+            close = np.flatnonzero((gap * gap).sum(1) <= budget + ROUGH)
+            if itself:
+                close = close[close >= leaf]
+            if not len(close):
+                continue
+            to = np.concatenate([np.arange(ends[c], ends[c + 1]) for c in close])
+            i, k = np.nonzero(a[lo:hi] @ b[to].T >= enough[lo:hi, None])
+            i, k = i + lo, to[k]
             if itself:
                 keep = i < k
                 i, k = i[keep], k[keep]
+            i, k = order[i], other[k]
             for cut in range(0, len(i), 50_000):
                 self._verify(i[cut : cut + 50_000], k[cut : cut + 50_000], raw, x, norm, rid, many, budget)
 
@@ -193,6 +227,7 @@ def _joiner(cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors`` (vec_id, embedding)."""
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.withColumn("good", F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
@@ -200,10 +235,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     hashed = F.xxhash64("embedding")
     same = F.count(F.lit(1)).over(Window.partitionBy("least", F.when(F.col("least").isNull(), hashed)))
     reps = written(reps.withColumn("rid", F.when(F.col("least").isNotNull() & (same == 1), F.col("least")).otherwise(hashed)))
-    homes = reps.select("rid", "many", "embedding").mapInArrow(_cells(cosine), "size int, block int, x int, y int, rid long, many long, vector binary")
-    # Cells of a block: the square of twice the inverse radius at most.
-    counts = homes.groupBy("size", "block", "x", "y").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units"))
-    counts = F.broadcast(written(counts))
+    homes = reps.select("rid", "many", "embedding").mapInArrow(_cells(cosine, kind), "size int, block int, x int, y int, rid long, many long, vector binary")
+    # Cells of a block: the square of twice the inverse radius at most, so written they are small, and joined by broadcast if so.
+    counts = written(homes.groupBy("size", "block", "x", "y").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units")))
     cell = ["size", "block", "x", "y"]
     homes = homes.withColumn("hash", F.xxhash64("rid"))
     own = homes.join(counts, cell).withColumn("mine", F.pmod("hash", "units"))
