@@ -117,6 +117,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> tuple[
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
+def _slices(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers in each value of a binary column, as views of its buffer: nothing is copied on the driver."""
+    values = column.combine_chunks()
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) and values.num_chunks else values
+    if not len(values):
+        return []
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    return [data[a:b].view(kind) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model from labelled rows outside the held-out fold (crc32 of the id's text mod 5 is 0)."""
     known = labels.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
@@ -126,8 +137,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
     texts = texts.groupBy("doc_id", F.col("toxic").cast("long").alias("toxic")).agg(F.min("text").alias("text"))
     counted = texts.mapInArrow(_count, "doc_id long, toxic long, keys binary, counts binary").toArrow().sort_by("doc_id")
-    rows = zip(counted["keys"].to_pylist(), counted["counts"].to_pylist(), counted["toxic"].to_pylist(), strict=True)
-    return fit([(np.frombuffer(k, np.uint16), np.frombuffer(n, np.uint32), int(y)) for k, n, y in rows])
+    model = fit(list(zip(_slices(counted["keys"], np.uint16), _slices(counted["counts"], np.uint32), counted["toxic"].to_pylist(), strict=True)))
+    del counted
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scorer(model, keep: tuple[str, ...], name: str):
