@@ -3,9 +3,9 @@
 Similar documents are put into groups (a min-hash brings them together, an exact check against the group's
 leader admits them). A token matters only where sets of different components have it; a set with too few such
 tokens links with nothing outside its component and is put aside, first by groups, then by the components that sure
-links make of them. What remains is the matrix: tokens that the same sets have are one column with a weight, and each group stores the
-union of its members' columns. A set is a query on the groups that share one of its rarest columns where what
-both still have after that column allows a link; the weight of its columns in a group's union bounds its overlap
+links make of them. What remains is the matrix: tokens that the same sets have are one column with a weight, and each group has the
+union of its members' tokens. A set is a query on the groups that share one of its rarest columns where what
+both still have after that column allows a link; the number of its tokens in a group's union bounds its overlap
 with any member, and only groups whose bound reaches the threshold are opened and compared member by member, exactly.
 
 No link is lost: with threshold t = percent/100 two sets share at least t times the larger one's size, so each has at
@@ -309,7 +309,7 @@ def _asked(sets: DataFrame, percent: int) -> DataFrame:
     e = sets.select("rid", "gid", "component", "n", F.size("tokens").alias("c"), F.explode("tokens").alias("token"))
     have = [F.count(F.lit(1)).alias("freq"), F.expr("bit_xor(xxhash64(rid))").alias("x1"), F.expr("bit_xor(xxhash64(rid, 1))").alias("x2")]
     columns = e.groupBy("token").agg(*have).groupBy("freq", "x1", "x2").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "freq", "weight")
-    cells = written(e.join(columns, "token"))
+    cells = e.join(columns, "token")
     order = Window.partitionBy("rid").orderBy("freq", "token").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("rest", F.col("c") - F.sum("weight").over(order) + F.col("weight"))
     ranked = written(ranked.where(f"rest >= (n * {percent} + 99) div 100").select("token", "rid", "gid", "component", "n", "rest"))
@@ -317,11 +317,11 @@ def _asked(sets: DataFrame, percent: int) -> DataFrame:
     fits = f"least <= n and most * 100 >= n * {percent} and least(rest, most_rest) * {100 + percent} >= {_needed('n', f'greatest(least, (n * {percent} + 99) div 100)', percent)}"
     met = ranked.join(index, "token").where(f"component <> other and {fits}").groupBy("target", "rid", "gid").agg(F.max("n").alias("n"), F.min("least").alias("least"))
     met = written(met)
-    union = cells.select(F.col("gid").alias("target"), "token", "weight").distinct()
-    bound = met.join(cells.select("rid", "token"), "rid").join(union, ["target", "token"]).groupBy("target", "rid", "gid", "n", "least").agg(F.sum("weight").alias("bound"))
+    unions = sets.groupBy(F.col("gid").alias("target")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))  # of GROUP_MEMBERS sets at most
+    bound = met.join(sets.select("rid", "tokens"), "rid").join(unions, "target").withColumn("bound", F.size(F.array_intersect("tokens", "union")))
     asked = bound.where(f"bound * {100 + percent} >= {_needed('n', f'greatest(least, (n * {percent} + 99) div 100)', percent)}")
     asked = written(asked.select("target", "rid", F.col("gid").alias("own")))
-    discarded(cells, ranked, met)
+    discarded(ranked, met)
     return asked
 
 
