@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_jaccard, packing, quotations, secret_scan, token_counts, toxicity
+from lumenfold.llm import embedding_dedup, fingerprints, group_ranking, line_dedup, mixing, ngram_jaccard, packing, quality_rules, quotations, secret_scan, token_counts, toxicity, vector_codes
 from lumenfold.llm.tokenizers_path import default_path
 
 
@@ -54,9 +54,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
 
+def op11_group_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_ranking.ranked_lines(_table(spark, sf_dir, "sale_lines"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op5_chat_quotations": quotations.SQL, "op7_line_dedup": line_dedup.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
+    return {"op4_mixing": mixing.SQL, "op5_chat_quotations": quotations.SQL, "op7_line_dedup": line_dedup.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op11_group_ranking": group_ranking.SQL, "op12_vector_codes": vector_codes.SQL}
