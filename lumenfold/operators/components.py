@@ -20,7 +20,32 @@ def saved(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` returned and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """``rows`` with their place, from 0, within rows that are equal in ``by``, in ``order``, which tells all rows apart.
+
+    One sort by ranges over all rows; the driver gets one count a partition. A group may span any number of partitions.
+    """
+    at = saved(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
+    part, ahead = F.shiftright("_at", 33), []
+    for k, n in sorted(at.groupBy(part).count().collect()):
+        ahead.append((k, n + (ahead[-1][1] if ahead else 0), n))
+    starts = at.sparkSession.createDataFrame([(k, upto - n) for k, upto, n in ahead], "_part long, _ahead long")
+    placed = at.join(F.broadcast(starts), part == F.col("_part")).withColumn("_place", F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))  # a row a partition
+    first = placed.groupBy(*by).agg(F.min("_place").alias("_first"))
+    return placed.join(first, by).withColumn(name, F.col("_place") - F.col("_first")).select(*rows.columns, name)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,10 +61,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         across = edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("high"), F.least("ca", "cb").alias("low"))
-        least = saved(across.groupBy("high").agg(F.min("low").alias("low")))
+        found = least = saved(across.groupBy("high").agg(F.min("low").alias("low")))
         if not least.limit(1).count():
+            discarded(edges, found)
             return labels
         hop = least.select(F.col("high").alias("low"), F.col("low").alias("lower"))
         least = least.join(hop, "low", "left").select("high", F.coalesce("lower", "low").alias("to"))
         moved = labels.join(least, labels["component"] == least["high"], "left")
-        labels = saved(moved.select("node", F.coalesce("to", "component").alias("component")))
+        before, labels = labels, saved(moved.select("node", F.coalesce("to", "component").alias("component")))
+        discarded(before, found)
