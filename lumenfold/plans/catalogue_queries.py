@@ -414,6 +414,42 @@ def slate_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.slates(lane_ranked(spark, sf_dir), 6, 8, 3, ("club:day", "film", "live-music"))
 
 
+#: A catalogue of a record a customer, from orders before a day, and a batch of a record for each order since; ids tell customers.
+_BATCH = "DATE '1998-06-01'"
+_MERGED = f"""c AS (SELECT o_custkey AS cust, min(o_orderdate::DATE) AS day, max(o_orderdate::DATE)::VARCHAR AS seen FROM orders WHERE o_orderdate::DATE < {_BATCH} GROUP BY o_custkey),
+b AS (SELECT o_custkey AS cust, o_orderdate::DATE AS day FROM orders WHERE o_orderdate::DATE >= {_BATCH}),
+n AS (SELECT cust, min(day) AS day, count(*) AS n FROM b GROUP BY cust)"""
+
+
+def batch_merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("order"), F.to_date("o_orderdate").alias("day"))
+    none = lambda *names: {n: F.lit(None).cast("string") for n in names}
+
+    def records(rows: DataFrame) -> DataFrame:
+        url = F.concat(F.lit("https://ra.co/events/"), F.col("cust").cast("string"))
+        made = {"title": F.md5(F.col("ord").cast("string")), "venue": F.sha1(F.col("ord").cast("string")), "lineup": F.array().cast("array<string>"), "sources": F.array(F.lit("orders")), "ra_pick": F.lit(False), "afterhours": F.lit(False)}
+        links = F.array(F.struct(F.lit("site").alias("source"), url.alias("url"), F.lit(None).cast("string").alias("label")))
+        return rows.withColumns(made | {"links": links} | none("start", "neighborhood", "genre", "lineup_genre", "organizers", "detail", "image", "price", "status"))
+
+    old = orders.where("day < date'1998-06-01'").groupBy("cust").agg(F.min("day").alias("day"), F.max("day").cast("string").alias("last_seen"))
+    old = records(old.withColumn("ord", F.col("cust")).withColumn("first_seen", F.col("day").cast("string")))
+    new = records(orders.where("day >= date'1998-06-01'").withColumn("ord", F.col("order")).withColumns(none("first_seen", "last_seen"))).drop("order")
+    return dedupe.merge_new(old, new, "1998-08-03")
+
+
+@query(f"""WITH {_MERGED} SELECT coalesce(c.cust, n.cust) AS cust, coalesce(c.day, n.day) AS day, coalesce(c.day::VARCHAR, '1998-08-03') AS first_seen, CASE WHEN n.cust IS NULL THEN c.seen ELSE '1998-08-03' END AS last_seen,
+(c.cust IS NOT NULL)::BIGINT + coalesce(n.n, 0) AS n FROM c FULL JOIN n ON c.cust = n.cust""")
+def merge_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_merged(spark, sf_dir)[0].select("cust", "day", "first_seen", "last_seen", F.size("members").alias("n"))
+
+
+@query(f"""WITH {_MERGED}, d AS (SELECT day FROM b UNION SELECT day FROM c WHERE cust IN (SELECT cust FROM b))
+SELECT (SELECT count(*) FROM b) AS incoming, 0::BIGINT AS junk, (SELECT count(*) FROM d) AS days, (SELECT count(*) FROM c WHERE day IN (SELECT day FROM d)) AS read,
+(SELECT count(*) FROM n WHERE cust NOT IN (SELECT cust FROM c)) AS added, (SELECT count(*) FROM b WHERE cust IN (SELECT cust FROM c)) AS joined, 0::BIGINT AS gone, (SELECT count(*) FROM (SELECT cust FROM c UNION SELECT cust FROM n)) AS total""")
+def merge_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_merged(spark, sf_dir)[1]
+
+
 @query()
 def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records of one catalogue: the busiest part's name at the first supplier's."""
