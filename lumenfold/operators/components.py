@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,19 +33,23 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "number") -> DataFrame:
-    """``rows`` with their place, from 0, within rows that are equal in ``by``, in ``order``, which tells all rows apart.
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str = "number") -> DataFrame:
+    """``rows`` with their place, from 0, within rows that are equal in ``by`` (all rows, if empty), in ``order``.
 
-    One sort by ranges over all rows; the driver gets one count a partition. A group may span any number of partitions.
+    One sort by ranges over all rows; the driver gets one count a partition. A group may span any number of partitions. Rows that are equal in
+    ``order`` stay in one partition, in any order.
     """
     at = saved(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
-    part, ahead = F.shiftright("_at", 33), []
+    part, ahead, total = F.shiftright("_at", 33), [], 0
     for k, n in sorted(at.groupBy(part).count().collect()):
-        ahead.append((k, n + (ahead[-1][1] if ahead else 0), n))
-    starts = at.sparkSession.createDataFrame([(k, upto - n) for k, upto, n in ahead], "_part long, _ahead long")
+        ahead.append((k, total))
+        total += n
+    starts = at.sparkSession.createDataFrame(ahead, "_part long, _ahead long")
     placed = at.join(F.broadcast(starts), part == F.col("_part")).withColumn("_place", F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))  # a row a partition
-    first = placed.groupBy(*by).agg(F.min("_place").alias("_first"))
-    return placed.join(first, by).withColumn(name, F.col("_place") - F.col("_first")).select(*rows.columns, name)
+    if by:
+        first = placed.groupBy(*by).agg(F.min("_place").alias("_first"))
+        placed = placed.join(first, by).withColumn("_place", F.col("_place") - F.col("_first"))
+    return placed.select(*rows.columns, F.col("_place").alias(name))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

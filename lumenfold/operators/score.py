@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.config import TIER_BONUS, Taste
 from lumenfold.functions import dates, prices
 from lumenfold.functions.text import col, folded, has_any, has_token, text, token_pattern
+from lumenfold.operators.components import numbered
 
 
 def haystack(df: DataFrame) -> Column:
@@ -136,20 +137,10 @@ def rank_score(score: Column, adjust: Column, tier: Column) -> Column:
     return F.coalesce(score, F.lit(0)) + F.coalesce(adjust, F.lit(0)) + tier_bonus(tier)
 
 
-def global_rank(rows: DataFrame, score: str, key: str, out: str = "final_rank", prefix: int = 2) -> DataFrame:
-    """``rows`` with their place by score and key, both descending, without meeting in one task.
-
-    Rows are counted by score and the first digits of the key; these counts, not the rows, are summed in order, and each
-    row adds its place among those that it was counted with.
-    """
-    part = F.substring(F.col(key), 1, prefix)
-    counts = rows.groupBy(F.col(score).alias("_s"), part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.desc("_s"), F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    before = counts.select("_s", "_p", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
-    here = Window.partitionBy(score, part).orderBy(F.desc(key))
-    ranked = rows.withColumn("_p0", part).withColumn("_turn", F.row_number().over(here))
-    joined = ranked.join(before, (F.col(score) == F.col("_s")) & (F.col("_p0") == F.col("_p")))
-    return joined.withColumn(out, F.col("_before") + F.col("_turn")).drop("_s", "_p", "_p0", "_before", "_turn")
+def global_rank(rows: DataFrame, score: str, key: str, out: str = "final_rank") -> DataFrame:
+    """``rows`` with their place by score and key, both descending, nulls last, by one sort over ranges: no task has more than its range."""
+    placed = numbered(rows, [], [F.desc_nulls_last(score), F.desc_nulls_last(key)], "_place")
+    return placed.withColumn(out, F.col("_place") + 1).drop("_place")
 
 
 def lane(df: DataFrame, big_venues: tuple[str, ...] = (), override: Column | None = None, lanes: tuple[str, ...] = ()) -> Column:
