@@ -143,6 +143,10 @@ def global_rank(rows: DataFrame, score: str, key: str, out: str = "final_rank")
     return placed.withColumn(out, F.col("_place") + 1).drop("_place")
 
 
+#: The settings and vibes that a lane, or the front page's section of one, depends on.
+LANE_FLAGS = ("afterhours", "day-party", "sunset", "tba-location", "festival", "rooftop", "pool", "outdoor", "warehouse", "diy", "amphitheater")
+
+
 def lane(df: DataFrame, big_venues: tuple[str, ...] = (), override: Column | None = None, lanes: tuple[str, ...] = ()) -> Column:
     """The lane of a tagged listing (type, vibe, setting, scale, start, price, afters_billed); a valid override of a verdict wins,
     but a bare family gives way to the sub-lane found here."""

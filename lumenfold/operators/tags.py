@@ -160,12 +160,17 @@ def genres_of(df: DataFrame, typ: Column, g: Gazetteer) -> Column:
     return F.when(typ == "club", club).when(typ == "live-music", live).when(typ == "stage", stage).when(typ == "comedy", comedy).when(typ == "film", film).otherwise(none)
 
 
-def settings_of(df: DataFrame, g: Gazetteer) -> Column:
+def _wanted(options: list[tuple[Column, str]], only: tuple[str, ...] | None) -> list[tuple[Column, str]]:
+    return options if only is None else [o for o in options if o[1] in only]
+
+
+def settings_of(df: DataFrame, g: Gazetteer, only: tuple[str, ...] | None = None) -> Column:
     venue = _low(df, "venue")
     hay = F.concat_ws(" ", _low(df, "title"), _low(df, "organizers"), _low(df, "detail"), venue, _bill(df))
-    known = _some([(venue.contains(k), n) for k, names in g.setting.items() for n in names])
-    known = F.when(has_any(venue, g.cinemas), F.array(F.lit("cinema"))).otherwise(known)
-    return F.array_distinct(F.concat(known, _some([(hay.rlike(p), n) for n, p in SETTINGS])))
+    known = _some(_wanted([(venue.contains(k), n) for k, names in g.setting.items() for n in names], only))
+    cinema = _some(_wanted([(F.lit(True), "cinema")], only)).cast("array<string>")
+    known = F.when(has_any(venue, g.cinemas), cinema).otherwise(known.cast("array<string>"))
+    return F.array_distinct(F.concat(known, _some(_wanted([(hay.rlike(p), n) for n, p in SETTINGS], only)).cast("array<string>")))
 
 
 def scale_of(venue: Column, setting: Column, g: Gazetteer) -> Column:
@@ -178,8 +183,8 @@ def scale_of(venue: Column, setting: Column, g: Gazetteer) -> Column:
     return rest if out is None else out.otherwise(rest)
 
 
-def vibes_of(df: DataFrame, typ: Column) -> Column:
-    """Flags in their order, some of them for certain types, hours or prices only."""
+def vibes_of(df: DataFrame, typ: Column, only: tuple[str, ...] | None = None) -> Column:
+    """Flags in their order, some of them for certain types, hours or prices only; of ``only``, if given, no other is looked for."""
     title, venue, price, organizers = _low(df, "title"), _low(df, "venue"), _low(df, "price"), _low(df, "organizers")
     hay = F.concat_ws(" ", title, organizers, _low(df, "detail"), venue, _bill(df))
     h = dates.hours("start") if "start" in df.columns else F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
@@ -187,7 +192,7 @@ def vibes_of(df: DataFrame, typ: Column) -> Column:
     all_night = hay.rlike(r"open[\s-]?to[\s-]?close|all[\s-]?night\s?(long|set)|\[all night|extended set")
     retro = title.rlike(r"(19|20)\d0s|(19|20)\d{2}\s*[-–]\s*(19|20)\d{2}|\bbangers\b|\bclassics\b|throwback")
     over21, over18 = hay.rlike(r"\b21\s?\+|21 and over\b"), hay.rlike(r"\b18\s?\+|18 and over\b")
-    return _some([
+    return _some(_wanted([
         (hay.rlike(_AFTERS) | (club & F.coalesce(start < 9, F.lit(False))) | (club & F.coalesce((end >= 4) & (end < 12), F.lit(False))), "afterhours"),
         (club & start.between(11, 16), "day-party"), (hay.rlike(r"\b(sunset|golden hour)\b"), "sunset"), (hay.rlike(r"\b(all[\s-]?vinyl|vinyl[\s-]?only)\b"), "all-vinyl"),
         (club & all_night & ~retro, "all-night-set"), (hay.rlike(r"\bb2b\b"), "b2b"), (hay.rlike(r"\b(residency|residencies)\b|\bresident\b(?!\s+advisor)"), "residency"),
@@ -200,7 +205,7 @@ def vibes_of(df: DataFrame, typ: Column) -> Column:
         (venue.contains("tba") | hay.rlike(r"\b(location )?tba\b|drops? (after|day)"), "tba-location"),
         (F.col("ra_pick") if "ra_pick" in df.columns else F.lit(False), "ra-pick"), (price.contains("free"), "free"), (price.contains("free") & price.contains("rsvp"), "free-rsvp"),
         (hay.rlike(r"\bsold out\b"), "sold-out"), (over21, "21+"), (~over21 & over18, "18+"), (~over21 & ~over18 & hay.rlike(r"\ball ages\b"), "all-ages"),
-    ])
+    ], only))
 
 
 def region_of(place: Column, g: Gazetteer) -> Column:
@@ -211,13 +216,17 @@ def region_of(place: Column, g: Gazetteer) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def tagged(events: DataFrame, g: Gazetteer = Gazetteer()) -> DataFrame:  # noqa: B008
-    """``events`` with type, genre (as ``genres``), setting, scale, vibe, region, near_home and afters_billed."""
+def tagged(events: DataFrame, g: Gazetteer = Gazetteer(), only: tuple[str, ...] | None = None) -> DataFrame:  # noqa: B008
+    """``events`` with type, genre (as ``genres``), setting, scale, vibe, region, near_home and afters_billed.
+
+    Types, settings and vibes stand once in a plan, which lets no filter past them: filter by day, score or tier first. ``only`` names the settings and
+    vibes that are asked for (a lane needs ``score.LANE_FLAGS``), others aren't looked for; a scale needs "pool" and "amphitheater".
+    """
     place = F.trim(_low(events, "neighborhood"))
-    out = events.withColumns({"type": once(type_of(events, g)), "setting": once(settings_of(events, g))})
+    out = events.withColumns({"type": once(type_of(events, g)), "setting": once(settings_of(events, g, only))})
     hay = F.concat_ws(" ", _low(events, "title"), _low(events, "organizers"), _low(events, "detail"), _low(events, "venue"), _bill(events))
     return out.withColumns({
-        "scale": scale_of(_low(events, "venue"), F.col("setting"), g), "genres": genres_of(events, F.col("type"), g), "vibe": once(vibes_of(events, F.col("type"))), "region": region_of(place, g),
+        "scale": scale_of(_low(events, "venue"), F.col("setting"), g), "genres": genres_of(events, F.col("type"), g), "vibe": once(vibes_of(events, F.col("type"), only)), "region": region_of(place, g),
         "near_home": place.isin(*[p.lower() for p in g.near_home]) if g.near_home else F.lit(False), "afters_billed": hay.rlike(_AFTERS),
     })
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +106,7 @@ LANES = f"""{TAGGED}, laned AS (SELECT *, CASE WHEN type = 'club' THEN CASE WHEN
 
 def laned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Tagged listings, or ``rows`` that are listings, with their lane."""
-    t = (tagged(spark, sf_dir) if rows is None else tags.tagged(rows, GAZETTEER)).withColumn("price", F.lit(None).cast("string"))
+    t = tags.tagged(listing(spark, sf_dir) if rows is None else rows, GAZETTEER, score.LANE_FLAGS).withColumn("price", F.lit(None).cast("string"))
     return t.withColumn("lane", tags.once(score.lane(t)))
 
 
@@ -382,14 +382,16 @@ def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LANES}, s AS (SELECT id, CASE WHEN lane = 'film' THEN 'movies' WHEN lane = 'live-music:big' THEN 'fyi' WHEN lane LIKE 'club:%' OR lane = 'live-music' THEN 'sets' ELSE 'events' END AS section, CASE WHEN day <= {SQL_TODAY} + 13 THEN 'near' ELSE 'ahead' END AS shelf FROM laned WHERE day BETWEEN {SQL_TODAY} AND {SQL_TODAY} + 60)
 SELECT section, shelf, id, row_number() OVER (PARTITION BY section, shelf ORDER BY id) AS place FROM s QUALIFY place <= 40""")
 def front_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.in_window(laned(spark, sf_dir).withColumn("status", F.lit("")), TODAY, 60).withColumns({"tier": F.lit(None).cast("string"), "span": F.lit(0), "standing": F.lit(False)})
+    days = quality.in_window(listing(spark, sf_dir).withColumn("status", F.lit("")), TODAY, 60)  # before tags, which no filter passes
+    rows = laned(spark, sf_dir, days).withColumns({"tier": F.lit(None).cast("string"), "span": F.lit(0), "standing": F.lit(False)})
     rows = rows.withColumns({"section": select.sections(rows), "key": F.col("id"), "final_rank": F.col("id")})
     return select.shelves(rows, TODAY).select("section", "shelf", F.col("key").alias("id"), "place")
 
 
-def lane_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored and judged listings with their lane, in one pass over them."""
-    return laned(spark, sf_dir, ranked(spark, sf_dir)).withColumns({"key": F.col("id").cast("string"), "series": F.lit(None).cast("string")})
+def lane_ranked(spark: SparkSession, sf_dir: str, since: date | None = None) -> DataFrame:
+    """Scored and judged listings, of days from ``since`` on, with their lane, in one pass over them."""
+    rows = ranked(spark, sf_dir)
+    return laned(spark, sf_dir, rows if since is None else rows.where(F.col("day") >= F.lit(since))).withColumns({"key": F.col("id").cast("string"), "series": F.lit(None).cast("string")})
 
 
 _TAGS = LANES.removeprefix(LISTING).replace("FROM listing)", "FROM ranked)")

@@ -16,7 +16,7 @@ _POOL = f"{LANE_RANKED}, p AS (SELECT *, {_SECTION} AS section FROM r WHERE day
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lane_ranked(spark, sf_dir).withColumns({"span": F.lit(0), "standing": F.lit(False), "first": F.lit(None).cast("date"), "last": F.lit(None).cast("date")})
+    rows = lane_ranked(spark, sf_dir, TODAY).withColumns({"span": F.lit(0), "standing": F.lit(False), "first": F.lit(None).cast("date"), "last": F.lit(None).cast("date")})
     rows = front_page.pool(rows.withColumn("series_rep", F.lit(True)), TODAY)
     return rows.withColumn("section", select.sections(rows))
 

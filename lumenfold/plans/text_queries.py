@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import artist_key, event_key, film_core, folded, normalized, profile_hash, sql_norm
-from lumenfold.operators import affinity, normalize
+from lumenfold.operators import affinity, gazetteer, normalize
 from lumenfold.plans.registry import query
 from lumenfold.plans.views import table
 from lumenfold.sources import html
@@ -77,3 +77,11 @@ def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, md5(trim(regexp_replace(regexp_replace(b, '<[^>]+>', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))) AS words FROM b""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(html.visible_text("html")).alias("words"))
+
+
+@query("""WITH n AS (SELECT ltrim(substr(s_name, 10), '0') AS name, s_suppkey AS turn, s_nationkey AS nation FROM supplier), t AS (SELECT DISTINCT lower(c_name) AS text FROM customer)
+SELECT text, name, turn::BIGINT AS turn, nation::BIGINT AS nation FROM t JOIN n ON name <> '' AND contains(text, name) QUALIFY row_number() OVER (PARTITION BY text ORDER BY length(name) DESC, turn) = 1""")
+def longest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' numbers as a gazetteer: the longest in each customer's name."""
+    names = table(spark, sf_dir, "supplier").select(F.ltrim(F.substring("s_name", 10, 99), F.lit("0")).alias("name"), F.col("s_suppkey").alias("turn"), F.col("s_nationkey").alias("nation"))
+    return gazetteer.longest(table(spark, sf_dir, "customer").select(F.lower("c_name").alias("text")), names)

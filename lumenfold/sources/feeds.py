@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import dates
 from lumenfold.functions.text import text
+from lumenfold.operators.components import saved
 from lumenfold.operators.dedupe import first_of
 
 
@@ -19,7 +20,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Files are read by blocks. A line's place is the offset of its block and its number there, which is smaller than the
     block's bytes, so places grow along a file, as log files are appended to and never rewritten.
     """
-    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("_line"))
+    read = saved(spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("_line")))  # so that both uses see the same numbers
     starts = read.groupBy("_file", "_block").agg(F.min("_id").alias("_first"))
     lines = read.join(starts, ["_file", "_block"]).withColumn("ord", F.col("_block") + F.col("_id") - F.col("_first")).select("_file", "ord", "_line")
     kept = lines.withColumn("_line", F.trim("_line")).where("_line <> '' and not startswith(_line, '#')")
@@ -58,6 +59,11 @@ def resale_links(id: str, url: str, outlets: str) -> Column:
     return F.when(text(id).startswith("Z"), F.concat(own, main)).otherwise(main)
 
 
+def _turn(k: Column, rank: Column, i: Column) -> Column:
+    """One number in the order of list, rank and place: bits from 56 on, from 24 on, and below."""
+    return F.shiftleft(k.cast("long"), 56) + F.shiftleft(rank.cast("long"), 24) + i
+
+
 def listening(payload: DataFrame) -> DataFrame:
     """(profile, source, name, rank, genres, ord) signals of landed pulls: profile, top (by window, lists of name and genres), followed, recent.
 
@@ -68,8 +74,8 @@ def listening(payload: DataFrame) -> DataFrame:
     parts.append(payload.select("profile", F.lit(3).alias("_k"), F.lit("followed").alias("source"), F.posexplode("followed").alias("rank", "_a")))
     plays = payload.select("profile", F.posexplode("recent").alias("rank", "_p")).select("profile", "rank", F.posexplode("_p.track.artists").alias("_i", "_x"))
     none = F.array().cast("array<string>")
-    rows = [p.select("profile", "source", F.col("_a.name").alias("name"), "rank", F.coalesce("_a.genres", none).alias("genres"), (F.col("_k") * 1_000_000 + F.col("rank") * 1000).alias("ord")) for p in parts]
-    rows.append(plays.select("profile", F.lit("recent").alias("source"), F.col("_x.name").alias("name"), "rank", none.alias("genres"), (4_000_000 + F.col("rank") * 1000 + F.col("_i")).alias("ord")))
+    rows = [p.select("profile", "source", F.col("_a.name").alias("name"), "rank", F.coalesce("_a.genres", none).alias("genres"), _turn(F.col("_k"), F.col("rank"), F.lit(0)).alias("ord")) for p in parts]
+    rows.append(plays.select("profile", F.lit("recent").alias("source"), F.col("_x.name").alias("name"), "rank", none.alias("genres"), _turn(F.lit(4), F.col("rank"), F.col("_i")).alias("ord")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
