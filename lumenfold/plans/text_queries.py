@@ -9,7 +9,7 @@ from lumenfold.functions.text import artist_key, event_key, film_core, folded, n
 from lumenfold.operators import affinity, gazetteer, normalize
 from lumenfold.plans.registry import query
 from lumenfold.plans.views import table
-from lumenfold.sources import html
+from lumenfold.sources import html, linked_data
 
 _LINE = r"(buy\s+tickets?|get\s+tickets?|tickets?\s+(on\s+sale|available)|doors?\s+open|21\s*\+|18\s*\+|all\s+ages|presented\s+by|follow\s+us|click\s+here|rsvp|sold\s+out|free\s+entry|no\s+refunds?)"
 
@@ -85,3 +85,24 @@ def longest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' numbers as a gazetteer: the longest in each customer's name."""
     names = table(spark, sf_dir, "supplier").select(F.ltrim(F.substring("s_name", 10, 99), F.lit("0")).alias("name"), F.col("s_suppkey").alias("turn"), F.col("s_nationkey").alias("nation"))
     return gazetteer.longest(table(spark, sf_dir, "customer").select(F.lower("c_name").alias("text")), names)
+
+
+@query("""SELECT o_custkey AS page, 'Order ' || o_orderkey AS title, o_orderdate::DATE::VARCHAR AS date, c_name AS venue, n_name AS neighborhood, (o_orderkey % 90 + 1)::VARCHAR AS price_min,
+CASE WHEN o_orderkey % 3 = 0 THEN '$' || (o_orderkey % 90 + 1) || '-' || (o_orderkey % 90 + 9) ELSE '$' || (o_orderkey % 90 + 1) END AS price, CASE o_orderkey % 2 WHEN 0 THEN 'MusicEvent' END AS category, 2::BIGINT AS blocks, 1::BIGINT AS unread
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def linked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer, whose orders are the events of a graph; a second block can't be read."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"])
+    key = F.col("o_orderkey")
+    kind = F.when(key % 2 == 0, F.to_json(F.array(F.lit("MusicEvent"))).substr(F.lit(2), F.lit(12))).otherwise(F.lit('["Thing","Festival"]'))
+    offer = F.concat(F.lit('{"lowPrice":'), key % 90 + 1, F.when(key % 3 == 0, F.concat(F.lit(',"highPrice":"'), key % 90 + 9, F.lit('"'))).otherwise(""), F.lit("}"))
+    event = F.concat(
+        F.lit('{"@type":'), kind, F.lit(',"name":"Order '), key, F.lit('","startDate":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"), F.lit('","location":{"name":"'), "c_name", F.lit('","address":{"addressLocality":"'), "n_name",
+        F.lit('"}},"offers":'), F.when(key % 5 == 0, F.concat(F.lit("["), offer, F.lit("]"))).otherwise(offer), F.lit("}"),
+    )
+    mark = '<script type="application/ld+json">'
+    body = F.concat(F.lit(mark + '{"@graph":[{"@type":"Place"},'), F.array_join(F.collect_list(event), ","), F.lit(f"]}}</script>{mark}{{bad</script>"))
+    pages = rows.groupBy(F.col("o_custkey").alias("page")).agg(body.alias("html"))
+    events, counts = linked_data.page_events(pages, "page", "html")
+    return events.join(counts, "page").select("page", "title", "date", "venue", "neighborhood", "price_min", "price", "category", "blocks", "unread")
