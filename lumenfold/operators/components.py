@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share, and read back: its lineage ends there."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="catalogue-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read back: its lineage ends there."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._saved_at = path

@@ -11,7 +11,8 @@ from lumenfold.config import Taste
 from lumenfold.functions import dates, prices
 from lumenfold.functions.text import event_key, normalized, sql_event_key, sql_norm, venue_key
 from lumenfold.operators import dedupe, maintain, matching, places, quality, score, select, series, tags
-from lumenfold.operators.components import connected_components
+from lumenfold.operators.components import connected_components, new_folder
+from lumenfold.operators.store import Store, last_wins
 from lumenfold.plans.registry import query
 from lumenfold.plans.views import LISTING, SQL_TODAY, TODAY, listing, table
 
@@ -452,6 +453,29 @@ def merge_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_merged(spark, sf_dir)[1]
 
 
+_LATEST = f"""a AS (SELECT o_custkey AS cust, max(o_orderkey) AS ord FROM orders WHERE o_orderdate::DATE < {_BATCH} GROUP BY o_custkey), b AS (SELECT o_custkey AS cust, max(o_orderkey) AS ord FROM orders WHERE o_orderdate::DATE >= {_BATCH} GROUP BY o_custkey)"""
+
+
+def latest_orders(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of each customer's latest order: a version from orders before a day, and one with a batch of those since merged in."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("ord"), F.to_date("o_orderdate").alias("day"))
+    kept = Store(spark, new_folder(spark), "cust", 16)
+    old = rows.where("day < date'1998-06-01'").groupBy("cust").agg(F.max("ord").alias("ord"))
+    kept.publish(old, 1)
+    kept.merge(rows.where("day >= date'1998-06-01'").drop("day"), 2, last_wins("cust", "ord"))
+    return kept
+
+
+@query(f"WITH {_LATEST} SELECT coalesce(b.cust, a.cust) AS cust, coalesce(b.ord, a.ord) AS ord FROM a FULL JOIN b ON a.cust = b.cust")
+def store_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_orders(spark, sf_dir).read()
+
+
+@query(f"WITH {_LATEST} SELECT b.cust, CASE WHEN a.cust IS NULL THEN 'added' ELSE 'changed' END AS change FROM b LEFT JOIN a ON a.cust = b.cust WHERE a.ord IS NULL OR a.ord <> b.ord")
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_orders(spark, sf_dir).changes(1, 2)
+
+
 @query()
 def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records of one catalogue: the busiest part's name at the first supplier's."""

@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import html as entities
-import json
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +18,7 @@ def hrefs(c: str | Column) -> Column:
 
 def json_blocks(c: str | Column) -> Column:
     """The embedded linked-data blocks of a page."""
-    return F.regexp_extract_all(text(c), F.lit(r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    return F.regexp_extract_all(text(c), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
 
 
 def stripped(c: Column) -> Column:
@@ -144,71 +138,3 @@ def calendar_cells(pages: DataFrame, key: str, markup: str, today: Column, toler
     notes = F.array_join(F.slice("after", 2, 1 << 20), " ")
     out = plain.select(key, "cell", nearest_forward(month, day, today, tolerance).alias("day"), name.alias("title"), F.nullif(F.regexp_extract(notes, r"(?i)(\d{1,2}(?::\d{2})?\s*[ap]m)", 1), F.lit("")).alias("start"), F.nullif(F.regexp_extract(notes, r"(\$\d+(?:-\d+)?)", 1), F.lit("")).alias("price"))
     return out.where("day is not null and title <> ''").where(~F.lower("title").rlike(r"\bcancel+ed\b"))
-
-
-def _is_event(node: dict) -> bool:
-    kinds = node.get("@type")
-    return any("Event" in str(k) or k == "Festival" for k in (kinds if isinstance(kinds, list) else [kinds]))
-
-
-def walk(node: Any, children: tuple[str, ...] = ("@graph", "itemListElement", "item", "event", "events", "subEvent")) -> Iterator[dict]:
-    """The events in linked data of any nesting, parents before children."""
-    todo = [node]
-    while todo:
-        now = todo.pop(0)
-        if isinstance(now, list):
-            todo = [*now, *todo]
-        elif isinstance(now, dict):
-            if _is_event(now):
-                yield now
-            todo = [*(now[c] for c in children if c in now), *todo]
-
-
-def _name(x: Any) -> str | None:
-    if isinstance(x, list):
-        x = x[0] if x else None
-    if isinstance(x, dict):
-        x = x.get("name")
-    return entities.unescape(str(x)).strip() or None if x is not None else None
-
-
-def _price(offers: Any) -> str | None:
-    for o in offers if isinstance(offers, list) else [offers]:
-        if isinstance(o, dict):
-            low, high = o.get("lowPrice", o.get("price")), o.get("highPrice")
-            if low not in (None, ""):
-                return f"${low}-{high}" if high not in (None, "", low) else ("free" if str(low) in ("0", "0.0", "0.00") else f"${low}")
-    return None
-
-
-EVENT_DDL = "title string, datetime string, venue string, lineup array<string>, price string, url string, image string, organizer string, description string"
-
-
-def record_of(node: dict) -> dict:
-    from lumenfold.sources.images import from_linked_data
-
-    people = node.get("performer") or node.get("performers") or []
-    names = [n for p in (people if isinstance(people, list) else [people]) if (n := _name(p))]
-    return {
-        "title": _name(node), "datetime": node.get("startDate"), "venue": _name(node.get("location")), "lineup": names, "price": _price(node.get("offers")), "url": node.get("url"),
-        "image": from_linked_data(node.get("image")), "organizer": _name(node.get("organizer")), "description": entities.unescape(str(node["description"])) if node.get("description") else None,
-    }
-
-
-def linked_data_events(pages: DataFrame, key: str, markup: str) -> DataFrame:
-    """(key, ...) a raw record for each event in a page's linked data; blocks that can't be read are passed over."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, block in zip(frame[key], frame["block"], strict=True):
-                try:
-                    found = json.loads(entities.unescape(block) if "&quot;" in block else block, strict=False)
-                except ValueError:
-                    continue
-                rows += [{key: k} | record_of(n) for n in walk(found)]
-            yield pd.DataFrame(rows, columns=[key, *(f.split()[0] for f in EVENT_DDL.split(", "))])
-
-    blocks = pages.select(col(key), F.explode(json_blocks(markup)).alias("block"))
-    return blocks.mapInPandas(parse, f"{key} {kind}, {EVENT_DDL}")

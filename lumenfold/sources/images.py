@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from typing import Any
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,14 +31,3 @@ def ranked(images: str | Column) -> Column:
     """Of structs (url, ratio, width) a clean wide one (16:9) of the largest width, else any of the largest width."""
     kept = F.filter(F.transform(col(images), lambda x: F.struct((x["ratio"] == "16_9").alias("wide"), F.coalesce(x["width"], F.lit(0)).alias("width"), clean(x["url"]).alias("url"))), lambda x: x["url"].isNotNull())
     return F.array_max(kept)["url"]
-
-
-def from_linked_data(value: Any) -> str | None:
-    """The first clean address in a text, an object or a list of them."""
-    for v in value if isinstance(value, list) else [value]:
-        u = v.get("url") or v.get("contentUrl") if isinstance(v, dict) else v
-        if isinstance(u, str):
-            u = "https:" + u.strip() if u.strip().startswith("//") else u.strip()
-            if u.startswith("https://") and len(u) <= 2048 and not re.search(_UNSAFE, u):
-                return u
-    return None

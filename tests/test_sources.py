@@ -1,4 +1,3 @@
-import json
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -42,13 +41,6 @@ def test_calendar_table(spark):
     assert [(str(r.day), r.title, r.start, r.price) for r in got] == [("2026-06-20", "Band One", "8pm", "$10-15"), ("2027-01-05", "New Year Act", None, None)]
 
 
-def test_linked_data(spark):
-    data = {"@graph": [{"@type": "Place"}, {"@type": ["MusicEvent"], "name": "Show &amp; Tell", "startDate": "2026-06-20T20:00", "location": {"name": "Room"}, "performer": [{"name": "Ann"}], "offers": {"lowPrice": 5, "highPrice": 9}, "image": ["http://no", {"url": "//i.example/a.png"}], "subEvent": {"@type": "Festival", "name": "Inner"}}]}
-    page = f'<script type="application/ld+json">{json.dumps(data)}</script><script type="application/ld+json">{{bad</script>'
-    got = html.linked_data_events(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html").collect()
-    assert [(r.title, r.venue, list(r.lineup), r.price, r.image) for r in got] == [("Show & Tell", "Room", ["Ann"], "$5-9", "https://i.example/a.png"), ("Inner", None, [], None, None)]
-
-
 def test_calendar_file(spark):
     body = "BEGIN:VEVENT\r\nSUMMARY:Long na\r\n me\\, here\r\nDTSTART:20260620T033000Z\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:All day\r\nDTSTART;VALUE=DATE:20260621\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:Local\r\nDTSTART;TZID=America/Los_Angeles:20260622T200000\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:East\r\nDTSTART;X=1;TZID=America/New_York:20260623T013000\r\nEND:VEVENT"
     got = feeds.calendar_events(spark.createDataFrame([(body,)], "value string")).collect()
