@@ -15,15 +15,24 @@ OWNER_ALIASES = ("me", "default", "owner", "root", "self", "us")
 RESOLD = ("club", "live-music", "comedy", "stage")
 
 
+def haystack(events: DataFrame) -> Column:
+    """What a catalogue's row is searched in: its title, bill and venue, of those that it has."""
+    bill = [F.array_join("lineup", " ")] if "lineup" in events.columns else []
+    return normalized(F.concat_ws(" ", *[text(c) for c in ("title",) if c in events.columns], *bill, *[text(c) for c in ("venue",) if c in events.columns]))
+
+
 def matching_rows(events: DataFrame, query: str) -> DataFrame:
-    """Rows whose title and bill hold the phrase, or all of its words."""
-    bill = F.array_join("lineup", " ") if "lineup" in events.columns else F.lit("")
-    hay = normalized(F.concat_ws(" ", text("title"), bill))
-    phrase = normalized(F.lit(query))
+    """Rows whose title, bill and venue hold the phrase, or all of its words; for many lines at once see ``search_index``."""
+    hay, phrase = haystack(events), normalized(F.lit(query))
     every = F.size(F.array_except(F.split(phrase, " "), F.split(hay, " "))) == 0
     return events.where((phrase != "") & (hay.contains(phrase) | every))
 
 
+def priced_rows(events: DataFrame, query: str, today: date) -> DataFrame:
+    """Rows (day, status) that a typed line finds among those to come and still listed, by day."""
+    return matching_rows(events.where((F.col("day") >= F.lit(today)) & (text("status") != "unlisted")), query).orderBy("day")
+
+
 def search_link(name: Column, base: str) -> Column:
     """An address that opens a site's search for a name."""
     return F.when(F.trim(name) != "", F.concat(F.lit(base), F.url_encode(F.trim(name))))

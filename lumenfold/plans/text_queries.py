@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import artist_key, event_key, film_core, folded, normalized, profile_hash, sql_norm
 from lumenfold.operators import affinity, gazetteer, normalize
+from lumenfold.operators.components import new_folder
+from lumenfold.operators.search_index import SearchIndex
 from lumenfold.plans.registry import query
 from lumenfold.plans.views import table
 from lumenfold.sources import html, linked_data
@@ -106,3 +108,19 @@ def linked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rows.groupBy(F.col("o_custkey").alias("page")).agg(body.alias("html"))
     events, counts = linked_data.page_events(pages, "page", "html")
     return events.join(counts, "page").select("page", "title", "date", "venue", "neighborhood", "price_min", "price", "category", "blocks", "unread")
+
+
+@query(f"""WITH c AS (SELECT client_id AS key, {sql_norm("coalesce(name, '') || ' ' || coalesce(split_part(email, '@', 1), '') || ' ' || coalesce(city, '')")} AS hay, string_split(name, ' ') AS w, city FROM clients),
+lines AS (SELECT DISTINCT unnest([right(w[1], 3) || ' ' || left(w[2], 3), city || ' ' || w[2], w[2] || ' ' || w[1], substr(city, 2, 3)]) AS line FROM c),
+l AS (SELECT line, {sql_norm("line")} AS p FROM lines WHERE line IS NOT NULL), h AS (SELECT DISTINCT key, hay FROM c WHERE key IS NOT NULL)
+SELECT line, count(DISTINCT key) AS n, min(key) AS first_key, max(key) AS last_key FROM l JOIN h ON p <> '' AND (contains(hay, p) OR list_has_all(string_split(hay, ' '), string_split(p, ' '))) GROUP BY line""")
+def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients as a catalogue, and the lines that its own names and cities suggest: cut at both ends, in another order, or a piece of a word."""
+    c, w = table(spark, sf_dir, "clients"), F.split("name", " ")
+    rows = c.select(F.col("client_id").alias("key"), F.col("name").alias("title"), F.array(F.coalesce(F.substring_index("email", "@", 1), F.lit(""))).alias("lineup"), F.col("city").alias("venue"))
+    first, last = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    typed = [F.concat(F.right(first, F.lit(3)), F.lit(" "), F.left(last, F.lit(3))), F.concat("city", F.lit(" "), last), F.concat(last, F.lit(" "), first), F.substring("city", 2, 3)]
+    index = SearchIndex(spark, new_folder(spark), 16)
+    index.write(rows)
+    found = index.search(c.select(F.explode(F.array(*typed)).alias("line")).where("line is not null").distinct())
+    return found.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
