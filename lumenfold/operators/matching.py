@@ -50,6 +50,37 @@ def group_matrix(scores: DataFrame) -> DataFrame:
     )
 
 
+def dense_matrix(pools: DataFrame, members: DataFrame, shown: tuple[str, ...] = ("title", "day", "venue", "neighborhood", "price", "links")) -> DataFrame:
+    """One row for each key in anyone's pool, with every member's cell: key, the columns ``shown`` of the first member's row that has it, people,
+    mean, least, most, n_into, n_veto.
+
+    pools: person, key, turn (a row's place in the pool), score, rating, reasons (array), and what is shown; where a pool repeats a key its last row counts.
+    members: person, turn; people outside it don't count, and of one who stands there twice the first turn does. ``people`` is an array by the members' turns of (person, cell), the cell
+    null where the key isn't in a person's pool, else (score, rating, reasons: the first three, veto); null scores and ratings are 0. One aggregation by person
+    and key and one by key, however many people; the members' list, a row a member, is joined to keys only as one array, so it is as long as one row may be.
+    """
+    asked = members.where("person is not null").groupBy("person").agg(F.min("turn").alias("_m"))
+    kept = [c for c in shown if c in pools.columns]
+    cell = F.struct(
+        F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("rating", F.lit(0)).alias("rating"),
+        F.slice(F.coalesce("reasons", F.array().cast("array<string>")), 1, 3).alias("reasons"), (F.coalesce("score", F.lit(0)) < 0).alias("veto"),
+    )
+    rows = pools.join(asked, "person").groupBy("person", "_m", "key").agg(F.max_by(F.struct(cell.alias("cell"), F.struct(F.lit(1).alias("_"), *kept).alias("row")), "turn").alias("_r"))
+    rows = rows.select("key", "person", "_m", "_r.cell", "_r.row").withColumn("_s", F.col("cell.score"))
+    met = rows.groupBy("key").agg(
+        F.min_by("row", F.struct("_m", "person")).alias("row"), F.map_from_entries(F.collect_list(F.struct("person", "cell"))).alias("cells"), F.bround(F.avg("_s"), 2).alias("mean"),
+        F.min("_s").alias("least"), F.max("_s").alias("most"), F.count_if(F.col("_s") > 0).alias("n_into"), F.count_if(F.col("_s") < 0).alias("n_veto"),
+    )
+    everyone = asked.agg(F.transform(F.array_sort(F.collect_list(F.struct("_m", "person"))), lambda m: m["person"]).alias("everyone"))
+    people = F.transform("everyone", lambda p: F.struct(p.alias("person"), F.try_element_at("cells", p).alias("cell")))
+    return met.crossJoin(F.broadcast(everyone)).select("key", *[f"row.{c}" for c in kept], people.alias("people"), "mean", "least", "most", "n_into", "n_veto")  # one row beside
+
+
+def matrix_order(matrix: DataFrame) -> DataFrame:
+    """A matrix by its mean, the best first, then by day, undated rows last, then by key."""
+    return matrix.orderBy(F.desc("mean"), F.asc_nulls_last("day"), "key")
+
+
 def radar_signals(hay: Column, venue: Column, tracked: Column, big_venues: tuple[str, ...], editorial: Column | None = None, civic: Column | None = None) -> Column:
     """The signals that a listing fires, in order; ``tracked`` is an array of names, ``civic`` a gate on that signal."""
     names = F.concat(F.lit("tracked:"), F.array_join(F.slice(tracked, 1, 2), ","))

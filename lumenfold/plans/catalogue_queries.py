@@ -319,6 +319,23 @@ def group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.group_matrix(s).withColumn("people", F.size("people"))
 
 
+@query("""WITH who AS (SELECT client_id, max(nation_id) AS person FROM clients GROUP BY client_id), l AS (SELECT DISTINCT sale_id, line_no, item_id, quantity, flag FROM sale_lines WHERE item_id IS NOT NULL), s AS (SELECT sale_id, max(client_id) AS client_id FROM sales GROUP BY sale_id),
+pools AS (SELECT person, item_id AS key, (sum(quantity) % 17)::BIGINT - 5 AS score, count(*) AS rating, array_to_string(list_sort(list(DISTINCT flag) FILTER (flag IS NOT NULL))[1:3], ',') AS reasons FROM l JOIN s USING (sale_id) JOIN who USING (client_id) WHERE person IS NOT NULL GROUP BY ALL),
+n AS (SELECT key, round_even(avg(coalesce(score, 0)), 2) AS mean, count(*) FILTER (score > 0) AS n_into, count(*) FILTER (score < 0) AS n_veto, arg_min(person, (person % 7) * 1000 + person) AS shown FROM pools GROUP BY key)
+SELECT n.key, n_nationkey::BIGINT AS person, CASE WHEN p.key IS NOT NULL THEN coalesce(score, 0) END AS score, rating, reasons, mean, n_into, n_veto, shown || '/' || n.key AS title FROM n CROSS JOIN nation LEFT JOIN pools p ON p.key = n.key AND p.person = n_nationkey""")
+def group_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as members, and items that their clients bought as pools: every member's cell of every item, empty ones too."""
+    who = table(spark, sf_dir, "clients").groupBy("client_id").agg(F.max("nation_id").alias("person")).where("person is not null")
+    lines = table(spark, sf_dir, "sale_lines").where("item_id is not null").select("sale_id", "line_no", "item_id", "quantity", "flag").distinct()
+    sales = table(spark, sf_dir, "sales").groupBy("sale_id").agg(F.max("client_id").alias("client_id"))
+    pools = lines.join(sales, "sale_id").join(who, "client_id").groupBy("person", F.col("item_id").alias("key")).agg(
+        ((F.sum("quantity") % 17).cast("long") - 5).alias("score"), F.count(F.lit(1)).alias("rating"), F.array_sort(F.collect_set("flag")).alias("reasons"))
+    pools = pools.withColumns({"turn": F.col("key"), "title": F.concat_ws("/", "person", "key")})
+    members = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("person"), (F.col("n_nationkey") % 7 * 1000 + F.col("n_nationkey")).alias("turn"))
+    cells = matching.dense_matrix(pools, members).select("key", "title", "mean", "n_into", "n_veto", F.explode("people").alias("c"))
+    return cells.select("key", "c.person", "c.cell.score", "c.cell.rating", F.array_join("c.cell.reasons", ",").alias("reasons"), "mean", "n_into", "n_veto", "title")
+
+
 @query(f"""WITH {LISTING}, o AS (SELECT supp AS key, source, amount AS price, last_seen::VARCHAR AS checked_at, id AS ord FROM listing), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY key, source ORDER BY ord DESC) = 1)
 SELECT key, max(checked_at) AS checked_at, string_agg(source, ',' ORDER BY price, source) AS sources, min(price) AS floor FROM l GROUP BY key""")
 def offer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
