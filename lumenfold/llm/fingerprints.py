@@ -8,7 +8,7 @@ shingles are compared exactly. All is built from SQL functions; higher-order fun
 
 Cases: a null text is empty; an empty text has the empty sketch and the empty string as fingerprint, is fully like
 another empty one and not at all like a text with words. Documents follow each other by descending id, null last;
-rows with one id by hash of the text; a single row is its own successor. Texts of any length are read whole; an empty table
+rows with one id by hash of the text, over many tasks where an id (or null) is common, unless its texts are all equal; a single row is its own successor. Texts of any length are read whole; an empty table
 gives an empty result. Extra columns are ignored.
 """
 
@@ -23,8 +23,8 @@ K = 128
 BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Documents in a range of ids at least, and ranges at most.
-RANGE_ROWS, RANGES = 512, 1 << 16
+#: Documents in a range of ids at least, and about how many ranges at most; beyond it ranges grow, and their sorts spill.
+RANGE_ROWS, RANGES = 512, 1 << 20
 QUANTILES = 256
 
 
@@ -78,35 +78,48 @@ def encoded(s: Column) -> Column:
 
 
 def _by_range(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``range``: numbers that ascend with doc_id, each for a bounded share of the rows unless ids repeat."""
+    """``docs`` with ``range``, numbers that ascend with doc_id (null lowest), each for a bounded share of the rows, and ``hash`` in the ranges of common ids.
+
+    An id that quantiles repeat, and null, has ranges of its own by its texts' hashes, as many as its share of the rows asks for.
+    """
     steps = [i / QUANTILES for i in range(QUANTILES + 1)]
-    n, least, ends = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.percentile_approx("doc_id", steps, 10_000)).first()
-    if least is None:
-        return docs.withColumn("range", F.lit(0).cast("long"))
-    ends = sorted({least, *ends})
-    parts = max(1, min(n // RANGE_ROWS, RANGES) // len(ends))
-    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(ends, ends[1:], strict=False)] + [2**62]
-    lows, wide = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in (ends, widths))
-    at = F.greatest(F.lit(1), F.size(F.filter(lows, lambda x: x <= F.col("oid"))))
-    docs = docs.withColumn("oid", F.coalesce("doc_id", F.lit(least))).withColumn("at", at)
-    inside = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("oid") - F.element_at(lows, F.col("at"))) / F.element_at(wide, F.col("at")))))
-    return docs.withColumn("range", F.col("at") * parts + inside).drop("oid", "at")
+    n, known, least, ends = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.percentile_approx("doc_id", steps, 10_000)).first()
+    ends = [] if least is None else [least, *ends]
+    common = {x: ends.count(x) for x in ends if ends.count(x) > (2 if x == least else 1)}
+    lowest = sorted({*ends, *[x + 1 for x in common if x < 2**63 - 1]})
+    parts = max(1, min(n // RANGE_ROWS, RANGES) // (len(lowest) + 1))
+    nulls = -(-(n - known) * QUANTILES // n) if n else 0
+    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(lowest, lowest[1:], strict=False)] + [2**62]
+    # By place in ``lowest``, null's being 0: how many ranges an id's hashes are dealt over, none where ids are.
+    dealt = [parts * nulls] + [parts * common.get(x, 0) for x in lowest]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    docs = docs.withColumn("at", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(1), F.size(F.filter(longs(lowest), lambda x: x <= F.col("doc_id"))))))
+    inside = F.lit(0)
+    if lowest:
+        inside = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - F.try_element_at(longs(lowest), F.greatest(F.lit(1), "at"))) / F.element_at(longs(widths), F.greatest(F.lit(1), "at")))))
+    if not any(dealt):
+        return docs.select("*", (F.col("at") * parts + inside).alias("range"), F.lit(None).cast("long").alias("hash")).drop("at")
+    docs = docs.withColumn("over", F.get(longs(dealt), F.col("at")))
+    docs = docs.withColumn("hash", F.when(F.col("over") > 0, F.xxhash64("text")))
+    by_hash = F.col("over") - 1 - F.shiftright((F.shiftright("hash", 33) + F.lit(1 << 30)) * F.col("over"), 31)
+    return docs.withColumn("range", F.col("at") * max(parts, *dealt) + F.when(F.col("over") > 0, by_hash).otherwise(inside)).drop("at", "over")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sketch, next) of each row, next being the struct (text, sketch) of the next row by descending id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = _by_range(docs)
-    # At most RANGES rows (each range's first one): which range's first row follows the last row of a range.
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    # As many rows as ranges (each range's first one), a bounded number: which range's first row follows the last row of a range.
+    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"), F.min("hash").alias("lowest"))
     order = Window.orderBy("range")
     around = F.coalesce(F.lead("range").over(order), F.first("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.withColumn("for", around)
-    heads = ranged.join(F.broadcast(tops.select(F.col("range").alias("r"), "top", "for")), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    tops = tops.select(F.col("range").alias("r"), "top", "lowest", around.alias("for"))
+    first = F.col("doc_id").eqNullSafe(F.col("top")) & F.col("hash").eqNullSafe(F.col("lowest"))
+    heads = ranged.join(F.broadcast(tops), (F.col("range") == F.col("r")) & first)
     heads = heads.groupBy("for").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("h"))
     heads = heads.select(F.col("for").alias("range"), F.col("h.text").alias("head")).withColumn("head", F.struct(F.col("head").alias("text"), sketch(F.col("head")).alias("sketch")))
     here = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    rows = ranged.withColumn("sketch", sketch(F.col("text"))).withColumn("next", F.lead(F.struct("text", "sketch")).over(here))
+    rows = ranged.drop("hash").withColumn("sketch", sketch(F.col("text"))).withColumn("next", F.lead(F.struct("text", "sketch")).over(here))
     return rows.join(heads, "range", "left").select("doc_id", "text", "sketch", F.coalesce("next", "head").alias("next"))
 
 

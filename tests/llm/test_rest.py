@@ -39,6 +39,21 @@ def test_fingerprint_tables(spark):
     assert len(same) == 7
 
 
+def test_common_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(f, "RANGE_ROWS", 8)
+    ids = [None] * 3000 + [77] * 1500 + [2**63 - 1] * 600 + [i * 5 for i in range(3000)] + [-4, -4]
+    rows = [(i, f"text {k}" if k % 9 else "again", "s", 0) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, DDL)
+    sizes = [r["count"] for r in f._by_range(docs.select("doc_id", "text")).groupBy("range").count().collect()]
+    assert len(sizes) > 500 and max(sizes) < 450  # the texts "again" of null stay together
+    hashed = [tuple(r) for r in docs.select("doc_id", "text", f.F.xxhash64("text")).collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((str(r.doc_id), r.text, r.next.text) for r in f.with_next(docs).collect()) == want
+    only = docs.where("doc_id is null")
+    assert sorted(r.next.text for r in f.with_next(only).collect()) == sorted(r[1] for r in hashed if r[0] is None)
+
+
 def test_sketches_merge(spark):
     r = random.Random(1)
     a, b = (" ".join(f"w{r.randrange(300)}" for _ in range(900)) for _ in range(2))
