@@ -1,11 +1,11 @@
 """A catalogue's words on disk, and many typed lines looked up in it at once.
 
 A row is found as ``search.matching_rows`` finds it: its text holds the line as a phrase, or has all of the line's words. A phrase may begin and end
-inside words, so a line of several words asks for any word with the first one's ending, for the words between as they are, and for any word with the
-last one's beginning; a line of one word asks for any word that has it inside. Whichever way a row matches, it has a word for each place of the line. So
-the index is asked for the line's rarest place alone, and the rows that it gives are tested by their text.
+inside words. So the index has two kinds of terms: a row's words, and its seams, the letters on both sides of a space between two words. A line of several words
+is looked up by the rarest of its seams, as a phrase, and by its rarest word, as a set of words, and the rows that these give are tested by their text. A line
+of one word stands for every known word that has it inside; such words meet it by its rarest run of letters.
 
-Three tables: ``words`` (word, key) by buckets of words, each bucket in parts by key, so that a word which a third of the rows have isn't one task;
+Three tables: ``words`` (word, key), words and seams, by buckets, each bucket in parts by key, so that a word which a third of the rows have isn't one task;
 ``rows`` (key, hay) by buckets of keys; ``known`` (word, n), how many keys have a word. A search reads only the buckets of ``words`` that
 hold what its lines ask for; the driver gets their numbers.
 """
@@ -19,7 +19,7 @@ from lumenfold.functions.text import normalized
 from lumenfold.operators.components import saved
 from lumenfold.operators.search import haystack
 
-#: Letters of a run by which a piece of a word and the words that have it meet, at most.
+#: Letters of a run within a word, and on each side of a seam, at most.
 RUN = 3
 
 
@@ -28,18 +28,20 @@ def _runs(word: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(word) - k + 1), lambda i: F.substr(word, i, k))
 
 
-def _known_runs(word: Column) -> Column:
-    """Every run of a word of up to ``RUN`` letters; those at its start marked ``^`` and those at its end marked ``$`` too."""
-    n = F.char_length(word)
-    sizes = [F.when(n >= k, _runs(word, F.lit(k))) for k in range(1, RUN + 1)]
-    ends = [F.when(n >= k, F.array(F.concat(F.lit("^"), F.left(word, F.lit(k))), F.concat(F.right(word, F.lit(k)), F.lit("$")))) for k in range(1, RUN + 1)]
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*sizes, *ends))))
+def _inner_runs(word: Column) -> Column:
+    """Every run of a word of up to ``RUN`` letters."""
+    sizes = [F.when(F.char_length(word) >= k, _runs(word, F.lit(k))) for k in range(1, RUN + 1)]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*sizes))))
 
 
-def _asked_runs(piece: Column, form: Column) -> Column:
-    """Runs that a word must have to hold a piece at its start, at its end, or anywhere."""
-    k = F.least(F.char_length(piece), F.lit(RUN))
-    return F.when(form == "start", F.array(F.concat(F.lit("^"), F.left(piece, k)))).when(form == "end", F.array(F.concat(F.right(piece, k), F.lit("$")))).otherwise(_runs(piece, k))
+def _seams(words: Column, widths: list[tuple[Column, Column]]) -> Column:
+    """What stands on both sides of each space between ``words``, in these widths; widths beyond a word give nothing."""
+
+    def around(i: Column) -> Column:
+        a, b = F.get(words, i), F.get(words, i + 1)
+        return F.array_compact(F.array(*[F.when((F.char_length(a) >= x) & (F.char_length(b) >= y), F.concat(F.right(a, x), F.lit(" "), F.left(b, y))) for x, y in widths]))
+
+    return F.when(F.size(words) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 2), around))).otherwise(F.array().cast("array<string>"))
 
 
 class SearchIndex:
@@ -64,38 +66,30 @@ class SearchIndex:
         """Index a catalogue (key, title, lineup, venue), in place of what is there. Rows without a key or a word can't be found; where a key repeats, any of its rows finds it."""
         rows = events.select(F.col(key).alias("key"), haystack(events).alias("hay")).where("key is not null and hay <> ''").distinct()
         self._write("rows", rows.withColumn("_bucket", self._bucket("key", self.buckets)).repartition("_bucket"))
-        words = rows.select("key", F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).distinct()
+        widths = [(F.lit(x), F.lit(y)) for x in range(1, RUN + 1) for y in range(1, RUN + 1)]
+        split = rows.select("key", F.split("hay", " ").alias("_w"))
+        words = split.select("key", F.explode(F.array_distinct(F.concat("_w", _seams(F.col("_w"), widths)))).alias("word")).distinct()
         words = words.withColumns({"_bucket": self._bucket("word", self.buckets), "_part": self._bucket("key", self.parts)})
         self._write("words", words.repartition("_bucket", "_part"))
         told = self._read("words").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         told.write.mode("overwrite").parquet(f"{self.path}/known")
 
-    def _places(self, phrases: DataFrame) -> DataFrame:
-        """(phrase, size, piece, form) of each distinct place of a phrase."""
-        at = phrases.select("phrase", F.split("phrase", " ").alias("_w")).select("phrase", F.size("_w").alias("size"), F.posexplode("_w").alias("_i", "piece"))
-        form = F.when(F.col("size") == 1, "inside").when(F.col("_i") == 0, "end").when(F.col("_i") == F.col("size") - 1, "start").otherwise("whole")
-        return at.select("phrase", "size", "piece", form.alias("form")).distinct()
-
-    def _words_of(self, places: DataFrame) -> DataFrame:
-        """(piece, form, word, n): the known words that a place may stand for."""
+    def asked(self, phrases: DataFrame) -> DataFrame:
+        """(phrase, size, word): the known words and seams by which each phrase is looked up."""
         known = self.spark.read.parquet(f"{self.path}/known")
-        pieces = places.select("piece", "form").distinct()
-        whole = pieces.where("form = 'whole'").join(known, F.col("piece") == F.col("word")).select("piece", "form", "word", "n")
-        runs = known.select("word", "n", F.explode(_known_runs(F.col("word"))).alias("run"))
+        split = phrases.select("phrase", F.split("phrase", " ").alias("_w")).withColumn("size", F.size("_w"))
+        # A phrase's seams are as wide as its words let them be: where an inner word is short, the row has the same word there.
+        seams = F.transform(F.sequence(F.lit(0), F.col("size") - 2), lambda i: F.concat(F.right(F.get("_w", i), F.lit(RUN)), F.lit(" "), F.left(F.get("_w", i + 1), F.lit(RUN))))
+        ways = F.array(F.struct(F.lit("phrase").alias("way"), seams.alias("terms")), F.struct(F.lit("words").alias("way"), F.array_distinct("_w").alias("terms")))
+        terms = split.where("size > 1").select("phrase", "size", F.inline(ways)).select("phrase", "size", "way", F.explode("terms").alias("word"))
+        rated = terms.join(known, "word", "left").groupBy("phrase", "size", "way")
+        several = rated.agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count_if(F.col("n").isNull()).alias("_none")).where("_none = 0").select("phrase", "size", "word")
+        runs = known.where(~F.contains("word", F.lit(" "))).select("word", F.explode(_inner_runs(F.col("word"))).alias("run"))
         counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("c"))
-        asked = pieces.where("form <> 'whole'").select("piece", "form", F.explode(_asked_runs(F.col("piece"), F.col("form"))).alias("run")).join(counts, "run", "left")
-        rarest = asked.groupBy("piece", "form").agg(F.min_by("run", F.struct(F.coalesce("c", F.lit(0)), "run")).alias("run"))
-        holds = F.when(F.col("form") == "start", F.startswith("word", "piece")).when(F.col("form") == "end", F.endswith("word", "piece")).otherwise(F.contains("word", "piece"))
-        return whole.unionByName(rarest.join(runs, "run").where(holds).select("piece", "form", "word", "n"))
-
-    def asked(self, phrases: DataFrame) -> DataFrame:
-        """(phrase, size, word): the known words of each phrase's rarest place; phrases with a place that no word fits have none."""
-        places = self._places(phrases)
-        words = self._words_of(places)
-        costs = words.groupBy("piece", "form").agg(F.sum("n").alias("n"))
-        rated = places.join(costs, ["piece", "form"], "left")
-        best = rated.groupBy("phrase", "size").agg(F.min_by(F.struct("piece", "form"), F.struct("n", "piece", "form")).alias("_p"), F.count_if(F.col("n").isNull()).alias("_none")).where("_none = 0")
-        return best.select("phrase", "size", "_p.*").join(words, ["piece", "form"]).select("phrase", "size", "word")
+        letters = _runs(F.col("phrase"), F.least(F.char_length("phrase"), F.lit(RUN)))
+        single = split.where("size = 1").select("phrase", "size", F.explode(letters).alias("run")).join(counts, "run", "left")
+        rarest = single.groupBy("phrase", "size").agg(F.min_by("run", F.struct(F.coalesce("c", F.lit(0)), "run")).alias("run"))
+        return several.distinct().unionByName(rarest.join(runs, "run").where(F.contains("word", "phrase")).select("phrase", "size", "word"))
 
     def postings(self, words: DataFrame) -> DataFrame:
         """``words`` of the index, of the buckets that hold any of these."""
