@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lumenfold.plans import catalogue_queries, page_queries, signal_queries, text_queries  # noqa: F401
+    from lumenfold.plans import catalogue_queries, feed_queries, page_queries, signal_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
