@@ -1,41 +1,85 @@
 """Reactions as a stream: an extension of the batch operators, with the same results once a log has been read.
 
 Log rows carry their place (``ord``); a person's state on an item is that of the row with the largest place, so rows
-may arrive in any order and more than once.
+may arrive in any order and more than once. Rows without a person, an item, a place or a star kind say nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenfold.operators.reactions import STAR_KINDS
 
 STATE = "ord long, kind string"
 CHANGES = "profile string, item string, ord long, kind string"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _latest(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ord_, kind = state.get if state.exists else (-1, None)
-    before = kind
-    for frame in frames:
-        best = frame.loc[frame["ord"].idxmax()]
-        if int(best["ord"]) > ord_:
-            ord_, kind = int(best["ord"]), str(best["kind"])
-    state.update((ord_, kind))
-    if kind != before:
-        yield pd.DataFrame({"profile": [key[0]], "item": [key[1]], "ord": [ord_], "kind": [kind]})
+class LastState(StatefulProcessor):
+    """The last star, unstar or hide of a person on an item, as a value that may expire."""
 
+    def __init__(self, keep: timedelta | None = None):
+        self.keep = None if keep is None else int(keep.total_seconds() * 1000)
 
-def state_changes(reactions: DataFrame) -> DataFrame:
-    """A stream of (profile, item, ord, kind): each change of a person's star state on an item."""
-    told = reactions.withColumn("kind", F.lower("kind")).where(F.col("kind").isin(*STAR_KINDS)).where("coalesce(item, '') <> '' and coalesce(profile, '') <> ''")
-    return told.select("profile", "item", "ord", "kind").groupBy("profile", "item").applyInPandasWithState(_latest, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", STATE, self.keep)
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        if not self.last.exists() or self.last.get()[0] < initialState.ord:
+            self.last.update((initialState.ord, initialState.kind))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        ord_, before = self.last.get() if self.last.exists() else (None, None)
+        now, kind = ord_, before
+        for r in rows:
+            if now is None or r.ord > now:
+                now, kind = r.ord, r.kind
+        if now != ord_:
+            self.last.update((now, kind))
+        if kind != before:
+            yield Row(profile=key[0], item=key[1], ord=now, kind=kind)
+
+    def close(self) -> None:
+        pass
+
+
+def _told(reactions: DataFrame) -> DataFrame:
+    told = reactions.withColumn("kind", F.lower("kind")).where(F.col("kind").isin(*STAR_KINDS)).where("coalesce(item, '') <> '' and coalesce(profile, '') <> '' and ord is not null")
+    return told.select("profile", "item", "ord", "kind")
+
+
+def with_ordered_state(spark: SparkSession) -> SparkSession:
+    """A session of its own, with the same tables and context, whose streams keep their state in RocksDB, as ``state_changes`` needs it."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if spark.conf.get(key, None) is not None:
+            own.conf.set(key, spark.conf.get(key))
+    own.conf.set(_STORE, _ROCKS)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a state that may expire asks for one batch after another without end
+    return own
+
+
+def state_changes(reactions: DataFrame, known: DataFrame | None = None, keep: timedelta | None = None) -> DataFrame:
+    """A stream of (profile, item, ord, kind): each change of a person's star state on an item.
+
+    ``known`` (profile, item, ord, kind) are rows of the log read before, from which a new stream starts; a stream that goes on from
+    its checkpoint has them already. ``keep`` forgets a state that hasn't changed for so long; what comes then is a change again.
+    """
+    groups = _told(reactions).groupBy("profile", "item")
+    start = None if known is None else last_rows(known).groupBy("profile", "item")
+    return groups.transformWithState(LastState(keep), CHANGES, "Append", "None" if keep is None else "ProcessingTime", start)
+
+
+def last_rows(log: DataFrame) -> DataFrame:
+    """(profile, item, ord, kind) the row of a log, or of changes, that tells each state."""
+    return _told(log).groupBy("profile", "item").agg(F.max("ord").alias("ord"), F.max_by("kind", "ord").alias("kind"))
 
 
 def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -46,3 +90,13 @@ def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def once(messages: DataFrame, key: str, time: str, within: str = "1 day") -> DataFrame:
     """Each message once, however often it is delivered within the time given."""
     return messages.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+
+
+def read_all(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream has given by now: all that has come is read, added to the table in ``path`` and its checkpoint moved on.
+
+    A second call goes on where the first ended, and one after a stop repeats nothing: the table's own log has each batch once.
+    """
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

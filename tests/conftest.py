@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.checkpoint.dir", str(base / "shared"))
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
