@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,18 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpus-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not base:
-        base = tempfile.mkdtemp(prefix="lumenfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # a local session without one: a folder for the process, as the setting can't be changed once a session runs
+        base = _own_folder()
     return base.rstrip("/")
 
 
