@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="catalogue-")
+
+
 def new_folder(spark: SparkSession) -> str:
     """A path of its own in the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not base:
-        base = tempfile.mkdtemp(prefix="catalogue-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # a local session without one: a folder for the process, as the setting can't be changed once a session runs
+        base = _own_folder()
     return f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
 
 
