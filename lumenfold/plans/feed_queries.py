@@ -7,10 +7,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.operators.components import numbered, saved
+from lumenfold.operators.components import new_folder, numbered, saved
 from lumenfold.plans.registry import query
-from lumenfold.plans.views import table
+from lumenfold.plans.views import REACTIONS, reactions, table
 from lumenfold.sources import paged
+from lumenfold.streaming import stars
 
 _CAP, _SIZE = 1000, 100
 _ITEM = "id long, at string, kind string, client long"
@@ -50,3 +51,16 @@ def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = paged.crawl(paged.first_windows(spark, sorted(kinds), days.a or date(2024, 1, 1), (days.n or 0) + 1, 40), _answers(sales), _CAP)
     found = paged.latest(paged.records(pages, "$.list.events", _ITEM, _CAP))
     return numbered(found, [], ["at", "first_ord"], "place").select((F.col("place") + 1).alias("place"), "id", "kind", F.col("at").alias("sold"), "client")
+
+
+@query(f"""WITH {REACTIONS} SELECT profile, item, max_by(kind, ord) AS kind FROM reactions WHERE kind IN ('star', 'unstar', 'hide') AND coalesce(profile, '') <> '' AND coalesce(item, '') <> '' AND ord IS NOT NULL GROUP BY ALL""")
+def star_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States by a stream that knows the log up to the middle of its time and reads it as a whole: rows delivered again change nothing."""
+    log = saved(reactions(spark, sf_dir).select("profile", "item", "ord", "kind", "ts"))
+    own = stars.with_ordered_state(spark)
+    rows = own.read.schema(log.schema).parquet(log._saved_at)
+    middle = rows.select(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("t"))  # one row
+    known = saved(stars.last_rows(rows.join(F.broadcast(middle), F.col("ts") <= F.col("t"))))
+    changes = stars.read_all(stars.state_changes(own.readStream.schema(log.schema).parquet(log._saved_at), known), new_folder(own))
+    found = saved(stars.last_rows(known.unionByName(changes)).select("profile", "item", "kind"))
+    return spark.read.schema(found.schema).parquet(found._saved_at)
