@@ -24,7 +24,7 @@ def _answers(sales: DataFrame):
         w = asked.select(*[c.split()[0] for c in paged.WINDOW.split(", ")], "since", "until")
         second = F.unix_seconds(F.col("at").cast("timestamp"))
         number = paged.number_at(F.col("_second"), F.col("origin"), F.col("span"), F.col("depth"))
-        spans = w.select("kind", "chunk", "origin", "span", "depth").distinct()  # as many as the first windows, which the driver made
+        spans = w.select("kind", "chunk", "origin", "span", "depth").distinct()  # at most six depths of the first windows, which the driver made
         near = sales.withColumn("_second", second).join(F.broadcast(spans), ["kind"]).where("_second >= origin and _second < origin + span").withColumn("number", number)
         inside = near.join(w.select("kind", "chunk", "depth", "number", "until", "since"), ["kind", "chunk", "depth", "number"])
         keys = ["kind", "chunk", "depth", "number"]
@@ -43,7 +43,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY kind, sold, id, client) AS n FR
 kept AS (SELECT id, max_by(kind, n) AS kind, max_by(sold, n) AS sold, max_by(client, n) AS client, min(n) AS first FROM placed GROUP BY id)
 SELECT row_number() OVER (ORDER BY strftime(sold, '%Y-%m-%dT%H:%M:%S'), first) AS place, id, kind, strftime(sold, '%Y-%m-%dT%H:%M:%S') AS sold, client FROM kept""")
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sales by a service that answers with at most 1,000 of a kind and a window: windows are halved, ids read twice count once, as read last, in order of time."""
+    """All sales by a service that answers with at most 1,000 of a kind and a window: windows are cut again, ids read twice count once, as read last, in order of time."""
     t = table(spark, sf_dir, "sales")
     sales = saved(t.where("sale_id is not null and sold_at is not null").select(F.coalesce("status", F.lit("none")).alias("kind"), F.col("sold_at").alias("at"), F.col("sale_id").alias("id"), F.coalesce("client_id", F.lit(-1)).cast("long").alias("client")))
     kinds = [r.kind for r in sales.select("kind").distinct().collect()]  # a handful

@@ -1,8 +1,8 @@
-"""Paged services that cap what one query may return: a span of time is read by windows, and a window with more than the cap is halved until none is left over it.
+"""Paged services that cap what one query may return: a span of time is read by windows, and a window with more than the cap is cut again until none is left over it.
 
 Windows are rows (kind, chunk, origin, span, depth, number): of ``span`` seconds from ``origin`` on, cut into ``2 ** depth`` parts, the part ``number``.
-A part has the seconds t with ``t * 2 ** depth div span = number``, so the two halves of a part share none of its seconds and lose none.
-All windows of a round are asked for in parallel; a round's pages are written before the next one starts, and there are as many rounds as halvings.
+A part has the seconds t with ``t * 2 ** depth div span = number``, so the parts of a part share none of its seconds and lose none.
+All windows of a round are asked for in parallel; a round's pages are written before the next one starts, and there are fewer than ten rounds.
 """
 
 from __future__ import annotations
@@ -46,21 +46,30 @@ def bounds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("since", F.col("origin") + _starts(F.col("number"))).withColumn("until", F.col("origin") + _starts(F.col("number") + 1))
 
 
+def parts(over: DataFrame, bits: Column) -> DataFrame:
+    """Each window in ``2 ** bits`` parts, without those that have no second."""
+    cut = over.withColumn("_bits", bits).withColumn("_parts", F.pow(F.lit(2), F.col("_bits")).cast("long"))
+    cut = cut.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    cut = cut.select("kind", "chunk", "origin", "span", (F.col("depth") + F.col("_bits")).cast("int").alias("depth"), (F.col("number") * F.col("_parts") + F.col("_part")).alias("number"))
+    return cut.where(_starts(F.col("number")) < _starts(F.col("number") + 1))
+
+
 def halves(over: DataFrame) -> DataFrame:
     """The two halves of each window."""
-    return over.withColumn("_half", F.explode(F.array(F.lit(0), F.lit(1)))).select("kind", "chunk", "origin", "span", (F.col("depth") + 1).alias("depth"), (F.col("number") * 2 + F.col("_half")).alias("number"))
+    return parts(over, F.lit(1))
 
 
 def _split(cap: int) -> Column:
-    """Whether a window is read by its halves: it has more than the cap, and more than a second."""
+    """Whether a window is read by its parts: it has more than the cap, and more than a second."""
     return (F.col("total") > cap) & (F.col("until") - F.col("since") > 1)
 
 
-def crawl(first: DataFrame, fetch: Callable[[DataFrame], DataFrame], cap: int = 1000) -> DataFrame:
-    """All pages of ``first`` and of the halves of what passes the cap, as ``PAGE`` with ``since`` and ``until``.
+def crawl(first: DataFrame, fetch: Callable[[DataFrame], DataFrame], cap: int = 1000, most_bits: int = 6) -> DataFrame:
+    """All pages of ``first`` and of the parts of what passes the cap, as ``PAGE`` with ``since`` and ``until``.
 
     ``fetch`` gives the pages of windows (with ``since`` and ``until``); of a window over the cap that has more than a second its page 0 is
-    enough. Every window has a page 0, be it empty. A window of one second is read as far as the service goes: ``gaps`` tells what is short.
+    enough. A window is cut into as many parts, a power of two, as would hold its records if they were spread evenly, and into more in each later
+    round, up to ``2 ** most_bits``: what passes the cap then is a crowded moment, which plain halving would reach after some twenty rounds. Every window has a page 0, be it empty. A window of one second is read as far as the service goes: ``gaps`` tells what is short.
     """
     asked, rounds = first, []
     while True:
@@ -69,7 +78,8 @@ def crawl(first: DataFrame, fetch: Callable[[DataFrame], DataFrame], cap: int =
         over = pages.where("page = 0").where(_split(cap))
         if over.isEmpty():
             break
-        asked = halves(over).where(_starts(F.col("number")) < _starts(F.col("number") + 1))
+        spread = F.ceil(F.log2(F.col("total") / cap)).cast("int")
+        asked = parts(over, F.least(F.greatest(spread, F.lit(len(rounds))), F.lit(most_bits)))
     out = rounds[0]
     for pages in rounds[1:]:
         out = out.unionByName(pages)
@@ -114,7 +124,7 @@ def fetching(read: Callable[[str, int, int, int], str], total: tuple[str, ...],
 def records(pages: DataFrame, items: str, schema: str, cap: int = 1000) -> DataFrame:
     """(kind, ord, r) the records of a crawl, ``items`` the JSON path of a body's list and ``schema`` that of a record.
 
-    Pages of windows that were read by their halves give none. ``ord`` is a struct that grows in the order of kinds, time, pages and places.
+    Pages of windows that were read by their parts give none. ``ord`` is a struct that grows in the order of kinds, time, pages and places.
     """
     kept = pages.where(~F.coalesce(_split(cap), F.lit(False)))
     listed = F.from_json(F.get_json_object("body", items), f"array<struct<{schema}>>")
