@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.config import RADAR_WEIGHTS
 from lumenfold.functions.text import has_any, normalized, venue_key
-from lumenfold.operators.dedupe import first_of
+from lumenfold.operators.components import saved
 from lumenfold.operators.score import global_rank
 
 # Words that make a festival or a city-wide occasion.
@@ -22,23 +24,42 @@ def _long_words(c: Column, least: int) -> Column:
     return F.filter(F.split(c, " "), lambda w: F.char_length(w) >= least)
 
 
+def holding_names(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(s, os): names, as sorted sets of words, of ``longer`` (s) that have all words of a name of ``shorter`` (os).
+
+    Every name counts once. A shorter name meets the longer ones by its rarest word, and the rest is tested.
+    """
+    s, os = longer.select("s").distinct(), shorter.select("os").where("size(os) > 0").distinct()
+    words = s.select("s", F.explode("s").alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    rarest = os.select("os", F.explode("os").alias("w")).join(often, "w").groupBy("os").agg(F.min_by("w", F.struct("often", "w")).alias("w"))
+    return words.join(rarest, "w").where(F.size(F.array_except("os", "s")) == 0).select("s", "os")
+
+
 def best_offers(events: DataFrame, offers: DataFrame) -> DataFrame:
     """(key, offer, rank): the offer of an event's day that suits it best.
 
     events: key, day, venue, name; offers: offer, day, venue, name, ord. A shared venue word weighs 2, all words of the
-    offer's name among the event's 1; of equals the first offer stays. Candidates meet by day and a shared word of the venue, or
-    by day and the first word of the offer's name, which a full match must have; days are not multiplied out.
+    offer's name among the event's 1; of equals the first offer stays. Of offers that are alike in what a rank asks for (day and venue word for 2,
+    the name too for 3, day and name for 1) only the first can stay, so events meet one offer for each of their venue words and the names that theirs
+    holds, however many events and offers a day has.
     """
-    e = events.select("key", "day", _long_words(venue_key("venue"), 3).alias("v"), F.split(normalized("name"), " ").alias("n"))
-    o = offers.select("offer", "ord", F.col("day").alias("d"), _long_words(venue_key("venue"), 3).alias("ov"), F.filter(F.split(normalized("name"), " "), lambda w: w != "").alias("on"))
-    mine = e.withColumn("w", F.explode(F.array_distinct(F.concat(F.transform("v", lambda x: F.concat(F.lit("v:"), x)), F.transform("n", lambda x: F.concat(F.lit("n:"), x))))))
-    first = F.filter(F.array(F.get("on", F.lit(0))), lambda x: x.isNotNull())
-    theirs = o.withColumn("w", F.explode(F.array_distinct(F.concat(F.transform("ov", lambda x: F.concat(F.lit("v:"), x)), F.transform(first, lambda x: F.concat(F.lit("n:"), x))))))
-    met = mine.join(theirs, (F.col("day") == F.col("d")) & (mine["w"] == theirs["w"])).drop("w")
-    venue = F.arrays_overlap("v", "ov")
-    name = (F.size("on") > 0) & (F.size(F.array_except("on", "n")) == 0)
-    ranked = met.withColumn("rank", F.when(venue, 2).otherwise(0) + F.when(name, 1).otherwise(0)).where("rank > 0")
-    return first_of(ranked, ["key"], F.desc("rank"), F.asc("ord")).select("key", "offer", "rank")
+    names = lambda c: F.array_sort(F.array_distinct(F.split(normalized(c), " ")))
+    e = saved(events.select("key", "day", F.array_distinct(_long_words(venue_key("venue"), 3)).alias("v"), names("name").alias("s")))
+    first = F.min(F.struct("ord", "offer")).alias("first")
+    o = offers.where("day is not null").select("day", F.array_distinct(_long_words(venue_key("venue"), 3)).alias("v"), F.filter(names("name"), lambda w: w != "").alias("os"), "ord", "offer")
+    o = saved(o.groupBy("day", "v", "os").agg(first))
+    held = saved(holding_names(e, o))
+    least = F.min("first").alias("first")
+    at = o.select("day", F.explode("v").alias("w"), "os", "first")
+    mine = e.select("key", "day", F.explode("v").alias("w"), "s")
+    named = e.select("day", "s").distinct().join(held, "s").join(o.groupBy("day", "os").agg(least), ["day", "os"]).groupBy("day", "s").agg(least)
+    found = [
+        mine.join(held, "s").join(at.groupBy("day", "w", "os").agg(least), ["day", "w", "os"]).withColumn("rank", F.lit(3)),
+        mine.join(at.groupBy("day", "w").agg(least), ["day", "w"]).withColumn("rank", F.lit(2)), e.join(named, ["day", "s"]).withColumn("rank", F.lit(1)),
+    ]
+    met = reduce(DataFrame.union, [f.select("key", F.struct((-F.col("rank")).alias("turn"), "first").alias("best")) for f in found])
+    return met.groupBy("key").agg(F.min("best").alias("best")).select("key", F.col("best.first.offer").alias("offer"), (-F.col("best.turn")).alias("rank"))
 
 
 def group_matrix(scores: DataFrame) -> DataFrame:
