@@ -5,7 +5,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import matching
+from lumenfold.config import Taste
+from lumenfold.operators import affinity, matching
 
 
 def test_offers_of_a_crowded_day(spark):
@@ -23,3 +24,19 @@ def test_offers_of_a_crowded_day(spark):
         return (n, rank) if rank else None  # the last row has the least ord, at the venue and of the name
 
     assert got == {k: best(k) for k in range(n) if best(k)}
+
+
+def test_points_of_a_bill_that_many_events_share(spark):
+    """A name is tested once for each bill, not for each event: the pattern's test stands below any number of events."""
+    events = spark.createDataFrame([(1, "Night", ["Ann"]), (2, "Night", ["Ann"]), (3, "Ann live", None), (4, None, ["Bo", "Ann"]), (5, "", ["Cy"]), (6, None, None)], "id long, title string, lineup array<string>")
+    artists = spark.createDataFrame([("p", "ann", "Ann", "core", []), ("q", "ann", "Ann", "hidden", []), ("p", "bo", "Bo", "light", [])], "profile string, artist string, name string, tier string, sources array<string>")
+    plain = affinity.artist_points(affinity.billed(events, artists, "id", Taste()), "id", Taste())
+    got = affinity.points_of_bills(events, artists, "id", Taste())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) != []
+
+    n = 400_000
+    many = spark.range(n).select("id", F.lit("").alias("title"), F.array(F.concat(F.lit("Artist "), (F.col("id") % 2).cast("string"))).alias("lineup"))
+    people = spark.range(1000).select(F.col("id").cast("string").alias("profile"), F.lit("artist 1").alias("artist"), F.lit("Artist 1").alias("name"), F.lit("core").alias("tier"), F.array().cast("array<string>").alias("sources"))
+    began = time.perf_counter()
+    assert affinity.points_of_bills(many, people, "id", Taste()).count() == n // 2 * 1000
+    assert time.perf_counter() - began < 60
