@@ -63,6 +63,20 @@ _COMEDY, _MARKET = r"\b(comedy|stand[\s-]?up|standup|improv|open mic)\b", r"\b(m
 _WORKSHOP, _AFTERS = r"\b(workshop|class|seminar)\b", r"\bafter[\s-]?hours?\b|\bafters\b"
 _DJ = r"\b(dj set|b2b|warehouse|rave|afters|after[\s-]?hours|after[\s-]?part(?:y|ies)|day party)\b"
 
+# Every alternative of the patterns that flags look for in the whole text: those at the beginning of a word, and others (but "burlesque", which is looked for always). A text without any has no such flag.
+_SAID = (
+    r"\b21\s?\+", r"\b18\s?\+", r"\bafter[\s-]?hours?\b", r"\bafters\b", r"\b(sunset|golden hour)\b", r"\b(all[\s-]?vinyl|vinyl[\s-]?only)\b",
+    r"\bb2b\b", r"\b(residency|residencies)\b", r"\bresident\b(?!\s+advisor)", r"\b(queer|lgbtq|pride|gay|sapphic)\b", r"\bdrag\b",
+    r"\b(tributes?|cover band)\b", r"\b(album|record|ep) release\b", r"\b(35mm|70mm|16mm)\b", r"\bq&a", r"\bin person\b", r"\bin attendance\b",
+    r"\bin conversation\b", r"\bintroduced by\b", r"\bblock party\b", r"\bpop[\s-]?up\b", r"\bboat party\b", r"\byacht party\b", r"\b(location )?tba\b",
+    r"\bsold out\b", r"\ball ages\b",
+)
+_SAID_WITHIN = (
+    r"open[\s-]?to[\s-]?close", r"all[\s-]?night\s?(long|set)", r"\[all night|extended set", r"21 and over\b", r"18 and over\b", r"q & a\b",
+    r"q ?& ?a with", r"drops? (after|day)",
+)
+_ANY_SAID = r"\b(?:" + "|".join(_SAID) + ")|" + "|".join(_SAID_WITHIN)
+
 
 @dataclass(frozen=True)
 class Gazetteer:
@@ -84,11 +98,19 @@ class Gazetteer:
 GENRES = tuple(dict.fromkeys([*(n for n, _ in (*ELECTRONIC, *LIVE, *STAGE, *COMEDY)), *OTHER_GENRES]))
 
 
+#: What ``tagged`` computes once a row before the rules read it.
+_READY = "_of_"
+
+
 def _low(df: DataFrame, name: str) -> Column:
+    if _READY + name in df.columns:
+        return F.col(_READY + name)
     return F.lower(text(name)) if name in df.columns else F.lit("")
 
 
 def _bill(df: DataFrame) -> Column:
+    if f"{_READY}bill" in df.columns:
+        return F.col(f"{_READY}bill")
     return F.lower(F.coalesce(F.array_join("lineup", " "), F.lit(""))) if "lineup" in df.columns else F.lit("")
 
 
@@ -108,15 +130,28 @@ def _words(rules: tuple[tuple[str, str], ...]) -> str:
     return r"\b(" + "|".join(p for _, p in rules) + r")\b"
 
 
+def _hay(df: DataFrame, venue: bool = True) -> Column:
+    """Title, organisers, detail, venue and bill in one text; or all but the venue."""
+    name = _READY + ("hay" if venue else "told")
+    if name in df.columns:
+        return F.col(name)
+    return F.concat_ws(" ", _low(df, "title"), _low(df, "organizers"), _low(df, "detail"), *([_low(df, "venue")] if venue else []), _bill(df))
+
+
+def _gated(hay: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """The names of rules that a text fires, as whole words; most texts fire none, which one pattern of all tells."""
+    return F.when(hay.rlike(_words(rules)), _some([(hay.rlike(rf"\b({p})\b"), n) for n, p in rules])).otherwise(F.array().cast("array<string>"))
+
+
 def type_of(df: DataFrame, g: Gazetteer) -> Column:
     """The one kind of a listing: the first rule that holds."""
     cat, genre, bill_genre = F.trim(_low(df, "category")), F.trim(_low(df, "genre")), F.trim(_low(df, "lineup_genre"))
     title, venue, detail = _low(df, "title"), _low(df, "venue"), _low(df, "detail")
     sources = F.coalesce("sources", F.array().cast("array<string>")) if "sources" in df.columns else F.array().cast("array<string>")
     music = cat.isin(*MUSIC_CATEGORIES)
-    hay = F.concat_ws(" ", title, _low(df, "organizers"), detail, venue, _bill(df))
+    hay = _hay(df)
     where = F.when(music, F.concat_ws(" ", title, venue)).otherwise(hay)
-    ghay = F.concat_ws(" ", title, _low(df, "organizers"), detail, _bill(df))
+    ghay = _hay(df, venue=False)
     arts, stages = cat == "arts & theatre", list(STAGE_BY_SOURCE)
     watch = ~title.rlike(_AFTER) & (title.rlike(_WATCH) | (title.rlike(_TOURNEY) & title.rlike(_MATCH)))
     electronic = _words(ELECTRONIC)
@@ -143,14 +178,15 @@ def type_of(df: DataFrame, g: Gazetteer) -> Column:
 
 def genres_of(df: DataFrame, typ: Column, g: Gazetteer) -> Column:
     """Subkinds in the order of their rules; a general one goes where a specific one that contains its word is there."""
-    hay = F.concat_ws(" ", _low(df, "title"), _low(df, "organizers"), _low(df, "detail"), _bill(df))
+    hay = _hay(df, venue=False)
     title, venue, own = _low(df, "title"), _low(df, "venue"), F.trim(_low(df, "genre"))
-    fired = _some([(hay.rlike(rf"\b({p})\b"), n) for n, p in ELECTRONIC])
+    fired = F.col(f"{_READY}fired") if f"{_READY}fired" in df.columns else _gated(hay, ELECTRONIC)
     shadowed = F.filter(F.array(*[F.when(F.array_contains(fired, a), F.lit(b)) for a, b in SHADOWS.items()]), lambda x: x.isNotNull())
     club = F.array_except(fired, shadowed)
     club = F.when(F.size(club) > 0, club).otherwise(F.array(F.lit("electronic")))
     by_source = lambda m: F.filter(F.array(F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), own)), lambda x: x.isNotNull())
-    live = F.array_distinct(F.concat(_some([(hay.rlike(rf"\b({p})\b"), n) for n, p in LIVE]), by_source(LIVE_BY_SOURCE)))
+    named = F.col(f"{_READY}live") if f"{_READY}live" in df.columns else _gated(hay, LIVE)
+    live = F.array_distinct(F.concat(named, by_source(LIVE_BY_SOURCE)))
     rooms = _some([(venue.contains(k), n) for k, names in g.genre.items() for n in names])
     live = F.when(F.size(live) > 0, live).otherwise(rooms)
     stage = F.array_distinct(F.concat(by_source(STAGE_BY_SOURCE), _some([(title.rlike(p), n) for n, p in STAGE])))
@@ -166,11 +202,14 @@ def _wanted(options: list[tuple[Column, str]], only: tuple[str, ...] | None) ->
 
 def settings_of(df: DataFrame, g: Gazetteer, only: tuple[str, ...] | None = None) -> Column:
     venue = _low(df, "venue")
-    hay = F.concat_ws(" ", _low(df, "title"), _low(df, "organizers"), _low(df, "detail"), venue, _bill(df))
+    hay = _hay(df)
     known = _some(_wanted([(venue.contains(k), n) for k, names in g.setting.items() for n in names], only))
     cinema = _some(_wanted([(F.lit(True), "cinema")], only)).cast("array<string>")
     known = F.when(has_any(venue, g.cinemas), cinema).otherwise(known.cast("array<string>"))
-    return F.array_distinct(F.concat(known, _some(_wanted([(hay.rlike(p), n) for n, p in SETTINGS], only)).cast("array<string>")))
+    told = _wanted([(hay.rlike(p), n) for n, p in SETTINGS], only)
+    any_of = r"\b(?:" + "|".join(p for n, p in SETTINGS if only is None or n in only) + ")"
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(known, F.when(hay.rlike(any_of), _some(told)).otherwise(none) if told else none))
 
 
 def scale_of(venue: Column, setting: Column, g: Gazetteer) -> Column:
@@ -186,25 +225,27 @@ def scale_of(venue: Column, setting: Column, g: Gazetteer) -> Column:
 def vibes_of(df: DataFrame, typ: Column, only: tuple[str, ...] | None = None) -> Column:
     """Flags in their order, some of them for certain types, hours or prices only; of ``only``, if given, no other is looked for."""
     title, venue, price, organizers = _low(df, "title"), _low(df, "venue"), _low(df, "price"), _low(df, "organizers")
-    hay = F.concat_ws(" ", title, organizers, _low(df, "detail"), venue, _bill(df))
-    h = dates.hours("start") if "start" in df.columns else F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    hay = _hay(df)
+    h = F.col(f"{_READY}hours") if f"{_READY}hours" in df.columns else dates.hours("start") if "start" in df.columns else F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     start, end, club, film = h["first"], h["last"], typ == "club", typ == "film"
-    all_night = hay.rlike(r"open[\s-]?to[\s-]?close|all[\s-]?night\s?(long|set)|\[all night|extended set")
+    gate = F.col(f"{_READY}said") if f"{_READY}said" in df.columns else F.lit(True)
+    said = lambda p: gate & hay.rlike(p)
+    all_night = said(r"open[\s-]?to[\s-]?close|all[\s-]?night\s?(long|set)|\[all night|extended set")
     retro = title.rlike(r"(19|20)\d0s|(19|20)\d{2}\s*[-–]\s*(19|20)\d{2}|\bbangers\b|\bclassics\b|throwback")
-    over21, over18 = hay.rlike(r"\b21\s?\+|21 and over\b"), hay.rlike(r"\b18\s?\+|18 and over\b")
+    over21, over18 = said(r"\b21\s?\+|21 and over\b"), said(r"\b18\s?\+|18 and over\b")
     return _some(_wanted([
-        (hay.rlike(_AFTERS) | (club & F.coalesce(start < 9, F.lit(False))) | (club & F.coalesce((end >= 4) & (end < 12), F.lit(False))), "afterhours"),
-        (club & start.between(11, 16), "day-party"), (hay.rlike(r"\b(sunset|golden hour)\b"), "sunset"), (hay.rlike(r"\b(all[\s-]?vinyl|vinyl[\s-]?only)\b"), "all-vinyl"),
-        (club & all_night & ~retro, "all-night-set"), (hay.rlike(r"\bb2b\b"), "b2b"), (hay.rlike(r"\b(residency|residencies)\b|\bresident\b(?!\s+advisor)"), "residency"),
-        (hay.rlike(r"\b(queer|lgbtq|pride|gay|sapphic)\b"), "queer"), (hay.rlike(r"\bdrag\b"), "drag"), (hay.rlike(r"\bburlesque\b"), "burlesque"),
-        (hay.rlike(r"\b(tributes?|cover band)\b"), "tribute"), (hay.rlike(r"\b(album|record|ep) release\b"), "album-release"),
+        (said(_AFTERS) | (club & F.coalesce(start < 9, F.lit(False))) | (club & F.coalesce((end >= 4) & (end < 12), F.lit(False))), "afterhours"),
+        (club & start.between(11, 16), "day-party"), (said(r"\b(sunset|golden hour)\b"), "sunset"), (said(r"\b(all[\s-]?vinyl|vinyl[\s-]?only)\b"), "all-vinyl"),
+        (club & all_night & ~retro, "all-night-set"), (said(r"\bb2b\b"), "b2b"), (said(r"\b(residency|residencies)\b|\bresident\b(?!\s+advisor)"), "residency"),
+        (said(r"\b(queer|lgbtq|pride|gay|sapphic)\b"), "queer"), (said(r"\bdrag\b"), "drag"), (hay.rlike(r"\bburlesque\b"), "burlesque"),
+        (said(r"\b(tributes?|cover band)\b"), "tribute"), (said(r"\b(album|record|ep) release\b"), "album-release"),
         (typ.isin("club", "live-music", "community", "market", "food-drink") & F.concat_ws(" ", title, organizers).rlike(r"\bfestival\b"), "festival"),
-        (hay.rlike(r"\b(35mm|70mm|16mm)\b"), "analog-film"), (typ.isin("film", "comedy", "stage") & hay.rlike(r"\bq&a|q & a\b"), "q&a"),
-        (film & hay.rlike(r"\bin person\b|\bin attendance\b|\bin conversation\b|\bintroduced by\b|q ?& ?a with"), "guest-in-person"), (film & (start >= 9) & (start < 17), "matinee"),
-        ((typ != "comedy") & hay.rlike(r"\bblock party\b"), "block-party"), (hay.rlike(r"\bpop[\s-]?up\b"), "pop-up"), (hay.rlike(r"\bboat party\b|\byacht party\b"), "boat-party"),
-        (venue.contains("tba") | hay.rlike(r"\b(location )?tba\b|drops? (after|day)"), "tba-location"),
+        (said(r"\b(35mm|70mm|16mm)\b"), "analog-film"), (typ.isin("film", "comedy", "stage") & said(r"\bq&a|q & a\b"), "q&a"),
+        (film & said(r"\bin person\b|\bin attendance\b|\bin conversation\b|\bintroduced by\b|q ?& ?a with"), "guest-in-person"), (film & (start >= 9) & (start < 17), "matinee"),
+        ((typ != "comedy") & said(r"\bblock party\b"), "block-party"), (said(r"\bpop[\s-]?up\b"), "pop-up"), (said(r"\bboat party\b|\byacht party\b"), "boat-party"),
+        (venue.contains("tba") | said(r"\b(location )?tba\b|drops? (after|day)"), "tba-location"),
         (F.col("ra_pick") if "ra_pick" in df.columns else F.lit(False), "ra-pick"), (price.contains("free"), "free"), (price.contains("free") & price.contains("rsvp"), "free-rsvp"),
-        (hay.rlike(r"\bsold out\b"), "sold-out"), (over21, "21+"), (~over21 & over18, "18+"), (~over21 & ~over18 & hay.rlike(r"\ball ages\b"), "all-ages"),
+        (said(r"\bsold out\b"), "sold-out"), (over21, "21+"), (~over21 & over18, "18+"), (~over21 & ~over18 & said(r"\ball ages\b"), "all-ages"),
     ], only))
 
 
@@ -222,22 +263,26 @@ def tagged(events: DataFrame, g: Gazetteer = Gazetteer(), only: tuple[str, ...]
     Types, settings and vibes stand once in a plan, which lets no filter past them: filter by day, score or tier first. ``only`` names the settings and
     vibes that are asked for (a lane needs ``score.LANE_FLAGS``), others aren't looked for; a scale needs "pool" and "amphitheater".
     """
+    ready = events.withColumns({f"{_READY}{c}": once(_low(events, c)) for c in ("title", "venue", "detail", "organizers", "price")} | {f"{_READY}bill": once(_bill(events))})
+    ready = ready.withColumns({f"{_READY}hay": once(_hay(ready)), f"{_READY}told": once(_hay(ready, venue=False))})
+    out = ready.withColumns({"type": once(type_of(ready, g)), "setting": once(settings_of(ready, g, only)), f"{_READY}said": once(_hay(ready).rlike(_ANY_SAID))})
+    timed = F.col("type").isin("club", "film")  # other types' flags don't ask for hours
+    hours = {f"{_READY}hours": once(F.when(timed, dates.hours("start")))} if "start" in events.columns else {}
+    told = _hay(out, venue=False)
+    out = out.withColumns({f"{_READY}fired": once(F.when(F.col("type") == "club", _gated(told, ELECTRONIC))), f"{_READY}live": once(F.when(F.col("type") == "live-music", _gated(told, LIVE)))} | hours)
     place = F.trim(_low(events, "neighborhood"))
-    out = events.withColumns({"type": once(type_of(events, g)), "setting": once(settings_of(events, g, only))})
-    hay = F.concat_ws(" ", _low(events, "title"), _low(events, "organizers"), _low(events, "detail"), _low(events, "venue"), _bill(events))
-    return out.withColumns({
-        "scale": scale_of(_low(events, "venue"), F.col("setting"), g), "genres": genres_of(events, F.col("type"), g), "vibe": once(vibes_of(events, F.col("type"), only)), "region": region_of(place, g),
-        "near_home": place.isin(*[p.lower() for p in g.near_home]) if g.near_home else F.lit(False), "afters_billed": hay.rlike(_AFTERS),
+    made = out.withColumns({
+        "scale": scale_of(_low(out, "venue"), F.col("setting"), g), "genres": genres_of(out, F.col("type"), g), "vibe": once(vibes_of(out, F.col("type"), only)), "region": region_of(place, g),
+        "near_home": place.isin(*[p.lower() for p in g.near_home]) if g.near_home else F.lit(False), "afters_billed": F.col(f"{_READY}said") & _hay(out).rlike(_AFTERS),
     })
+    return made.drop(*[c for c in made.columns if c.startswith(_READY)])
 
 
 def facets(events: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-    """(axis, value, n): how often each value of the axes occurs, arrays by element."""
-    parts = []
-    for a in axes:
-        value = F.explode(a) if events.schema[a].dataType.typeName() == "array" else F.col(a)
-        parts.append(events.select(F.lit(a).alias("axis"), value.alias("value")).where("value is not null"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(axis, value, n): how often each value of the axes occurs, arrays by element; one pass over the events, however many axes."""
+    def told(a: str) -> Column:
+        values = F.col(a) if events.schema[a].dataType.typeName() == "array" else F.array(a)
+        return F.transform(F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")), lambda v: F.struct(F.lit(a).alias("axis"), v.alias("value")))
+
+    pairs = events.select(F.inline(F.concat(*[told(a) for a in axes]))).where("value is not null")
+    return pairs.groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"))
