@@ -7,7 +7,8 @@ of one word stands for every known word that has it inside; such words meet it b
 
 Three tables: ``words`` (word, key), words and seams, by buckets, each bucket in parts by key, so that a word which a third of the rows have isn't one task;
 ``rows`` (key, hay) by buckets of keys; ``known`` (word, n), how many keys have a word. A search reads only the buckets of ``words`` that
-hold what its lines ask for; the driver gets their numbers.
+hold what its lines ask for; the driver gets their numbers. Joins are by sorted shuffles: files of words are small for their rows, so
+tables that the optimizer takes for small would be large in the driver that broadcasts them.
 """
 
 from __future__ import annotations
@@ -82,14 +83,14 @@ class SearchIndex:
         seams = F.transform(F.sequence(F.lit(0), F.col("size") - 2), lambda i: F.concat(F.right(F.get("_w", i), F.lit(RUN)), F.lit(" "), F.left(F.get("_w", i + 1), F.lit(RUN))))
         ways = F.array(F.struct(F.lit("phrase").alias("way"), seams.alias("terms")), F.struct(F.lit("words").alias("way"), F.array_distinct("_w").alias("terms")))
         terms = split.where("size > 1").select("phrase", "size", F.inline(ways)).select("phrase", "size", "way", F.explode("terms").alias("word"))
-        rated = terms.join(known, "word", "left").groupBy("phrase", "size", "way")
+        rated = terms.join(known.hint("merge"), "word", "left").groupBy("phrase", "size", "way")
         several = rated.agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count_if(F.col("n").isNull()).alias("_none")).where("_none = 0").select("phrase", "size", "word")
         runs = known.where(~F.contains("word", F.lit(" "))).select("word", F.explode(_inner_runs(F.col("word"))).alias("run"))
         counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("c"))
         letters = _runs(F.col("phrase"), F.least(F.char_length("phrase"), F.lit(RUN)))
-        single = split.where("size = 1").select("phrase", "size", F.explode(letters).alias("run")).join(counts, "run", "left")
+        single = split.where("size = 1").select("phrase", "size", F.explode(letters).alias("run")).join(counts.hint("merge"), "run", "left")
         rarest = single.groupBy("phrase", "size").agg(F.min_by("run", F.struct(F.coalesce("c", F.lit(0)), "run")).alias("run"))
-        return several.distinct().unionByName(rarest.join(runs, "run").where(F.contains("word", "phrase")).select("phrase", "size", "word"))
+        return several.distinct().unionByName(rarest.join(runs.hint("merge"), "run").where(F.contains("word", "phrase")).select("phrase", "size", "word"))
 
     def postings(self, words: DataFrame) -> DataFrame:
         """``words`` of the index, of the buckets that hold any of these."""
@@ -101,9 +102,9 @@ class SearchIndex:
         typed = lines.select("line", normalized("line").alias("phrase")).where("phrase <> ''").distinct()
         asked = saved(self.asked(typed.select("phrase").distinct()))
         spread = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
-        met = spread.join(self.postings(asked), ["word", "_part"]).select("phrase", "size", "key").distinct()
+        met = spread.join(self.postings(asked).hint("merge"), ["word", "_part"]).select("phrase", "size", "key").distinct()
         rows = self._read("rows").drop("_bucket")
         every = F.size(F.array_except(F.split("phrase", " "), F.split("hay", " "))) == 0
-        several = met.where("size > 1").join(rows, "key").where(F.contains("hay", "phrase") | every).select("phrase", "key")
+        several = met.where("size > 1").join(rows.hint("merge"), "key").where(F.contains("hay", "phrase") | every).select("phrase", "key")
         found = met.where("size = 1").select("phrase", "key").unionByName(several.distinct())
-        return found.join(typed, "phrase").select("line", "key")
+        return found.join(typed.hint("merge"), "phrase").select("line", "key")

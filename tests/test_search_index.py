@@ -72,3 +72,12 @@ def test_priced_rows(spark):
     rows = [("k1", date(2026, 6, 2), "Jazz", "Blue Hall", None), ("k2", date(2026, 6, 1), "Jazz", "Hall", "unlisted"), ("k3", date(2026, 5, 1), "Jazz", "Hall", None), ("k4", date(2026, 6, 1), "Hall jazz", "", None)]
     e = spark.createDataFrame(rows, "key string, day date, title string, venue string, status string")
     assert [r.key for r in search.priced_rows(e, "hall jazz", date(2026, 6, 1)).collect()] == ["k4", "k1"]
+
+
+def test_nothing_of_the_index_is_broadcast(spark, catalogue, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "i"), 4, 2)
+    index.write(catalogue)
+    typed = spark.createDataFrame([("dj the",), ("part",)], "line string")
+    for plan in (index.asked(typed.select(F.col("line").alias("phrase"))), index.search(typed)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.count() > 0
