@@ -42,13 +42,41 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows of a partition, about, where a table has more of them than the session's partitions would hold.
+PART_ROWS = 500_000
+#: Rows of a table that may still be small enough for a broadcast, which is left to the optimizer.
+FEW_ROWS = 2_000_000
+
+
+def partitions(table: DataFrame) -> int:
+    """How many partitions the rows of ``table`` ask for, a table of files (their count is read of these alone); 0 where the session's are enough."""
+    n = -(-table.count() // PART_ROWS)
+    return n if n > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """``rows`` by ``by`` over ``n`` partitions, so that a task's share doesn't grow with them; as they are if ``n`` is 0."""
+    return rows.repartition(n, *by) if n else rows
+
+
+def sides(rows: DataFrame, by: str, other: DataFrame, other_by: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join: ``rows`` and a table of files, ``other``, dealt over ``n`` partitions where that is too large for a broadcast."""
+    if n and other.count() > FEW_ROWS:
+        return dealt(rows, n, by), dealt(other, n, other_by)
+    return rows, other
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str = "number") -> DataFrame:
     """``rows`` with their place, from 0, within rows that are equal in ``by`` (all rows, if empty), in ``order``.
 
     One sort by ranges over all rows; the driver gets one count a partition. A group may span any number of partitions. Rows that are equal in
     ``order`` stay in one partition, in any order.
     """
-    at = saved(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = saved(rows)  # read twice: for the ranges, and to be sorted
+    n = partitions(rows)
+    ranges = rows.repartitionByRange(*([n] if n else []), *by, *order)
+    at = saved(ranges.sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
+    discarded(rows)
     part, ahead, total = F.shiftright("_at", 33), [], 0
     for k, n in sorted(at.groupBy(part).count().collect()):
         ahead.append((k, total))

@@ -11,7 +11,7 @@ from lumenfold.config import Taste
 from lumenfold.functions import dates, prices
 from lumenfold.functions.text import event_key, normalized, sql_event_key, sql_norm, venue_key
 from lumenfold.operators import dedupe, maintain, matching, places, quality, score, select, series, tags
-from lumenfold.operators.components import connected_components, new_folder
+from lumenfold.operators.components import connected_components, dealt, new_folder, partitions, sides
 from lumenfold.operators.store import Store, last_wins
 from lumenfold.plans.registry import query
 from lumenfold.plans.views import LISTING, SQL_TODAY, TODAY, listing, table
@@ -130,8 +130,9 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored listings with the verdict on their part, which are as many as parts and join by it."""
     part = table(spark, sf_dir, "part")
     tier = F.element_at(F.array(*map(F.lit, ("must-see", "great", "solid", "skip"))), F.col("p_size") % 5 + 1)
+    rows, part = sides(scored(spark, sf_dir), "part", part, "p_partkey", partitions(table(spark, sf_dir, "lineitem")))
     verdicts = part.where("p_size % 5 <> 4").select(F.col("p_partkey").alias("part"), tier.alias("tier"), (F.col("p_size") % 7 - 3).alias("adjust"))
-    both = scored(spark, sf_dir).join(verdicts, "part", "left")
+    both = rows.join(verdicts, "part", "left")
     return both.withColumn("rank_score", score.rank_score(F.col("score"), F.col("adjust"), F.col("tier")))
 
 
@@ -295,6 +296,7 @@ def route_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 reach AS (SELECT a AS node, a AS hop FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.hop = e.a) SELECT node, min(hop) AS component FROM reach GROUP BY node""")
 def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = listing(spark, sf_dir).select("ord", (F.col("supp") * 100_000 + F.col("part")).alias("k")).distinct()
+    e = dealt(e, partitions(table(spark, sf_dir, "lineitem")), "k")
     first = e.groupBy("k").agg(F.min("ord").alias("b"))
     return connected_components(e.join(first, "k").where("ord <> b").select(F.col("ord").alias("a"), "b"))
 
@@ -313,8 +315,8 @@ def merge_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LISTING}, s AS (SELECT c_mktsegment AS person, part AS key, (sum(quantity) % 17)::BIGINT - 5 AS score FROM listing JOIN customer ON cust = c_custkey GROUP BY ALL)
 SELECT key, count(*) AS people, round_even(avg(score), 2) AS mean, min(score) AS least, max(score) AS most, count(*) FILTER (score > 0) AS n_into, count(*) FILTER (score < 0) AS n_veto FROM s GROUP BY key""")
 def group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    joined = listing(spark, sf_dir).join(c, F.col("cust") == F.col("c_custkey"))
+    rows, c = sides(listing(spark, sf_dir), "cust", table(spark, sf_dir, "customer"), "c_custkey", partitions(table(spark, sf_dir, "lineitem")))
+    joined = rows.join(c, F.col("cust") == F.col("c_custkey"))
     s = joined.groupBy(F.col("c_mktsegment").alias("person"), F.col("part").alias("key")).agg(((F.sum("quantity") % 17).cast("long") - 5).alias("score")).withColumn("rating", F.lit(1))
     return matching.group_matrix(s).withColumn("people", F.size("people"))
 

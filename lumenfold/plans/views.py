@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.components import partitions, sides
+
 TODAY = date(1998, 6, 1)
 SQL_TODAY = "DATE '1998-06-01'"
 
@@ -20,13 +22,14 @@ CATEGORIES = {"ECONOMY": "film", "PROMO": "electronic", "SMALL": "comedy", "LARG
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing for each order line: a part on the day of the order at a supplier's."""
+    """A listing for each order line: a part on the day of the order at a supplier's. Where lines and orders are many, an order's stand in one of as many partitions as they ask for."""
     li, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     supplier, nation = (table(spark, sf_dir, n) for n in ("supplier", "nation"))
-    joined = (
-        li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).join(part, li["l_partkey"] == part["p_partkey"])
-        .join(supplier, li["l_suppkey"] == supplier["s_suppkey"]).join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
-    )
+    n = partitions(li)
+    lines, parts = sides(li, "l_partkey", part, "p_partkey", n)
+    lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == supplier["s_suppkey"]).join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
+    lines, orders = sides(lines, "l_orderkey", orders, "o_orderkey", n)
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     number = ((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
     by_type = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
     return joined.select(
