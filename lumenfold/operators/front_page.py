@@ -46,7 +46,8 @@ def tables(rows: DataFrame, acts: DataFrame, shelved: DataFrame, today: date) ->
 
     rows: key, day, section, final_rank, title, vibe, first and last (a programme's days, null without one), big (in a big room);
     acts: key, act, the acts of a bill that matter; shelved: key. Programmes stand by urgency, seasons by their first night, one
-    row a festival, and big nights with an act that no shelf shows soon, one row an act and night.
+    row a festival, and big nights with an act that no shelf shows soon, one row an act and night. Each table reads the rows anew, so
+    tagged ones are best saved before.
     """
     first, last = F.coalesce("first", "day"), F.coalesce("last", "day")
     rows = rows.withColumn("_first", first)
