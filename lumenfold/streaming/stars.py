@@ -6,6 +6,7 @@ may arrive in any order and more than once. Rows without a person, an item, a pl
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
 from typing import Any
@@ -16,35 +17,50 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenfold.operators.reactions import STAR_KINDS
 
-STATE = "ord long, kind string"
+#: States of a person's items, as JSON: item to place, kind and the time of the last change (0 where nothing expires).
+STATE = "items string"
+#: A person's items are dealt over so many states: few, as each state costs calls to its store; several, as a state is read and written as a whole.
+SLOTS = 4
 CHANGES = "profile string, item string, ord long, kind string"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class LastState(StatefulProcessor):
-    """The last star, unstar or hide of a person on an item, as a value that may expire."""
+    """The last star, unstar or hide of a person on each item of a slot, as values that may expire one by one."""
 
     def __init__(self, keep: timedelta | None = None):
         self.keep = None if keep is None else int(keep.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", STATE, self.keep)
+        self.last = handle.getValueState("items", STATE, self.keep)
+
+    def _time(self, timerValues: Any) -> int:
+        return 0 if self.keep is None else timerValues.getCurrentProcessingTimeInMs()
+
+    def _write(self, items: dict[str, list]) -> None:
+        self.last.update((json.dumps(items, separators=(",", ":")),))
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        if not self.last.exists() or self.last.get()[0] < initialState.ord:
-            self.last.update((initialState.ord, initialState.kind))
+        at = self._time(timerValues)
+        self._write({x["item"]: [x["ord"], x["kind"], at] for x in json.loads(initialState.items_known)})
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        ord_, before = self.last.get() if self.last.exists() else (None, None)
-        now, kind = ord_, before
+        at, found = self._time(timerValues), self.last.get()
+        items = json.loads(found[0]) if found else {}
+        if self.keep is not None:
+            items = {k: x for k, x in items.items() if x[2] + self.keep > at}
+        before: dict[str, str | None] = {}
         for r in rows:
-            if now is None or r.ord > now:
-                now, kind = r.ord, r.kind
-        if now != ord_:
-            self.last.update((now, kind))
-        if kind != before:
-            yield Row(profile=key[0], item=key[1], ord=now, kind=kind)
+            had = items.get(r.item)
+            if had is None or r.ord > had[0]:
+                before.setdefault(r.item, had and had[1])
+                items[r.item] = [r.ord, r.kind, at]
+        if before:
+            self._write(items)
+        for item, was in before.items():
+            if items[item][1] != was:
+                yield Row(profile=key[0], item=item, ord=items[item][0], kind=items[item][1])
 
     def close(self) -> None:
         pass
@@ -72,8 +88,12 @@ def state_changes(reactions: DataFrame, known: DataFrame | None = None, keep: ti
     ``known`` (profile, item, ord, kind) are rows of the log read before, from which a new stream starts; a stream that goes on from
     its checkpoint has them already. ``keep`` forgets a state that hasn't changed for so long; what comes then is a change again.
     """
-    groups = _told(reactions).groupBy("profile", "item")
-    start = None if known is None else last_rows(known).groupBy("profile", "item")
+    slot = F.pmod(F.xxhash64("item"), F.lit(SLOTS))
+    groups = _told(reactions).withColumn("slot", slot).groupBy("profile", "slot")
+    start = None
+    if known is not None:
+        items = F.to_json(F.collect_list(F.struct("item", "ord", "kind"))).alias("items_known")
+        start = last_rows(known).withColumn("slot", slot).groupBy("profile", "slot").agg(items).groupBy("profile", "slot")
     return groups.transformWithState(LastState(keep), CHANGES, "Append", "None" if keep is None else "ProcessingTime", start)
 
 

@@ -98,3 +98,13 @@ def test_each_message_once(spark, tmp_path):
         got = stream.read_all(stream.once(spark.readStream.schema(schema).parquet(str(source)), "sid", "ts"), out)
     assert sorted(r.sid for r in got.collect()) == ["s1", "s2", "s3"]
     assert got.where(F.col("sid") == "s1").count() == 1
+
+
+def test_a_person_has_few_states_however_many_items(spark, tmp_path):
+    own = stream.with_ordered_state(spark)
+    rows = [("a", f"item {k}", k, r, 1) for k, r in enumerate(["star"] * 300)] + [("b", "x", 300, "hide", 1)]
+    land(spark, rows, tmp_path / "log")
+    changes = stream.read_all(stream.state_changes(own.readStream.schema(LOG).parquet(str(tmp_path / "log")), own.createDataFrame(rows[:100], LOG)), str(tmp_path / "out"))
+    assert changes.count() == 201
+    kept = own.read.format("statestore").option("stateVarName", "items").load(str(tmp_path / "out/checkpoint"))
+    assert kept.count() == stream.SLOTS + 1  # a call or more to the store for each
