@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
-from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache, wraps
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts, as workers hold a batch several times.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Links that one task of a round of components handles.
 TASK_LINKS = 1 << 18
 
@@ -59,6 +63,28 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, Arrow batches have ``BATCH_ROWS`` rows at most; it holds for what is run there."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, which at its end gives free memory back to the system, as its worker goes on to other tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser over uint64, with a seed."""
     with np.errstate(over="ignore"):

@@ -1,7 +1,7 @@
 """Operator 1, n-gram Jaccard join: a token-group matrix over shingle sets.
 
 Similar documents are put into groups (a min-hash brings them together, an exact check against the group's
-leader admits them). A token matters only where sets of different components have it; a set with too few such
+leader admits them); a set whose min-hash no other row has is a group of its own, and stays in the task that reads it. A token matters only where sets of different components have it; a set with too few such
 tokens links with nothing outside its component and is put aside, first by groups, then by the components that sure
 links make of them. What remains is the matrix: tokens that the same sets have are one column with a weight, and each group has the
 union of its members' tokens. A set is a query on the groups that share one of its rarest columns where what
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import connected_components, discarded, mix, shingle_arrays, written
+from lumenfold.llm.common import connected_components, discarded, mix, returning, shingle_arrays, small_batches, written
 
 GROUP_MEMBERS = 256
 QUERIES_A_TASK = 256
@@ -40,8 +40,8 @@ PART_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 22
 #: Bits that tokens have beyond those that tell all of them apart by number.
 SPARE_BITS = 24
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bits that tell which rows may share their min-hash with others; a bit set by chance only moves a text.
+MET_BITS = 1 << 25
 _COMPONENT = "coalesce(component, gid)"
 
 
@@ -53,20 +53,44 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64
 _SKETCH_DDL = "doc_id long, rid long, n long, s1 long, s2 long, mh long"
 
 
+def _sums_of(tokens: np.ndarray) -> tuple[int, int]:
+    """Two sums that tell sets apart."""
+    with np.errstate(over="ignore"):
+        return tuple(int(mix(tokens, seed).sum(dtype=np.uint64).view(np.int64)) for seed in (21, 22))
+
+
 def _sketch_of(tokens: np.ndarray) -> tuple[int, int, int]:
     if not len(tokens):
         return 0, 0, 0
     with np.errstate(over="ignore"):
-        s1, s2 = mix(tokens, 21).sum(dtype=np.uint64), mix(tokens, 22).sum(dtype=np.uint64)
         key = mix(np.array([mix(tokens, 23).min() * np.uint64(3) + mix(tokens, 24).min()], np.uint64))[0]
-    return tuple(int(np.uint64(x).view(np.int64)) for x in (s1, s2, key))
+    return *_sums_of(tokens), int(key.view(np.int64))
+
+
+def _met_bits(sketch: DataFrame) -> np.ndarray:
+    """Bits, by ``rid``, of all rows that share their min-hash with others: ``MET_BITS`` at most, however many rows there are."""
+    several = sketch.where("n > 0").groupBy("mh").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("mh")
+    place = F.pmod("rid", F.lit(MET_BITS)) + 1
+    blocks = sketch.where("n > 0").join(several, "mh").groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(MET_BITS // 8, np.uint8)
+    for block, found in blocks.collect():  # MET_BITS / 32,768 rows at most
+        bits[(block - 1) * len(found) : block * len(found)] = np.frombuffer(found, np.uint8)
+    return bits
+
+
+def _met(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    place = batch.column("rid").to_numpy() & (MET_BITS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _sketcher(words: int, with_text: bool):
-    """Rows of _SKETCH; with ``with_text`` also the text, of one document for each set of a batch only."""
+def _sketcher(words: int, met: np.ndarray | None = None):
+    """Rows of _SKETCH; with ``met`` of the rows in these bits only, with the text, and one document for each set of a batch."""
+    with_text = met is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if with_text:
+                batch = batch.filter(pa.array(_met(batch, met)))
             rows, seen = [], set()
             for i, t in enumerate(shingle_arrays(batch.column("text"), words)):
                 s = _sketch_of(t)
@@ -172,13 +196,41 @@ def _grouper(words: int, percent: int, bits: int, ranges: int):
     return run
 
 
+def _loner(words: int, bits: int, ranges: int, met: np.ndarray):
+    """Sets of rows that aren't in the bits ``met``, each a group of its own, as rows of _PIECE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, members, tokens, many = TaskContext.get().partitionId() << 24 | 1 << 23, [], [], 0
+        for batch in batches:
+            batch = batch.filter(pa.array(~_met(batch, met)))
+            for rid, t in zip(batch.column("rid").to_pylist(), shingle_arrays(batch.column("text"), words), strict=True):
+                if not len(t):
+                    continue
+                members.append((rid, rid, *_sums_of(t), len(t)))
+                tokens.append(t >> np.uint64(64 - bits))
+                many += len(t)
+                if many >= PART_TOKENS:
+                    yield _pieces(part, members, tokens, bits, ranges)
+                    part, members, tokens, many = part + 1, [], [], 0
+        if members:
+            yield _pieces(part, members, tokens, bits, ranges)
+
+    return run
+
+
 def _shared(rows: list[tuple]) -> Iterator[tuple]:
     """Of a range's pieces (part, n, tokens, owners) those of tokens that several parts or groups have, as pieces of kind 2."""
     t = np.concatenate([_ascending(r[2], r[1]) for r in rows])
     owner = np.concatenate([_unpacked(r[3], r[1]).astype(np.int32) for r in rows])
     part = np.repeat(np.arange(len(rows), dtype=np.int32), [r[1] for r in rows])
     order = np.argsort(t, kind="stable")
-    t, owner, part = t[order], owner[order], part[order]
+    t = t[order]
+    same = np.concatenate([[False], t[1:] == t[:-1], [False]])
+    again = same[1:] | same[:-1]  # most tokens are there once, and go before anything is made of them
+    order, t = order[again], t[again]
+    owner, part = owner[order], part[order]
+    if not len(t):
+        return
     at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     shared = (np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)) | (np.minimum.reduceat(owner, at) == 0)
     keep = np.repeat(shared, np.diff(np.append(at, len(t)))) & (owner > 0)
@@ -333,7 +385,7 @@ def _opened(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = sets.select(F.col("gid").alias("target"), F.col("gid").alias("own"), "n", "tokens").join(parts, "target")
     members = members.select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "own", "n", "tokens")
     rows = queries.unionByName(members)
-    return rows.repartition("target", "part").sortWithinPartitions("target", "part", "role").mapInArrow(_opener(percent), "a long, b long")
+    return rows.repartition("target", "part").sortWithinPartitions("target", "part", "role").mapInArrow(returning(_opener(percent)), "a long, b long")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -351,30 +403,29 @@ def shingle_classes(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
 
     All work on texts is done when this returns, in Arrow batches of few rows, as workers hold a batch several times.
     """
-    spark = docs.sparkSession
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
-    try:
+    with small_batches(docs.sparkSession):
         return _components(docs, percent, words, id_col, text_col)
-    finally:
-        spark.conf.set(_BATCH, before)
 
 
-def _grouped(docs: DataFrame, total: int, percent: int, words: int) -> DataFrame:
-    """Each set with its group, and with the tokens that other groups have too if these are enough for a link."""
+def _grouped(docs: DataFrame, met: np.ndarray, total: int, percent: int, words: int) -> DataFrame:
+    """Each set with its group, and with the tokens that other groups have too if these are enough for a link.
+
+    Only texts of rows in the bits ``met`` are shuffled.
+    """
     bits = min(64, total.bit_length() + SPARE_BITS)
     ranges = 8 + total // RANGE_TOKENS
-    texts = docs.mapInArrow(_sketcher(words, True), _SKETCH_DDL + ", text string").select("rid", "s1", "s2", "mh", "text")
-    pieces = texts.hint("rebalance", "mh").sortWithinPartitions("mh", "s1", "s2", "rid").mapInArrow(_grouper(words, percent, bits, ranges), _PIECE_DDL)
-    met = pieces.repartition("range").sortWithinPartitions("range", "part").mapInArrow(_meet, _PIECE_DDL)
-    return written(met.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_members(percent), _MEMBER_DDL))
+    texts = docs.mapInArrow(returning(_sketcher(words, met)), _SKETCH_DDL + ", text string").select("rid", "s1", "s2", "mh", "text")
+    pieces = texts.hint("rebalance", "mh").sortWithinPartitions("mh", "s1", "s2", "rid").mapInArrow(returning(_grouper(words, percent, bits, ranges)), _PIECE_DDL)
+    pieces = pieces.union(docs.mapInArrow(returning(_loner(words, bits, ranges, met)), _PIECE_DDL))
+    shared = pieces.repartition("range").sortWithinPartitions("range", "part").mapInArrow(returning(_meet), _PIECE_DDL)
+    return written(shared.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(returning(_members(percent)), _MEMBER_DDL))
 
 
 def _components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", row_key())
-    sketch = written(docs.mapInArrow(_sketcher(words, False), _SKETCH_DDL))
+    sketch = written(docs.mapInArrow(returning(_sketcher(words)), _SKETCH_DDL))
     total = sketch.agg(F.sum("n")).first()[0] or 0
-    members = _grouped(docs, total, percent, words)
+    members = _grouped(docs, _met_bits(sketch), total, percent, words)
     groups = members.groupBy("s1", "s2").agg(F.min("gid").alias("gid"), F.max("gid").alias("top"))
     links = members.select("s1", "s2", "gid").join(groups.where("gid <> top").select("s1", "s2", F.col("gid").alias("b")), ["s1", "s2"]).select(F.col("gid").alias("a"), "b")
     one = members.where("size(tokens) > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", "gid", "n", "tokens")).alias("m")).select("m.*")

@@ -72,3 +72,21 @@ def test_many_queries_settle_by_components(spark, monkeypatch):
             w[r.randrange(len(w))] = f"e{i}"
         rows.append((i, " ".join(w)))
     check(spark, rows)
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """A set whose min-hash no other row has is worked on where it is read."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{r.getrandbits(1200):x}" for _ in range(120))) for i in range(200)]
+    rows += [(1000, rows[0][1]), (1001, rows[0][1])]
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    before = shuffled()
+    got = {x[0]: x[2] for x in shingle_components(docs).collect()}
+    assert shuffled() - before < sum(len(t) for _, t in rows) / 4
+    assert got == {i: 0 if i > 999 else i for i, _ in rows}
