@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import returning, small_batches, written
 
 CAPACITY = 1024
 GRAIN = 4
@@ -63,8 +63,9 @@ class Encoder:
         self.whole = Tokenizer.from_str(text)
         self.whole.encode_special_tokens = True
         letters = _byte_letters()
-        ranks, added = {}, {t["id"] for t in json.loads(text)["added_tokens"]}
-        for piece, i in json.loads(text)["model"]["vocab"].items():
+        told = json.loads(text)
+        ranks, added = {}, {t["id"] for t in told["added_tokens"]}
+        for piece, i in told["model"]["vocab"].items():
             if i not in added:
                 ranks[bytes(letters[c] for c in piece)] = i
         self.core = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -226,12 +227,13 @@ def _slots(plan: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int,
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
     spark = docs.sparkSession
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(tokenizer, capacity, end_id), "doc_id long, doc_tokens long, crcs array<long>")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(returning(_cutter(tokenizer, capacity, end_id)), "doc_id long, doc_tokens long, crcs array<long>")
     cut = cut.withColumn("salt", F.xxhash64("doc_id", "doc_tokens", "crcs"))
     piece = cut.select("doc_id", "doc_tokens", "salt", F.posexplode("crcs").alias("k", "ids_crc32"))
     piece = piece.withColumn("start", F.col("k").cast("long") * capacity)
     piece = piece.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("start")))
-    piece = written(piece.withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int")))
+    with small_batches(spark):
+        piece = written(piece.withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int")))
     parts = 64 + piece.count() // PART_PIECES
     piece = piece.withColumn("part", F.pmod(F.xxhash64("salt", "k"), F.lit(parts)))
 
